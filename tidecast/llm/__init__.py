@@ -1,15 +1,21 @@
 """Operators for large-scale training-data pipelines. Nothing else in the library imports this."""
 
-from tidecast.llm import bpe, langid, neardup, secrets
+from tidecast.llm import bpe, decontaminate, embeddings, langid, linededup, neardup, secrets
 
 _QUERIES = {
+    "op1_linededup": linededup.op1_linededup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_langid": langid.op3_langid,
     "op5_secrets": secrets.op5_secrets,
     "op6_neardup": neardup.op6_neardup,
     "op7_bpe": bpe.op7_bpe,
+    "op9_embeddings": embeddings.op9_embeddings,
 }
 
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op1_linededup": linededup.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
+}
 
 
 def queries():
