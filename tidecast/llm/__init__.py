@@ -1,15 +1,18 @@
 """Operators for large-scale training-data pipelines. Nothing else in the library imports this."""
 
-from tidecast.llm import bpe, decontaminate, embeddings, langid, linededup, neardup, secrets
+from tidecast.llm import bpe, decontaminate, embeddings, html, langid, linededup, lmscore, neardup, secrets, toxicity
 
 _QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_langid": langid.op3_langid,
+    "op4_html": html.op4_html,
     "op5_secrets": secrets.op5_secrets,
     "op6_neardup": neardup.op6_neardup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_embeddings": embeddings.op9_embeddings,
+    "op10_lmscore": lmscore.op10_lmscore,
 }
 
 _ORACLES: dict[str, str] = {
