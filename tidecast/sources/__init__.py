@@ -1 +1,168 @@
+"""Reading and writing of series, forecasts, diagnostics and configuration."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Accepted names of the canonical quantile columns, in order of preference.
+ALIASES = {
+    "indicator": ["indicator", "variable", "series"],
+    "horizon": ["horizon", "h", "step", "lead"],
+    "q05": ["q05", "q5", "p5", "p05", "q0.05", "quantile_5", "quantile_05"],
+    "q25": ["q25", "p25", "quantile_25"],
+    "q50": ["q50", "q0.5", "median", "p50", "quantile_50"],
+    "q75": ["q75", "p75", "quantile_75"],
+    "q95": ["q95", "p95", "q0.95", "quantile_95"],
+    "lo_50": ["lo_50", "l50", "lo50", "lower50", "band50_lo", "low50", "lo-50"],
+    "hi_50": ["hi_50", "u50", "hi50", "upper50", "band50_hi", "high50", "hi-50"],
+    "lo_90": ["lo_90", "l90", "lo90", "lower90", "band90_lo", "low90", "lo-90"],
+    "hi_90": ["hi_90", "u90", "hi90", "upper90", "band90_hi", "high90", "hi-90"],
+}
+
+
+def read_csv(spark: SparkSession, path, encodings=("UTF-8", "ISO-8859-1"), **options) -> DataFrame:
+    """Headed CSV as strings; the first encoding whose text has no replacement character is taken."""
+    for encoding in encodings:
+        df = spark.read.options(header=True, inferSchema=False, encoding=encoding, **options).csv(path)
+        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+        bad = None
+        for c in df.columns:
+            hit = F.col(f"`{c}`").contains("�")
+            bad = hit if bad is None else bad | hit
+        if encoding == encodings[-1] or bad is None or df.where(bad).isEmpty():
+            return df
+    return df
+
+
+def safe_read_csv(spark: SparkSession, path) -> DataFrame | None:
+    """The table, or None where it can't be read."""
+    try:
+        return read_csv(spark, path)
+    except Exception:
+        return None
+
+
+def probe_csv(spark: SparkSession, path, separators=(",", ";", "\t", "|"), encodings=("UTF-8", "ISO-8859-1")) -> tuple[str, str] | None:
+    """First (separator, encoding) that gives more than one column on a sample of 2000 rows."""
+    for encoding in encodings:
+        for sep in separators:
+            df = spark.read.options(header=True, sep=sep, encoding=encoding).csv(path).limit(2000)
+            if len(df.columns) > 1:
+                return sep, encoding
+    return None
+
+
+def newest(paths: list[str]) -> str | None:
+    """The last path by name."""
+    return max(paths, default=None)
+
+
+def list_file(spark: SparkSession, path: str) -> list[str]:
+    """Paths in a text file, one on a line, blank lines dropped."""
+    return [r.value.strip() for r in spark.read.text(path).where(F.trim("value") != "").collect()]
+
+
+def normalize_quantiles(df: DataFrame) -> DataFrame:
+    """Canonical names for the columns of a quantile table, whatever aliases it uses; numbers are parsed, bad ones null."""
+    at = {c.strip().lower(): c for c in reversed(df.columns)}
+    found = {name: next(at[a] for a in names if a in at) for name, names in ALIASES.items() if any(a in at for a in names)}
+    missing = {"indicator", "horizon", "q50"} - found.keys()
+    if missing:
+        raise ValueError(f"no column for {', '.join(sorted(missing))}")
+    kind = lambda n: "string" if n == "indicator" else "long" if n == "horizon" else "double"
+    cols = []
+    for name, c in found.items():
+        x = F.trim(F.col(f"`{c}`").cast("string"))
+        x = F.regexp_extract(x, r"^[hH]?(\d+)", 1) if name == "horizon" else x
+        cols.append((x if name == "indicator" else x.try_cast(kind(name))).alias(name))
+    return df.select(*cols)
+
+
+def resolve(columns: list[str], candidates: list[str]) -> str | None:
+    """First of the candidates that the table has."""
+    return next((c for c in candidates if c in columns), None)
+
+
+def columns_with(columns: list[str], *parts: str) -> list[str]:
+    return [c for c in columns if all(p.lower() in c.lower() for p in parts)]
+
+
+def read_series_dir(spark: SparkSession, pattern: str) -> DataFrame:
+    """All series files of a directory as (indicator, t, value); the file's name is the indicator. Columns are found by name only."""
+    from tidecast.operators.series import year_from_text
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"))
+    lines = F.split("text", r"\r?\n")
+    head = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda x: F.lower(F.trim(x)))
+    parts = files.select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("indicator"), head.alias("head"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).where("line <> ''")
+    cell = lambda name: F.trim(F.get(F.split("line", ","), F.array_position("head", name).cast("int") - 1))
+    has = lambda name: F.array_contains("head", name)
+    year = F.when(has("year"), cell("year").try_cast("double").try_cast("int")).when(has("date"), year_from_text(cell("date")))
+    rows = parts.select("indicator", year.cast("long").alias("t"), F.when(has("value"), cell("value").try_cast("double")).alias("value"))
+    return rows.where("t IS NOT NULL")
+
+
+def read_tagged(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """A tree of run directories, with the run's name and the origin that its name ends in (empty without one)."""
+    rows = spark.read.schema(schema).option("header", True).csv(pattern).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+    return rows.withColumn("origin", F.regexp_extract("run", r"_(\d{4})(?:_.*)?$", 1))
+
+
+def flatten_quantiles(nested: DataFrame) -> DataFrame:
+    """``(indicator, q map<horizon, map<quantile, value>>)`` as rows; horizons as 5, '5' or 'h5'."""
+    from tidecast.functions import horizon_key
+
+    rows = nested.select("indicator", F.explode("q").alias("h", "m")).select("indicator", horizon_key(F.col("h")).cast("long").alias("horizon"), "m")
+    return rows.select("indicator", "horizon", *[F.coalesce(*[F.col("m")[a] for a in ALIASES[c][:3]]).alias(c) for c in ("q05", "q50", "q95")]).where("horizon IS NOT NULL")
+
+
+def read_config(text: str, key: str) -> list[dict]:
+    """Entries of a JSON or simple YAML document whose top level is a list or a mapping with ``key``."""
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        doc = _simple_yaml(text)
+    if isinstance(doc, dict):
+        doc = doc.get(key, doc)
+    if isinstance(doc, dict):
+        doc = [{"name": k, **(v if isinstance(v, dict) else {"value": v})} for k, v in doc.items()]
+    return [x for x in doc if isinstance(x, dict)]
+
+
+def _simple_yaml(text: str):
+    """Lists of flat mappings, with or without a key above them: the shapes that configurations use."""
+    out, top, item = [], None, None
+    for line in text.splitlines():
+        line = line.split(" #")[0].rstrip()
+        if not line.strip() or line.strip().startswith("#"):
+            continue
+        body = line.strip()
+        if body.startswith("- "):
+            item = {}
+            out.append(item)
+            body = body[2:].strip()
+        elif not line.startswith(" ") and body.endswith(":"):
+            top = body[:-1]
+            continue
+        if item is not None and ":" in body:
+            k, v = body.split(":", 1)
+            item[k.strip()] = v.strip().strip("'\"")
+    return {top: out} if top else out
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One headed CSV file of a small report frame; an empty one is refused."""
+    if df.isEmpty():
+        raise ValueError("nothing to write")
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def append_notes(spark: SparkSession, path: str, lines: list[str]) -> None:
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
