@@ -15,7 +15,8 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def config_audit(entries: DataFrame, required_keys: DataFrame, required_names: DataFrame) -> DataFrame:
     """What a configuration lacks: ``entries(name, key)`` against keys that every name needs and names that must be there."""
     names = entries.select("name").distinct()
-    keys = names.join(F.broadcast(required_keys.select("key").distinct()), how="cross").join(entries, ["name", "key"], "left_anti")
+    wanted = sorted(r["key"] for r in required_keys.select("key").dropna().distinct().collect())  # a configuration's keys are few
+    keys = names.withColumn("key", F.explode(F.array(*[F.lit(k) for k in wanted]))).join(entries, ["name", "key"], "left_anti")
     gone = required_names.select("name").distinct().join(names, "name", "left_anti")
     return keys.select("name", "key", F.lit("missing key").alias("problem")).union(gone.select("name", F.lit(None).cast("string"), F.lit("missing entry")))
 

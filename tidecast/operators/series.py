@@ -24,7 +24,7 @@ def observe(df: DataFrame, indicator: Column, t: Column, value: Column) -> DataF
 
 def year_from_text(c: Column) -> Column:
     """The year of a date-like text, else its first four digits that lie in 1700..2100."""
-    dated = F.year(F.coalesce(F.try_to_date(c), F.try_to_date(c, F.lit("M/d/yyyy"))))
+    dated = F.year(F.coalesce(F.try_to_date(c), F.try_to_date(c, "M/d/yyyy")))
     whole = F.regexp_extract(c, r"^\s*(\d{4})([-/]\d{1,2}){0,2}\s*$", 1).try_cast("int")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))
     digits = F.filter(windows, lambda w: w.rlike(r"^\d{4}$") & w.try_cast("int").between(1700, 2100))
