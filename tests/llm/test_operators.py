@@ -1,0 +1,427 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and on awkward inputs."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidecast.llm import bpe, decontaminate, embeddings, html, langid, linededup, lmscore, neardup, secrets, toxicity
+from tidecast.llm.common import connected_components
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = {
+    "en": "the of and thing with over river stone window green walking house under water".split(),
+    "fr": "le la les été forêt rivière pierre fenêtre verte maison sous eau très où".split(),
+    "de": "der die das über größe fluß stein fenster grün gehen haus unter wasser für".split(),
+}
+
+
+def prose(rnd, lang, n):
+    return " ".join(rnd.choice(WORDS[lang]) + rnd.choice(["", "", "", ",", "."]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rnd = random.Random(3)
+    rows = []
+    passage = "\n".join(" ".join(f"q{rnd.randrange(900)}" for _ in range(15)) for _ in range(5))
+    for i in range(120):
+        lang = list(WORDS)[i % 3]
+        text = "\n".join(prose(rnd, lang, rnd.randrange(5, 60)) for _ in range(rnd.randrange(1, 6)))
+        if i % 10 == 4:
+            text += "\n" + passage
+        rows.append((i, text, lang, "s", len(text)))
+    for k in range(8):  # near and exact copies
+        words = rows[k][1].split(" ")
+        if k % 2:
+            words[len(words) // 2] = "changed"
+        rows.append((200 + k, " ".join(words), rows[k][2], "s", 0))
+    rows += [(300, None, None, None, None), (301, "", "en", None, 0), (302, " \n\t ", "en", "s", 3), (303, "123 456 !!", None, "s", 0), (None, "no id here at all", "en", "s", 0), (304, "x " * 30000, "en", "s", 0)]
+    rows += [rows[5], rows[-1]]  # repeated rows
+    return spark.createDataFrame(rows, DOC).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def texts(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+# -- 1 ---------------------------------------------------------------------
+
+
+def brute_lines(rows, least):
+    """All minimal windows by enumeration."""
+    docs = sorted({(i is not None, i if i is not None else -1, t) for i, t in rows if t}, key=lambda d: d[:2])
+    seen, out = {}, {}
+    runs = []
+    for known, i, t in docs:
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        size = [x.strip(" ").count(" ") + 1 for _, x in lines]
+        found = set()
+        for p in range(len(lines)):
+            for e in range(p, len(lines)):
+                if sum(size[p : e + 1]) >= least:
+                    found.add((p, e))
+                    break
+            for s in range(p, -1, -1):
+                if sum(size[s : p + 1]) >= least:
+                    found.add((s, p))
+                    break
+        runs += [((known, i), p, e, tuple(x for _, x in lines[p : e + 1]), [k for k, _ in lines[p : e + 1]]) for p, e in sorted(found)]
+    for doc, p, e, key, nums in sorted(runs, key=lambda r: (r[0], r[1])):
+        if key in seen:
+            out.setdefault(doc[1], set()).update(nums)
+        seen.setdefault(key, 1)
+    return out
+
+
+@pytest.mark.parametrize("least", [50, 12])
+def test_line_dedup(corpus, least):
+    got = {r.doc_id if r.doc_id is not None else -1: set(r.deleted_lines) for r in linededup.dedup_lines(corpus, min_words=least).collect() if r.deleted_lines}
+    want = brute_lines(texts(corpus), least)
+    assert got == want and want
+
+
+def test_line_dedup_text_and_edges(spark, corpus, empty):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n\n{long}\nd"), (3, long), (4, None), (5, ""), (6, f"{long}\n{long}")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"a\n{long}\nb", 2: "c\n\nd", 3: "", 4: None, 5: "", 6: ""}
+    assert linededup.dedup_lines(empty).count() == 0
+    kept = linededup.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5]
+
+
+# -- 2 ---------------------------------------------------------------------
+
+
+def plain_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_decontaminate(spark, corpus, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    some = [t for _, t in sorted(texts(corpus), key=str) if t][:60]
+    items = [(k, t.replace(",", ";").upper() if k % 2 else t) for k, t in enumerate(some[:9])] + [(20, "x x"), (21, "zebra"), (22, None), (23, ""), (None, some[12]), (20, "x x"), (24, "ÉTÉ FORÊT le"), (25, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.h): (sorted(r["items"]), r.n_hit) for r in decontaminate.contamination(corpus, bench).collect()}
+    hashes = {(r.doc_id, r.text): r.h for r in corpus.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    want = {}
+    for (i, t), h in hashes.items():
+        w, hit, its = plain_words(t), set(), set()
+        for item, b in items:
+            q = plain_words(b)
+            n = min(10, len(q))
+            for a in range(len(q) - n + 1) if n else ():
+                for s in range(len(w) - n + 1) if len(w) < 2000 or n < 3 else ():
+                    if w[s : s + n] == q[a : a + n]:
+                        hit.update(range(s, s + n))
+                        its.add(item)
+        if hit:
+            want[i, h] = (sorted(x for x in its if x is not None), len(hit))
+    assert got == want and len(want) > 5
+
+
+def test_decontaminate_empty(spark, corpus, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(corpus, none).count() == 0
+    assert decontaminate.contamination(empty, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+# -- 3 ---------------------------------------------------------------------
+
+
+def test_langid(corpus, empty):
+    model = langid.train(corpus, use=lambda i: ~langid.held_out(i))
+    got = langid.predict(corpus.withColumn("score", F.lit("clash")), model).collect()
+    held = [r for r in got if r.lang and r.text and langid.has_letter(r.text.encode()) and r.doc_id is not None and r.doc_id < 300]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
+    assert all(r.lang_pred == "und" and r.score == 0 for r in got if not r.text or not any(map(str.isalpha, r.text)))
+    assert all(0 <= r.score <= 1 for r in got) and len(got) == corpus.count()
+    assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
+    x = np.frombuffer(np.random.default_rng(1).integers(32, 255, 40 * langid.WINDOW).astype(np.uint8).tobytes(), np.uint8).reshape(40, -1)
+    slow = []
+    for row in x:
+        pooled = [max_over(row, c) for c in model.conv]
+        z = np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.out + model.out_bias
+        slow.append(z - np.log(np.exp(z - z.max()).sum()) - z.max())
+    assert np.allclose(model.log_probabilities(x), slow, atol=1e-3)
+
+
+def max_over(row, c):
+    return np.max([sum(c[j][row[t + j]] for j in range(len(c))) for t in range(len(row) - len(c) + 1)], axis=0)
+
+
+# -- 4 ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<nav><a>m</a></nav><article><h1>T &amp; x</h1><p>a\n  b<br>c<p>d</article><footer>f</footer>", "T & x\n\na b c\n\nd"),
+        ("<div class='ad'>x</div><p>Body &lt; text<p>two<div id=comments><article><p>no</article></div>", "Body < text\n\ntwo"),
+        ("<form><article><h1>T</h1>a <aside>s</aside></article></form>", "T\n\na"),
+        ("<script>var a = '<p>no</p>';</script><style>p{}</style><!-- c --><main><p>yes</p></main><div class=sidebar>no</div>", "yes"),
+        ("plain 3 < 4 &eacute; <b>bold</b> end", "plain 3 < 4 é bold end"),
+        ("<article><div class='cookie-notice'>n</div><ul><li>one<li>two</ul></article>", "one\n\ntwo"),
+        ("<p>unclosed <!-- comment", "unclosed"),
+        ("", ""),
+    ],
+)
+def test_main_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_style_tree_removes_what_repeats(spark):
+    rnd = random.Random(5)
+    rows = [(k, "http://h.example/a", f"<div class=x1><p>Same words everywhere</p></div><div class=x2><p>{prose(rnd, 'en', 30)}</p></div>") for k in range(20)]
+    rows += [(30, None, None), (31, "http://other", "<p>one page</p>"), (31, "http://other", "<p>one page</p>")]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit(1))).collect()}
+    assert all("Same" not in got[k].main_text and got[k].n_chars > 50 for k in range(20))
+    assert got[30].main_text == "" and got[31].main_text == "one page"
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# -- 5 ---------------------------------------------------------------------
+
+
+def test_secrets_against_regex(spark):
+    rnd = random.Random(1)
+    parts = ["token", "=", ": ", "Secret", "api_key", "APIKEY", "AKIA", "A" * 16, "0a" * 6, "f" * 12, '"', "'", " ", "x", "é", "passw", "password", "==", "toktoken", "9" * 20, "\n", "日本"]
+    rows = [(k, "".join(rnd.choice(parts) for _ in range(rnd.randrange(9)))) for k in range(4000)] + [(9000, None), (9001, ""), (9002, "token=" + "q" * 100000)]
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").withColumn("secrets", F.lit(0))).collect():
+        t = r.text or ""
+        want = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert sorted((s.kind, s.start, s.end) for s in r.secrets if s.base) == sorted(want), t
+
+
+def test_secret_rules_that_need_backing_up_are_refused():
+    with pytest.raises(ValueError):
+        secrets.SecretScanner((secrets.Rule("bad", "ab|abcd"),))
+
+
+# -- 6 ---------------------------------------------------------------------
+
+
+def brute_components(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(spark, corpus, empty):
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = texts(corpus)
+    for k in range(90):  # a large group whose members differ in more and more words
+        w = list(base)
+        for _ in range(rnd.randrange(8)):
+            w[rnd.randrange(150)] = f"n{rnd.random()}"
+        rows.append((1000 + k, " ".join(w)))
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            w = (t or "").encode().lower().split()
+            sets[i] = set(zip(w, w[1:], w[2:])) if len(w) > 2 else {tuple(w)} if w else set()
+    want = brute_components(sets, 85)
+    assert {i: r.component_id for i, r in got.items() if i is not None} == want
+    assert all(got[i].n_shingles == len(s) and got[i].kept == (want[i] == i) for i, s in sets.items())
+    assert got[None].component_id is None and got[None].kept
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    n = 400
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    edges = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001)], "a long, b long")
+    got = {r.id: r.component_id for r in connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 1000: 1000, 1001: 1000}
+
+
+# -- 7 ---------------------------------------------------------------------
+
+
+def test_bpe_equals_library(spark, corpus):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.no_padding(), t.no_truncation()
+    extra = [(900, "it's Don't WE'LL <|endoftext|> x<|startoftext|><|endoftext|>"), (901, "ΣΟΦΟΣ İstanbul 1²½ \x1c\x1d a\x85b é café 日本語 🙂👍🏽 a_b--c\n\n'S"), (902, "<|endoftext"), (903, "a\x00b aaaaaaaaaaaaaaaa")]
+    rows = corpus.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    for r in bpe.bpe(rows.withColumn("n_tokens", F.lit("clash"))).collect():
+        e = t.encode(r.text or "", add_special_tokens=False)
+        assert r.token_ids == e.ids and r.n_tokens == len(e.ids)
+        shown = t.decode(e.ids, skip_special_tokens=False)
+        assert r.decoded == shown and r.decoded_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest()
+
+
+# -- 8 ---------------------------------------------------------------------
+
+
+def test_toxicity_chain(spark, empty):
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for k in range(700):
+        bad, low = rnd.random() < 0.3, rnd.random() < 0.4
+        words = prose(rnd, "en", rnd.randrange(5, 200)).split()
+        if low:
+            words.insert(0, "buynow")
+        if bad:
+            words.insert(rnd.randrange(len(words)), rnd.choice(["scumbag", "scumlord", "vileness"]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(low), int(bad)))
+    docs = spark.createDataFrame(rows + [(9000, None), (9001, "")], "doc_id long, text string")
+    known = spark.createDataFrame(labels[:500] + [(9000, None, 1), (None, 1, 1), labels[0]], "doc_id long, low_quality int, toxic int")
+    chain = toxicity.train(docs, known, toxicity.CATEGORIES)
+    assert [len(w) for w in chain.weights] == [len(chain.vocabulary) + 1, len(chain.vocabulary) + 2]
+    got = {r.doc_id: r for r in toxicity.predict(docs, chain, toxicity.CATEGORIES).collect()}
+    assert sum(got[k].is_toxic == bool(t) for k, _, t in labels[500:]) >= 195
+    assert not got[9000].is_toxic and not got[9001].is_toxic and len(got) == 702
+    assert toxicity.train(empty, known.limit(0), toxicity.CATEGORIES) is None
+    assert toxicity.predict(empty, None, ["toxic"]).count() == 0
+
+
+# -- 9 ---------------------------------------------------------------------
+
+
+def test_near_duplicate_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 40)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 24))
+    rows = []
+    for k in range(300):
+        v = base[k % 6] + rng.normal(size=24) * rng.choice([0.1, 0.35, 2.0])
+        rows.append((k, [float(x) for x in np.float32(v)], k % 3))
+    rows += [(400 + k, rows[0][1], 0) for k in range(5)]
+    rows += [(500, None, 0), (501, [0.0] * 24, 0), (502, [float("nan")] * 24, 0), (503, [None] * 24, 0), (504, rows[0][1], None), (None, rows[0][1], 0), (505, rows[0][1][:5], 0), (506, [], 0), rows[3]]
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    ok = {i: (np.array(v, float), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+    root = {r[0]: r[0] for r in rows if r[0] is not None}
+    links = dict.fromkeys(root, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, y) in ok.items():
+        for j, (b, z) in ok.items():
+            if i < j and y == z and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                links[i] += 1
+                links[j] += 1
+                x, w = find(i), find(j)
+                root[max(x, w)] = min(x, w)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items() if i is not None} == {i: (links[i], find(i)) for i in root}
+    assert got[None].n_links == 0 and max(links.values()) > 20
+    assert embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_code_bounds_lose_nothing():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 32))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.3])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    codes, factors = embeddings.encode(x)
+    maybe = embeddings.candidates(x @ embeddings.rotation(32).T, codes, factors, 0.93)
+    assert maybe[x @ x.T >= 0.93].all() and maybe.mean() < 0.6
+
+
+# -- 10 --------------------------------------------------------------------
+
+
+def test_lm_scores(spark, corpus, empty):
+    model = lmscore.train(corpus)
+    got = {r.doc_id: r for r in lmscore.score(corpus.withColumn("perplexity", F.lit(1)), model).collect()}
+    assert got[300].n_tokens == 0 and got[300].log_likelihood == 0 and got[300].perplexity is None
+    assert all(r.n_tokens == len(lmscore.tokens((r.text or "").encode())) for r in got.values())
+    rnd = random.Random(6)
+    words = [w for x in WORDS.values() for w in x]
+    mixed = [" ".join(rnd.choice(words) for _ in range(40)).encode() for _ in range(20)]
+    noise = [bytes(rnd.randrange(97, 123) if rnd.random() < 0.8 else 32 for _ in range(200)) for _ in range(20)]
+    score = lambda ts: float((lambda n, s: s.sum() / n.sum())(*model.score(ts)))
+    assert score(mixed) > score(noise) + 1
+    # the whole sum equals token by token, each from its own neighbours
+    text = mixed[0]
+    classes, spelled, starts, lengths = model.laid_out([text])
+    near = lmscore.neighbours(classes, starts, lengths)
+    one = [lmscore.class_log_probabilities(model.flat, near[k : k + 1], classes[k : k + 1])[0] + spelled[k] for k in range(len(classes))]
+    assert np.isclose(sum(one), model.score([text])[1][0], rtol=1e-4)
+    assert lmscore.score(empty, lmscore.train(empty)).count() == 0
+
+
+def test_lm_training_helps(corpus):
+    rows = [(t or "").encode() for _, t in texts(corpus)]
+    freq = np.ones(lmscore.CLASSES)
+    model = lmscore.WindowModel({w.encode(): k for k, w in enumerate(WORDS["en"])}, np.zeros((256, 256)), lmscore.initial(freq))
+    classes, _, starts, lengths = model.laid_out(rows)
+    near = lmscore.neighbours(classes, starts, lengths)
+    before = lmscore.class_log_probabilities(model.flat, near, classes).mean()
+    flat = lmscore.fit_steps(model.flat, near, classes, batch=64)
+    assert lmscore.class_log_probabilities(flat, near, classes).mean() > before + 0.5
+
+
+# -- pipeline --------------------------------------------------------------
+
+
+def test_pipeline(spark, corpus, tmp_path):
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, [t for _, t in texts(corpus.where("doc_id = 10"))][0])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r.doc_id for r in got.collect()]
+    assert 10 not in ids and 300 not in ids and 303 not in ids and 11 in ids
+    assert not {200, 202, 204, 206} & set(ids)
+    docs = corpus
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus.columns
+    nothing = corpus.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_native_plans_have_no_python(spark):
+    for q in (linededup.op1_linededup, decontaminate.op2_decontaminate):
+        plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("name", ["op1_linededup", "op2_decontaminate"])
+def test_oracles(spark, name):
+    from tidecast import llm
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    df = llm.queries()[name](spark, d)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({llm.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)

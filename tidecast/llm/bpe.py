@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidecast.llm.common import without
+from tidecast.llm.common import map_arrow, without
 
 #: Words kept with their tokens by a worker; the cache starts anew beyond it.
 CACHE_WORDS = 500_000
@@ -240,7 +240,7 @@ def bpe(docs: DataFrame, text: str = "text", vocabulary: str | None = None, with
                 cols.append(pa.array(decoded, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], keep + names)
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

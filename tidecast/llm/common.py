@@ -35,6 +35,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: rows hold whole texts, so the usual 10,000 rows may be far too much.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, so that a Python worker's memory is bounded.
+
+    Lowers the session's Arrow batch limits where they are larger.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that an operator is about to produce itself."""
     return df.drop(*[c for c in df.columns if c in names])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import as_bytes, table, without
+from tidecast.llm.common import as_bytes, map_arrow, table, without
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
             flush()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")).mapInArrow(run, schema)
+    return map_arrow(base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")), run, schema)
 
 
 def held_out(i):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import as_bytes, connected_components, materialize, table, without
+from tidecast.llm.common import as_bytes, connected_components, map_arrow, materialize, table
 
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
@@ -129,7 +129,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "d1", "d2", "bands"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("b"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>")
+    return map_arrow(rows, run, "id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(sets, pa.binary())], ["id", "d1", "d2", "set"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("b"))
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, d1 long, d2 long, set binary")
+    return map_arrow(rows.join(wanted, "id", "left_semi"), run, "id long, d1 long, d2 long, set binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     right = pairs.where(fits).select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = right.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    links = materialize(both.mapInArrow(_verified(percent), "a long, b long"))
+    links = materialize(map_arrow(both, _verified(percent), "a long, b long"))
     star = connected_components(links)
     cluster = connected_components(pairs)
     # what is left in a cluster between its components, in blocks

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import as_bytes, table, without
+from tidecast.llm.common import as_bytes, map_arrow, table, without
 
 END = 256  # the symbol after the last byte
 
@@ -427,7 +427,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
             rows = [[dict(zip(("kind", "start", "end", "base"), s)) for s in f] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, pa.list_(element))], [*names, "secrets"])
 
-    return base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")).mapInArrow(run, schema)
+    return map_arrow(base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")), run, schema)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

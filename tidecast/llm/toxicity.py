@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import materialize, table, without
+from tidecast.llm.common import map_arrow, materialize, table, without
 
 #: The bound of the training sample: rows of each combination of labels, on average; twice that at most.
 ROWS_PER_CLASS = 3000
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got, pa.list_(pa.string()))], ["id", *ys, "f"])
 
     kind = StructType([sample.schema["id"], *StructType.fromDDL(", ".join(f"{y} int" for y in ys)).fields, *StructType.fromDDL("f array<string>").fields])
-    sample = materialize(sample.select("id", "text", *ys).mapInArrow(cut, kind))
+    sample = materialize(map_arrow(sample.select("id", "text", *ys), cut, kind))
     total = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = total["n"]
     if not n:
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, chain: Chain | None, categories: list[str], text: s
                 cols.append(pa.array(p[:, c] >= chain.cuts[c]) if chain else pa.array([False] * len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, *new])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 CATEGORIES = ["low_quality", "toxic"]
