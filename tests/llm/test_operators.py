@@ -414,13 +414,13 @@ def test_native_plans_have_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("name", ["op1_linededup", "op2_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_linededup", "op2_decontaminate", "op6_neardup", "op9_embeddings"])
 def test_oracles(spark, name):
     from tidecast import llm
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = llm.queries()[name](spark, d)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({llm.oracle_sql()[name]})").fetchall()

@@ -18,6 +18,8 @@ _QUERIES = {
 _ORACLES: dict[str, str] = {
     "op1_linededup": linededup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op6_neardup": neardup.ORACLE,
+    "op9_embeddings": embeddings.ORACLE,
 }
 
 
