@@ -102,12 +102,16 @@ def local_level(obs: DataFrame, origin: int, h: int, noise: int = 1, points: int
     return quantiles(f, F.col("a"), F.sqrt(F.col("s2") * (F.col("p") + (F.col("horizon") - 1) * F.col("q") + noise)))
 
 
-def uniform_sql(key: str) -> str:
-    """A number in (0, 1) from an integer key below 8e9: four rounds of a linear congruence, alike in every engine."""
-    x = key
-    for _ in range(4):
-        x = f"((({x}) % 2147483648) * 1103515245 + 12345 + ({x}) % 65521) % 2147483648"
-    return f"(({x}) + 5e-1) / 2147483648e0"
+def uniform_sql(key: str, dialect: str = "spark") -> str:
+    """A number in (0, 1) from an integer key: a 32-bit mix of xor-shifts and multiplications, with equal values in Spark and DuckDB."""
+    if dialect == "spark":
+        fold = lambda x, n: f"(({x}) ^ shiftright({x}, {n}))"
+    else:
+        fold = lambda x, n: f"xor({x}, ({x}) >> {n})"
+    x = f"(CAST({key} AS BIGINT) % 4294967296)"
+    x = f"(({fold(x, 16)} * 569420461) % 4294967296)"
+    x = f"(({fold(x, 15)} * 1935289751) % 4294967296)"
+    return f"(({fold(x, 15)}) + 5e-1) / 4294967296e0"
 
 
 def paths(params: DataFrame, n_paths: int, h: int, seed: int = 12345, rate: float = 0.0, scale: float = 2.0) -> DataFrame:

@@ -28,6 +28,7 @@ def year_from_text(c: Column) -> Column:
     whole = F.regexp_extract(c, r"^\s*(\d{4})([-/]\d{1,2}){0,2}\s*$", 1).try_cast("int")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))
     digits = F.filter(windows, lambda w: w.rlike(r"^\d{4}$") & w.try_cast("int").between(1700, 2100))
+    dated = F.when(dated.between(1, 9999), dated)
     return F.coalesce(dated, whole, F.get(digits, F.lit(0)).try_cast("int"))
 
 

@@ -116,7 +116,7 @@ def transforms(spark, d):
 
 @query(f"""WITH {LINES}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY indicator ORDER BY t) AS diff FROM obs),
 s AS (SELECT indicator, quantile_cont(abs(diff), 5e-1) AS med, stddev_pop(diff) AS sd, count(value) AS n FROM d GROUP BY indicator)
-SELECT d.indicator, d.t, R(diff) AS diff, coalesce(n > 2 AND CASE WHEN med > 0 THEN med ELSE sd END > 0 AND abs(diff) > 3 * CASE WHEN med > 0 THEN med ELSE sd END, FALSE) AS is_break FROM d JOIN s USING (indicator)""", 2)
+SELECT d.indicator, d.t, R(diff) AS diff, coalesce(n > 2 AND CASE WHEN med > 0 THEN med ELSE sd END > 0 AND abs(diff) > 3 * CASE WHEN med > 0 THEN med ELSE sd END, FALSE) AS is_break FROM d JOIN s USING (indicator)""", 5)
 def break_flags(spark, d):
     return series.break_flags(obs_lines(spark, d))
 
@@ -266,7 +266,7 @@ def _sim(spark, d, rate=0.2, seed=12345, h=H):
 
 
 def _sim_sql(seed=12345, rate=0.2):
-    u = lambda s: forecast.uniform_sql(f"({seed} + no * 7368787 + path * 7919 + horizon * 104729 + {s} * 15485863)")
+    u = lambda s: forecast.uniform_sql(f"({seed} + no * 7368787 + path * 7919 + horizon * 104729 + {s} * 15485863)", "duckdb")
     normal = lambda s: f"sqrt(-2e0 * ln({u(s)})) * cos(2e0 * pi() * {u(s + 1)})"
     shock = f" + sqrt({forecast.poisson_sql(u(5), rate)}) * 2e0 * sd_state * {normal(6)}" if rate else ""
     return f"""c{seed} AS (SELECT mom.*, CAST(substr(indicator, 1, 1) AS BIGINT) AS no, path, horizon FROM mom, (SELECT CAST(p AS BIGINT) AS path FROM range(0, {N_PATHS}) r(p)), {_HS}),
