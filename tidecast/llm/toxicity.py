@@ -40,12 +40,11 @@ def features(text: str) -> set[str]:
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150, rate: float = 0.1) -> np.ndarray:
     """Weights, the intercept last, by Adam over all rows."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    w, m, v = (np.zeros(x1.shape[1], np.float32) for _ in range(3))
+    w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
     weight = (weight / weight.sum()).astype(np.float32)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ (weight * (p - y)) + l2 * np.append(w[:-1], 0)
+        r = weight * (_probability(x, w) - y)
+        g = np.append(x.T @ r + l2 * w[:-1], r.sum())
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
