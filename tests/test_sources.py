@@ -33,11 +33,11 @@ def test_series_directory(spark, tmp_path):
 
 
 def test_tagged_tree_and_lists(spark, tmp_path):
-    for run in ("hsm_1995_cal", "plain"):
+    for run in ("walk_1995_cal", "plain"):
         (tmp_path / run).mkdir()
         (tmp_path / run / "pit.csv").write_text("indicator,pit\na,0.5\n")
     got = {r.run: r.origin for r in sources.read_tagged(spark, f"{tmp_path}/*/pit.csv", "indicator string, pit double").collect()}
-    assert got == {"hsm_1995_cal": "1995", "plain": ""}
+    assert got == {"walk_1995_cal": "1995", "plain": ""}
     (tmp_path / "list.txt").write_text("x.csv\n\n y.csv \n")
     assert sources.list_file(spark, f"{tmp_path}/list.txt") == ["x.csv", "y.csv"] and sources.newest(["b1", "b2"]) == "b2"
 
