@@ -18,6 +18,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,11 +35,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _class(letter: str) -> str:
-    """The ranges of all code points whose general category starts with ``letter``, as a character class."""
+def _class(letter: str, top: int = sys.maxunicode) -> str:
+    """The ranges of all code points up to ``top`` whose general category starts with ``letter``, as a character class."""
     out, start = [], None
-    for i in range(sys.maxunicode + 2):
-        has = i <= sys.maxunicode and unicodedata.category(chr(i))[0] == letter
+    for i in range(top + 2):
+        has = i <= top and unicodedata.category(chr(i))[0] == letter
         if has and start is None:
             start = i
         elif not has and start is not None:
@@ -68,43 +69,60 @@ class PairIndexBpe:
         chars = _byte_chars()
         self.first = [vocab[c] for c in chars]
         self.last = [vocab[c + end] for c in chars]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: pair of ids, packed -> rank; rank -> its pair and what it makes
+        self.ranks: dict[int, int] = {}
+        self.pairs: list[tuple[int, int, int]] = []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        letters, numbers = _class("L"), _class("N")
-        self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.pairs.append((vocab[a], vocab[b], vocab[a + b]))
+        # the rank of a byte followed by a byte, inside a word and at its end
+        self.opening = np.array([[[self.ranks.get(x << 32 | y, -1) for y in row] for x in self.first] for row in (self.first, self.last)], np.int32)
+        self.word = self._pattern(_class("L"), _class("N"))
+        # most texts need no more than these, and a class without higher planes is one lookup
+        self.word_bmp = self._pattern(_class("L", 0xFFFF), _class("N", 0xFFFF))
+        self.word_ascii = self._pattern("A-Za-z", "0-9")
+        self.higher = re.compile("[\U00010000-\U0010ffff]")
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.spelled = {i: t.encode("utf-8", "surrogatepass") for i, t in self.tokens.items()}
         self.cache: dict[str, bytes] = {}
         self.shown: dict[str, bytes] = {}
 
+    @staticmethod
+    def _pattern(letters: str, numbers: str) -> re.Pattern:
+        return re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+
     def _learn(self, words: Iterable[str]) -> None:
         """Tokens of words not met yet, by one sweep over their pair index."""
         words = [w for w in words if w not in self.cache]
-        sym: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        starts: list[int] = []
-        first, last, merges = self.first, self.last, self.merges
-        for w in words:
-            data = w.encode("utf-8", "surrogatepass")
-            n, at = len(data), len(sym)
-            starts.append(at)
-            sym.extend([first[b] for b in data[:-1]])
-            sym.append(last[data[-1]])
-            prv.extend(range(at - 1, at + n - 1))
-            nxt.extend(range(at + 1, at + n + 1))
-            prv[at], nxt[at + n - 1] = -1, -1
-        index: dict[tuple[int, int], list[int]] = {}
-        for i, j in enumerate(nxt):
-            if j >= 0 and (pair := (sym[i], sym[j])) in merges:
-                index.setdefault(pair, []).append(i)
-        heap = [(merges[p][0], p) for p in index]
-        heapq.heapify(heap)
+        if not words:
+            return
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(d) for d in data])
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        size = len(flat)
+        closing = np.zeros(size, np.int8)
+        closing[ends - 1] = 1
+        # symbols side by side, linked within each word
+        first = np.where(closing, np.array(self.last)[flat], np.array(self.first)[flat])
+        after = np.where(closing, -1, np.arange(1, size + 1))
+        before = np.arange(-1, size - 1)
+        before[0], before[ends[:-1]] = -1, -1
+        rank = np.full(size, -1, np.int32)
+        rank[:-1] = np.where(closing[:-1], -1, self.opening[closing[1:], flat[:-1], flat[1:]])
+        at = np.flatnonzero(rank >= 0)
+        at = at[np.argsort(rank[at], kind="stable")]
+        active, cuts = np.unique(rank[at], return_index=True)
+        index: dict[int, list[int]] = {r: p.tolist() for r, p in zip(active.tolist(), np.split(at, cuts[1:]))} if len(at) else {}
+        heap = list(index)  # ascending, so a heap already
+        sym, nxt, prv = first.tolist(), after.tolist(), before.tolist()
+        known, pairs, pop, push = self.ranks.get, self.pairs, heapq.heappop, heapq.heappush
         while heap:
-            _, pair = heapq.heappop(heap)
-            a, b = pair
-            new = merges[pair][1]
-            for i in sorted(index.pop(pair, ())):
+            r = pop(heap)
+            a, b, new = pairs[r]
+            where = index.pop(r)
+            if a == b:  # only then can occurrences overlap: the leftmost comes first
+                where.sort()
+            for i in where:
                 j = nxt[i]
                 if sym[i] != a or j < 0 or sym[j] != b:
                     continue
@@ -112,29 +130,36 @@ class PairIndexBpe:
                 sym[i], sym[j], nxt[i] = new, -1, k
                 if k >= 0:
                     prv[k] = i
-                    if (p := (new, sym[k])) in merges:
-                        if p not in index:
-                            index[p] = []
-                            heapq.heappush(heap, (merges[p][0], p))
-                        index[p].append(i)
+                    if (q := known(new << 32 | sym[k])) is not None:
+                        if q in index:
+                            index[q].append(i)
+                        else:
+                            index[q] = [i]
+                            push(heap, q)
                 h = prv[i]
-                if h >= 0 and (p := (sym[h], new)) in merges:
-                    if p not in index:
-                        index[p] = []
-                        heapq.heappush(heap, (merges[p][0], p))
-                    index[p].append(h)
-        for w, i in zip(words, starts):
-            ids = []
-            while i >= 0:
-                ids.append(sym[i])
-                i = nxt[i]
-            self.cache[w] = b"".join([x.to_bytes(4, "little") for x in ids])
-            self.shown[w] = self.decode(ids).encode("utf-8", "surrogatepass")
+                if h >= 0 and (q := known(sym[h] << 32 | new)) is not None:
+                    if q in index:
+                        index[q].append(h)
+                    else:
+                        index[q] = [h]
+                        push(heap, q)
+        left = np.array(sym)
+        alive = left >= 0
+        ids = left[alive]
+        packed, ids = ids.astype("<u4").tobytes(), ids.tolist()
+        stops = np.cumsum(alive)[ends - 1].tolist()
+        cache, shown, spelled = self.cache, self.shown, self.spelled.__getitem__
+        at = 0
+        for w, to in zip(words, stops):
+            cache[w] = packed[4 * at : 4 * to]
+            shown[w] = b" ".join(map(spelled, ids[at:to]))
+            at = to
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.word.findall(text.lower())
+        if text.isascii():
+            return self.word_ascii.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return (self.word if self.higher.search(text) else self.word_bmp).findall(text)
 
     def _pieces(self, text: str) -> list[str]:
         """Words of a text; special tokens stand as themselves, marked by a leading NUL."""
