@@ -29,3 +29,22 @@ def test_forecast_calibrate_verify(spark, tmp_path):
     assert read("proxy").count() == 2
     run("manifest", "--path", f"{tmp_path}/s")
     assert read("manifest").count() == 2
+    run("simulate", "--series", series, "--origin", "1995", "--h", "4", "--paths", "50", "--model", "jump", "--t-df", "3")
+    assert read("simulate").count() == 8
+    run("match-sample", "--forecast", f, "--series", series, "--origin", "1995")
+    assert read("match-sample").count() == 20
+    run("annualise", "--series", series)
+    assert read("annualise").count() == 80
+    run("correlate", "--series", series)
+    assert read("correlate").count() == 1
+    run("breaks", "--series", series)
+    run("report", "--table", f"{tmp_path}/correlate", "--title", "Pairs")
+    assert "## Pairs" in [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
+    (tmp_path / "runs" / "walk_1995_cal").mkdir(parents=True)
+    (tmp_path / "runs" / "walk_1995_cal" / "s.csv").write_text("indicator,level,covered,total,coverage_rate\nalpha,0.9,3,4,0.75\n")
+    run("rollup", "--runs", f"{tmp_path}/runs/*/*.csv")
+    (row,) = read("rollup").collect()
+    assert (row.run, row.origin, row.covered) == ("walk_1995_cal", "1995", "3")
+    (tmp_path / "c.yml").write_text("indicators:\n  - name: alpha\n    unit: pct\n")
+    run("validate", "--config", f"{tmp_path}/c.yml", "--keys", "unit", "transform", "--names", "alpha", "beta")
+    assert {(r.name, r.key) for r in read("validate").collect()} == {("alpha", "transform"), ("beta", None)}

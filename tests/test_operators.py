@@ -211,3 +211,48 @@ def test_audit_report_and_gate(spark):
     assert "| 1 |" in govern.markdown(spark.createDataFrame([(1,)], "a int"), "t")
     rows = spark.createDataFrame([(1.0, 2.0, 1.0, 2.0, 3.0, 2.0, 0.01, 0.1)], "crps_model double, crps_base double, brier_model double, brier_base double, loss_model double, loss_base double, coverage_error double, skill double")
     assert govern.acceptance(rows).first().accepted
+
+
+def test_jump_paths(spark, walk):
+    m = forecast.standardised_steps(walk).withColumn("no", F.when(F.col("indicator") == "a", 1).otherwise(2).cast("long"))
+    calm = {r.indicator: r for r in forecast.jump_paths(m, 2000, 1, rate=0.0).groupBy("indicator").agg(F.avg("y").alias("m"), F.stddev("y").alias("s")).collect()}
+    for r in m.collect():
+        assert abs(calm[r.indicator].m - (r["mean"] + r.sd * (r["last"] + r.drift))) < 5 * r.sd * r.step / 2000**0.5
+        assert 0.9 < calm[r.indicator].s / (r.sd * r.step) < 1.1
+    wild = forecast.path_quantiles(forecast.jump_paths(m, 2000, 4, rate=1.0, df=3)).where("horizon = 4").collect()
+    quiet = {r.indicator: r.q95 - r.q05 for r in forecast.path_quantiles(forecast.jump_paths(m, 2000, 4, rate=0.0)).where("horizon = 4").collect()}
+    assert all(r.q95 - r.q05 > quiet[r.indicator] for r in wild)
+    again = forecast.jump_paths(m.repartition(7), 50, 3).exceptAll(forecast.jump_paths(m.coalesce(1), 50, 3))
+    assert again.count() == 0
+    assert forecast.jump_paths(m.limit(0), 10, 3).count() == 0
+    with pytest.raises(ValueError):
+        forecast.jump_paths(m, 1, 1, df=0)
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4])
+def test_t_draws(spark, df):
+    u = lambda s: forecast.uniform_sql(f"(id * 7919 + {s} * 15485863)")
+    (row,) = spark.range(40000).select(F.expr(forecast.jump_sql(u, df)).alias("t")).agg(F.percentile("t", F.lit(0.75)).alias("q"), F.percentile("t", F.lit(0.5)).alias("m")).collect()
+    # quartiles of the Student distribution
+    assert abs(row.q - {1: 1.0, 2: 0.816497, 3: 0.764892, 4: 0.740697}[df]) < 0.04 and abs(row.m) < 0.03
+
+
+def test_local_trend(spark):
+    line = obs(spark, [("line", t, 2.0 * t) for t in range(10)] + [("late", t, 1.0) for t in range(20, 30)] + [("flat", t, 5.0) for t in range(5)] + [("short", 0, 1.0), ("short", 1, 2.0), ("line", 50, 999.0), ("line", 4, None)])
+    got = {(r.indicator, r.horizon): r for r in forecast.local_trend(line, 15, 2).collect()}
+    assert {i for i, _ in got} == {"line", "flat"}
+    assert abs(got["line", 1].q50 - 20) < 0.7 and abs(got["line", 2].q50 - got["line", 1].q50 - 2) < 0.7
+    assert got["flat", 2].q50 == got["flat", 2].q05 == 5.0
+
+
+def test_match_sample(spark):
+    f = spark.createDataFrame([("a", 1, 0.0, 1.0, 2.0), ("a", 2, 1.0, 3.0, 5.0), ("flat", 1, 1.0, 2.0, 3.0), ("flat", 2, 1.0, 2.0, 3.0), ("none", 1, 1.0, 2.0, 3.0)], FC)
+    o = obs(spark, [("a", 1, 10.0), ("a", 2, 14.0), ("a", 3, None), ("a", 9, 1e9), ("flat", 1, 4.0)])
+    got = {(r.indicator, r.horizon): (r.q05, r.q50, r.q95) for r in calibrate.match_sample(f, o, 5).collect()}
+    assert got == {("a", 1): (13.0, 15.0, 17.0), ("a", 2): (15.0, 19.0, 23.0), ("flat", 1): (3.0, 4.0, 5.0), ("flat", 2): (3.0, 4.0, 5.0), ("none", 1): (1.0, 2.0, 3.0)}
+
+
+def test_complete_steps(spark):
+    o = obs(spark, [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, None), ("b", 2, 5.0), ("b", 3, 6.0)])
+    assert sorted(map(tuple, series.complete_steps(o).collect())) == [("a", 2, 2.0), ("b", 2, 5.0)]
+    assert series.complete_steps(o.limit(0)).count() == 0

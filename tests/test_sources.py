@@ -78,3 +78,9 @@ def test_stream_equals_batch(spark, tmp_path):
         assert tidy(spark.table("daily")) == tidy(windowed_mean(events, "ts", "event_type", "value"))
     finally:
         q.stop()
+
+
+def test_series_named_as_the_file_and_quoted_cells(spark, tmp_path):
+    (tmp_path / "trust.csv").write_text('Entity,Code,Year,Trust\n"United, States",USA,1990,"41.5"\n"say ""so""",X,1991,\n')
+    got = sorted(map(tuple, sources.read_series_dir(spark, f"{tmp_path}/*.csv").collect()))
+    assert got == [("trust", 1990, 41.5), ("trust", 1991, None)]

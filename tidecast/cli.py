@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast import sources
-from tidecast.operators import calibrate, combine, forecast, govern, score, stats
+from tidecast.operators import calibrate, combine, forecast, govern, score, series as sr, stats
 
-MODELS = {"local-level": forecast.local_level, "drift": forecast.drift_forecast, "shock": forecast.shock_moments}
+MODELS = {"local-level": forecast.local_level, "drift": forecast.drift_forecast, "shock": forecast.shock_moments, "trend": forecast.local_trend}
 
 
 def load_series(spark: SparkSession, path: str, indicators: list[str] | None = None) -> DataFrame:
@@ -40,7 +40,8 @@ def _parser() -> argparse.ArgumentParser:
     many, origins = {"nargs": "+", "default": None}, {"nargs": "+", "type": int}
     h = {"type": int, "default": 15}
     add("forecast", "series", "origin", "model", "h", "indicators", model={"choices": MODELS, "default": "local-level"}, h=h, indicators=many, origin={"type": int})
-    add("simulate", "series", "origin", "h", "paths", "rate", "indicators", h={"type": int, "default": 40}, paths={"type": int, "default": 10000}, rate={"type": float, "default": 0.2}, indicators=many, origin={"type": int})
+    kinds = {"model": {"choices": ["walk", "jump"], "default": "walk"}, "t-df": {"type": int, "default": 4}}
+    add("simulate", "series", "origin", "h", "paths", "rate", "model", "t-df", "indicators", **kinds, h={"type": int, "default": 40}, paths={"type": int, "default": 10000}, rate={"type": float, "default": 0.2}, indicators=many, origin={"type": int})
     for name in ("calibrate-sigma", "calibrate-mean"):
         add(name, "forecast", "series", "origins", "target", "indicators", origins=origins, target={"type": float, "default": 0.9}, indicators=many)
     for name in ("alpha", "bias"):
@@ -51,6 +52,12 @@ def _parser() -> argparse.ArgumentParser:
     add("ensemble", "list")
     add("overlap", "forecast")
     add("proxy", "forecast", "proxy", "origin", origin={"type": int})
+    add("match-sample", "forecast", "series", "origin", "indicators", origin={"type": int}, indicators=many)
+    for name in ("annualise", "breaks", "correlate"):
+        add(name, "series", "indicators", indicators=many)
+    add("rollup", "runs")
+    add("report", "table", "title", title={"default": "Report"})
+    add("validate", "config", "key", "keys", "names", key={"default": "indicators"}, keys={"nargs": "+"}, names={"nargs": "+"})
     add("manifest", "path")
     return p
 
@@ -62,7 +69,11 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command == "forecast":
         return MODELS[a.model](series, a.origin, a.h)
     if a.command == "simulate":
-        params = forecast.moments(forecast.train(series, a.origin, 8)).withColumn("no", F.pmod(F.xxhash64("indicator"), F.lit(1 << 20)))
+        past = forecast.train(series, a.origin, 8)
+        params = forecast.standardised_steps(past) if a.model == "jump" else forecast.moments(past)
+        params = params.withColumn("no", F.pmod(F.xxhash64("indicator"), F.lit(1 << 20)))
+        if a.model == "jump":
+            return forecast.path_quantiles(forecast.jump_paths(params, a.paths, a.h, rate=a.rate, df=a.t_df))
         return forecast.path_quantiles(forecast.paths(params, a.paths, a.h, rate=a.rate))
     if a.command == "ensemble":
         return combine.ensemble_equal({p: load_forecast(spark, p) for p in sources.list_file(spark, a.list)})
@@ -74,6 +85,18 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         rows = sources.read_csv(spark, a.proxy)
         rows = rows.select("region", "indicator", F.col("year").try_cast("long").alias("t"), F.col("value").try_cast("double").alias("value"))
         return combine.proxy_validation(fcst, rows, a.origin)
+    if a.command == "match-sample":
+        return calibrate.match_sample(fcst, series, a.origin)
+    if a.command == "annualise":
+        return sr.densify(series)
+    if a.command == "breaks":
+        return sr.break_flags(series)
+    if a.command == "correlate":
+        return sr.correlation_pairs(series)
+    if a.command == "rollup":
+        return sources.read_tagged(spark, a.runs, "indicator string, level double, covered long, total long, coverage_rate double")
+    if a.command == "validate":
+        return audit(spark, a.config, a.key, a.keys, a.names)
     if a.command == "manifest":
         return govern.manifest(spark, a.path)
     points = calibrate.join_truth(fcst, series, a.origins if hasattr(a, "origins") else a.origin)
@@ -99,9 +122,21 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return stats.significance(summary.select("indicator", "level", F.col("covered").alias("x"), F.col("total").alias("n")))
 
 
+def audit(spark: SparkSession, path: str, key: str, keys: list[str], names: list[str]) -> DataFrame:
+    """What a JSON or YAML configuration lacks of the wanted keys and entries; a configuration is one small file."""
+    (row,) = spark.read.text(path, wholetext=True).collect()
+    entries = [(x["name"], k) for x in sources.read_config(row.value, key) if "name" in x for k in x]
+    one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    return govern.config_audit(spark.createDataFrame(entries, "name string, key string"), one(keys, "key"), one(names, "name"))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"tidecast {a.command}").getOrCreate()
+    if a.command == "report":
+        text = govern.markdown(sources.read_csv(spark, a.table), a.title)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(a.out)
+        return
     sources.write_csv(plan(spark, a), a.out)
 
 

@@ -86,3 +86,15 @@ def bias(points: DataFrame) -> DataFrame:
 def shift(fcst: DataFrame, deltas: DataFrame) -> DataFrame:
     d = F.coalesce("delta", F.lit(0.0))
     return fcst.join(deltas, KEY, "left").select(KEY, "horizon", *[(F.col(c) + d).alias(c) for c in ("q05", "q50", "q95")])
+
+
+def match_sample(fcst: DataFrame, obs: DataFrame, origin: int) -> DataFrame:
+    """Scale quantiles by the deviation of the observed values over that of the medians, then shift by the last value less the first median.
+
+    Medians that do not vary keep their scale. Indicators without history stay as they are.
+    """
+    seen = obs.where((F.col("t") <= origin) & F.col("value").isNotNull()).groupBy("indicator").agg(F.stddev_pop("value").alias("sd_obs"), F.max_by("value", "t").alias("last"))
+    mids = fcst.groupBy("indicator").agg(F.stddev_pop("q50").alias("sd_mid"), F.min_by("q50", "horizon").alias("mid"))
+    scale = F.when(F.col("sd_mid") > 0, F.coalesce(F.col("sd_obs") / F.col("sd_mid"), F.lit(1.0))).otherwise(1.0)
+    rows = fcst.join(mids.join(seen, "indicator", "left"), "indicator")
+    return rows.select("indicator", "horizon", *[(F.col(q) * scale + F.coalesce(F.col("last") - F.col("mid"), F.lit(0.0))).alias(q) for q in ("q05", "q50", "q95")])

@@ -132,6 +132,60 @@ def paths(params: DataFrame, n_paths: int, h: int, seed: int = 12345, rate: floa
     return rows.select(KEY, "path", "horizon", (F.col("last") + F.sum("eta").over(w) + F.col("eps")).alias("y"))
 
 
+def standardised_steps(obs: DataFrame) -> DataFrame:
+    """For each indicator the mean and deviation of its values and, of the standardised ones, drift, step deviation (0.1 at least) and the last."""
+    every, w = Window.partitionBy(KEY), Window.partitionBy(KEY).orderBy("t")
+    rows = obs.withColumn("mean", F.avg("value").over(every)).withColumn("sd", F.stddev_samp("value").over(every))
+    rows = rows.withColumn("z", F.try_divide(F.col("value") - F.col("mean"), F.col("sd")))
+    rows = rows.withColumn("dz", F.col("z") - F.lag("z").over(w))
+    got = rows.groupBy(KEY).agg(F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.avg("dz").alias("drift"), F.stddev_samp("dz").alias("step"), F.max_by("z", "t").alias("last"))
+    return got.withColumn("drift", F.coalesce("drift", F.lit(0.0))).withColumn("step", F.greatest(F.coalesce("step", F.lit(0.1)), F.lit(0.1)))
+
+
+def jump_sql(uniform, df: int) -> str:
+    """A Student-t draw: a normal over the root of a mean of ``df`` squared normals. Two squares at a time are one logarithm."""
+    normal = lambda s: f"sqrt(-2e0 * ln({uniform(s)})) * cos(2e0 * pi() * {uniform(s + 1)})"
+    squares = [f"(-2e0 * ln({uniform(8 + k)}))" for k in range(df // 2)]
+    if df % 2:
+        squares.append(f"pow({normal(8 + df // 2)}, 2e0)")
+    return f"({normal(6)}) / sqrt(({' + '.join(squares)}) / {num(df)})"
+
+
+def jump_paths(params: DataFrame, n_paths: int, h: int, seed: int = 12345, rate: float = 0.2, df: int = 4) -> DataFrame:
+    """Paths of the standardised walk whose step gains a Student-t jump where a Poisson count is above 0, in the data's own units.
+
+    ``params`` are those of :func:`standardised_steps` with an integer ``no``;
+    draws are counter-based as in :func:`paths`.
+    """
+    if df < 1:
+        raise ValueError("df must be 1 or more")
+    rows = _horizons(params.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_paths - 1).cast("long")))), h)
+    u = lambda s: uniform_sql(f"({seed} + no * 7368787 + path * 7919 + horizon * 104729 + {s} * 15485863)")
+    noise = f"sqrt(-2e0 * ln({u(1)})) * cos(2e0 * pi() * {u(2)})"
+    eta = F.expr(f"drift + step * ({noise} + CASE WHEN {poisson_sql(u(5), rate)} > 0 THEN {jump_sql(u, df)} ELSE 0e0 END)")
+    w = Window.partitionBy(KEY, "path").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("eta", eta).select(KEY, "path", "horizon", (F.col("mean") + F.col("sd") * (F.col("last") + F.sum("eta").over(w))).alias("y"))
+
+
+def local_trend(obs: DataFrame, origin: int, h: int, level_var: float = 0.1, trend_var: float = 0.1) -> DataFrame:
+    """Level and trend by a Kalman filter over standardised values without observation noise; bands widen with the root of the horizon.
+
+    The filter starts from the first two values; indicators need three. The
+    level is the last value, so the filter carries the trend and its variance.
+    """
+    rows = train(obs, origin)
+    every = Window.partitionBy(KEY)
+    rows = rows.withColumn("mean", F.avg("value").over(every)).withColumn("sd", F.stddev_samp("value").over(every))
+    z = F.coalesce(F.try_divide(F.col("value") - F.col("mean"), F.col("sd")), F.lit(0.0))
+    series = rows.groupBy(KEY).agg(F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.transform(F.array_sort(F.collect_list(F.struct("t", z.alias("z")))), lambda s: s["z"]).alias("y"))
+    ql, qb = num(level_var), num(trend_var)
+    start = f"named_struct('l', get(y, 1), 'b', get(y, 1) - get(y, 0), 'p', {ql} + {qb})"
+    step = f"named_struct('l', v, 'b', f.b + f.p / (f.p + {ql}) * (v - f.l - f.b), 'p', f.p + {qb} - f.p * f.p / (f.p + {ql}))"
+    run = _horizons(series.withColumn("k", F.expr(f"aggregate(slice(y, 3, size(y)), {start}, (f, v) -> {step})")), h)
+    mu = F.col("mean") + F.col("sd") * (F.col("k.l") + F.col("horizon") * F.col("k.b"))
+    return quantiles(run, mu, F.col("sd") * F.sqrt("horizon"))
+
+
 def poisson_sql(u: str, rate: float, top: int = 6) -> str:
     import math
 

@@ -56,6 +56,14 @@ def origin_panel(obs: DataFrame, origin: int, least: int, indicators: list[str])
     return train.join(enough, KEY, "left_semi").groupBy("t").pivot(KEY, indicators).agg(F.first("value"))
 
 
+def complete_steps(obs: DataFrame) -> DataFrame:
+    """Observations of the steps at which every indicator has a value."""
+    rows = obs.where("value IS NOT NULL")
+    total = rows.agg(F.count_distinct(KEY).alias("n_all"))  # one row
+    full = rows.groupBy("t").agg(F.count_distinct(KEY).alias("n")).join(F.broadcast(total), F.col("n") == F.col("n_all")).select("t")
+    return rows.join(full, "t", "left_semi").select(KEY, "t", "value")
+
+
 def with_difference(obs: DataFrame) -> DataFrame:
     """Differences between consecutive observed steps; a gap counts as one step."""
     w = Window.partitionBy(KEY).orderBy("t")

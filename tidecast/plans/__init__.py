@@ -78,6 +78,11 @@ def dedupe_first(spark, d):
     return series.dedupe_first(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
+@query(f"WITH {EVENTS}, g AS (SELECT * FROM obs WHERE value IS NOT NULL AND (t % 4 <> 2 OR indicator > 'c')) SELECT indicator, t, R(value) AS value FROM g WHERE t IN (SELECT t FROM g GROUP BY t HAVING count(DISTINCT indicator) = (SELECT count(DISTINCT indicator) FROM g))", 6)
+def complete_steps(spark, d):
+    return series.complete_steps(obs_events(spark, d).where("t % 4 <> 2 or indicator > 'c'"))
+
+
 _P = ", ".join(f"R(max(CASE WHEN indicator = '{p}' THEN value END)) AS p{p[0]}" for p in PRIORITIES)
 
 
@@ -293,6 +298,31 @@ def event_probs(spark, d):
     return forecast.event_rates(_sim(spark, d).join(last, KEY))
 
 
+def _jump_sql(seed=12345, rate=0.2, df=4):
+    u = lambda s: forecast.uniform_sql(f"({seed} + no * 7368787 + path * 7919 + horizon * 104729 + {s} * 15485863)", "duckdb")
+    noise = f"sqrt(-2e0 * ln({u(1)})) * cos(2e0 * pi() * {u(2)})"
+    return f"""zm AS (SELECT *, avg(value) OVER (PARTITION BY indicator) AS mean, stddev_samp(value) OVER (PARTITION BY indicator) AS sd FROM tr),
+zd AS (SELECT *, (value - mean) / sd AS z, (value - mean) / sd - lag((value - mean) / sd) OVER (PARTITION BY indicator ORDER BY t) AS dz FROM zm),
+zs AS (SELECT indicator, CAST(substr(indicator, 1, 1) AS BIGINT) AS no, max(mean) AS mean, max(sd) AS sd, coalesce(avg(dz), 0) AS drift, greatest(coalesce(stddev_samp(dz), 1e-1), 1e-1) AS step, arg_max(z, t) AS last FROM zd GROUP BY indicator),
+zc AS (SELECT zs.*, path, horizon FROM zs, (SELECT CAST(p AS BIGINT) AS path FROM range(0, {N_PATHS}) r(p)), {_HS}),
+zp AS (SELECT indicator, path, horizon, mean + sd * (last + sum(drift + step * ({noise} + CASE WHEN {forecast.poisson_sql(u(5), rate)} > 0 THEN {forecast.jump_sql(u, df)} ELSE 0e0 END)) OVER (PARTITION BY indicator, path ORDER BY horizon)) AS y FROM zc)"""
+
+
+@query(f"{_TR}, {_jump_sql()} SELECT indicator, horizon, R(quantile_cont(y, 5e-2)) AS q05, R(quantile_cont(y, 5e-1)) AS q50, R(quantile_cont(y, 9.5e-1)) AS q95 FROM zp GROUP BY ALL", 2)
+def jump_paths(spark, d):
+    m = forecast.standardised_steps(forecast.train(obs_orders(spark, d), ORIGIN)).withColumn("no", F.substring(KEY, 1, 1).cast("long"))
+    return forecast.path_quantiles(forecast.jump_paths(m, N_PATHS, H))
+
+
+@query(f"""{_RTR}, o AS (SELECT indicator, (value - avg(value) OVER p) / stddev_samp(value) OVER p AS z, avg(value) OVER p AS mean, stddev_samp(value) OVER p AS sd, row_number() OVER (PARTITION BY indicator ORDER BY t) AS i FROM tr WINDOW p AS (PARTITION BY indicator)),
+lt AS (SELECT o.indicator, o.mean, o.sd, o.i, o.z AS l, o.z - a.z AS b, 2e-1 AS p FROM o JOIN o a ON a.indicator = o.indicator AND a.i = 1 WHERE o.i = 2
+UNION ALL SELECT lt.indicator, lt.mean, lt.sd, o.i, o.z, lt.b + lt.p / (lt.p + 1e-1) * (o.z - lt.l - lt.b), lt.p + 1e-1 - lt.p * lt.p / (lt.p + 1e-1) FROM lt JOIN o ON o.indicator = lt.indicator AND o.i = lt.i + 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY i DESC) AS k FROM lt)
+SELECT indicator, horizon, R(mean + sd * (l + horizon * b) - {num(Z95)} * sd * sqrt(horizon)) AS q05, R(mean + sd * (l + horizon * b)) AS q50, R(mean + sd * (l + horizon * b) + {num(Z95)} * sd * sqrt(horizon)) AS q95 FROM e, {_HS} WHERE k = 1""", 2)
+def local_trend(spark, d):
+    return forecast.local_trend(obs_orders(spark, d), ORIGIN, H)
+
+
 # -- calibration ----------------------------------------------------------
 
 _CRIT = "CASE WHEN y = q50 THEN 0e0 WHEN y > q50 THEN (y - q50) / (q95 - q50) ELSE (q50 - y) / (q50 - q05) END"
@@ -325,6 +355,16 @@ def bias_correct(spark, d):
     return calibrate.shift(tb.fcst(spark, d), calibrate.bias(points(spark, d)))
 
 
+_MS = "* CASE WHEN sd_mid > 0 THEN sd_obs / sd_mid ELSE 1e0 END + last - mid"
+
+
+@query(f"""WITH {OBS}, {mom()}, {fc()}, s AS (SELECT indicator, stddev_pop(value) AS sd_obs, arg_max(value, t) AS last FROM tr GROUP BY indicator),
+m AS (SELECT indicator, stddev_pop(q50) AS sd_mid, arg_min(q50, horizon) AS mid FROM fc GROUP BY indicator)
+SELECT indicator, horizon, R(q05 {_MS}) AS q05, R(q50 {_MS}) AS q50, R(q95 {_MS}) AS q95 FROM fc JOIN s USING (indicator) JOIN m USING (indicator)""", 2)
+def match_sample(spark, d):
+    return calibrate.match_sample(tb.fcst(spark, d), obs_orders(spark, d), ORIGIN)
+
+
 _BAND = lambda z, sign: f"R(q50 + CASE WHEN indicator = '2-HIGH' THEN 8.5e-1 ELSE 1e0 END * {sign}{num(z)} * (q95 - q05) / (2e0 * {num(Z95)}))"
 
 

@@ -91,17 +91,26 @@ def columns_with(columns: list[str], *parts: str) -> list[str]:
 
 
 def read_series_dir(spark: SparkSession, pattern: str) -> DataFrame:
-    """All series files of a directory as (indicator, t, value); the file's name is the indicator. Columns are found by name only."""
+    """All series files of a directory as (indicator, t, value); the file's name is the indicator.
+
+    Columns are found by name only: ``year`` or else ``date``, ``value`` or
+    else the column named as the file. Cells may be quoted, but hold no line
+    breaks.
+    """
     from tidecast.operators.series import year_from_text
 
     files = spark.read.format("binaryFile").load(pattern).select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"))
     lines = F.split("text", r"\r?\n")
-    head = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda x: F.lower(F.trim(x)))
+    # a cell is quoted, with doubled quotes inside, or runs to the next comma
+    unquoted = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, 2, F.greatest(F.length(x) - 2, F.lit(0))), F.lit('""'), F.lit('"'))).otherwise(x)
+    cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1)), lambda x: F.trim(unquoted(F.trim(x))))
+    head = F.transform(cells(F.get(lines, F.lit(0))), F.lower)
     parts = files.select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("indicator"), head.alias("head"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).where("line <> ''")
-    cell = lambda name: F.trim(F.get(F.split("line", ","), F.array_position("head", name).cast("int") - 1))
+    parts = parts.withColumn("cells", cells(F.col("line")))
+    cell = lambda name: F.get("cells", F.array_position("head", name).cast("int") - 1)
     has = lambda name: F.array_contains("head", name)
     year = F.when(has("year"), cell("year").try_cast("double").try_cast("int")).when(has("date"), year_from_text(cell("date")))
-    rows = parts.select("indicator", year.cast("long").alias("t"), F.when(has("value"), cell("value").try_cast("double")).alias("value"))
+    rows = parts.select("indicator", year.cast("long").alias("t"), F.when(has("value"), cell("value")).when(has(F.lower("indicator")), cell(F.lower("indicator"))).try_cast("double").alias("value"))
     return rows.where("t IS NOT NULL")
 
 
