@@ -1,10 +1,11 @@
 """Document scores by masked pseudo-likelihood.
 
 A bidirectional window network predicts every token from the two tokens on each
-side of it: embeddings of the neighbours, a tanh layer, a softmax over token
-classes. The most frequent tokens of the corpus are classes of their own; other
-tokens belong to the class of their shape and are spelled out by the corpus's
-byte-pair counts. Token and byte counts cover all documents. The network is
+side of it: embeddings of the neighbours, a tanh layer, a softmax over groups of
+tokens and shapes, and a softmax over the words of the group. Every token at or
+above a share of the corpus is a word of its own; other tokens belong to the
+class of their shape and are spelled out by the corpus's byte-pair counts. As
+neighbours they are told apart by a hash. Token and byte counts cover all documents. The network is
 trained in numpy by rounds: every partition takes steps on its share of a fixed
 fraction of the documents, and the parameters are averaged by the tokens seen.
 A document's score is the sum of the conditional log-probabilities of all its
@@ -14,9 +15,11 @@ tokens.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,10 +30,13 @@ from pyspark.sql.types import StructType
 
 from tidecast.llm.common import as_bytes, map_arrow, materialize, table, without
 
+#: Every token seen this often and of this share of all tokens is a word of the network, and so are the FREQUENT first ones. The share bounds the words at 100,000.
+LEAST_COUNT, LEAST_SHARE = 5, 1e-5
 FREQUENT = 112
-SHAPES = 14
-CLASSES = FREQUENT + SHAPES
-EDGE, NAMES = CLASSES, CLASSES + 1  # the place beside a text's ends
+SHAPES, HASHED = 14, 64
+CLASSES = FREQUENT + SHAPES  # of the smallest network
+RARE = SHAPES * HASHED  # numbers of tokens that are no words, by shape and hash; those of the words follow
+EDGE = -1  # the place beside a text's ends
 EMBED, HIDDEN = 16, 24
 SIDES = (-2, -1, 1, 2)
 #: Each round trains on this fixed fraction of the documents, by a hash of their text.
@@ -38,7 +44,8 @@ ROUNDS, ROUND_PARTS = 2, 10
 #: Distinct tokens that a task counts before it passes them on.
 HELD_TOKENS = 200_000
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]").findall
-SIZES = [(NAMES, EMBED), (len(SIDES) * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+#: Parameters that a row holds when networks are averaged.
+BLOCK = 8192
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -57,9 +64,30 @@ def shape(token: bytes) -> int:
     return 8 + min(5, len(token) // 4)
 
 
+def sizes(words: int) -> list[tuple[int, ...]]:
+    """Shapes of the parameters: embeddings (the last is the edge's), hidden layer, softmax over shapes and groups, softmax of every group."""
+    size = max(1, int(np.ceil(np.sqrt(words))))
+    groups = -(-words // size)
+    return [(RARE + words + 1, EMBED), (len(SIDES) * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, SHAPES + groups), (SHAPES + groups,), (groups, HIDDEN, size), (groups, size)]
+
+
+def _length(words: int) -> int:
+    return sum(int(np.prod(s)) for s in sizes(words))
+
+
+@lru_cache(16)
+def _words(length: int) -> int:
+    """How many words a network of so many parameters has."""
+    lo, hi = 0, length
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (mid + 1, hi) if _length(mid) < length else (lo, mid)
+    return lo
+
+
 def _unpack(flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
-    for s in SIZES:
+    for s in sizes(_words(len(flat))):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
@@ -67,14 +95,28 @@ def _unpack(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def initial(counts: np.ndarray, seed: int = 11) -> np.ndarray:
-    """Random parameters; the output bias starts at the log of the class frequencies."""
+    """Random parameters for ``counts`` of the shapes and then the words; the output biases start at the logs of the frequencies."""
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.3, s) if len(s) > 1 else np.zeros(s) for s in SIZES]
+    parts = [rng.normal(0, 0.3, s) if len(s) > 1 else np.zeros(s) for s in sizes(len(counts) - SHAPES)]
     parts[1] /= np.sqrt(len(SIDES))
-    parts[4] = np.log((counts + 0.5) / (counts.sum() + 0.5 * CLASSES))
+    slots = np.zeros(parts[6].shape)
+    slots.ravel()[: len(counts) - SHAPES] = counts[SHAPES:]
+    head = np.concatenate([counts[:SHAPES], slots.sum(1)])
+    parts[4] = np.log((head + 0.5) / (head.sum() + 0.5 * len(head)))
+    parts[6] = np.log((slots + 0.5) / (slots + 0.5).sum(1, keepdims=True))
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
+def _aims(target: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """Class in the first softmax and place in the group of every token, and the rows of each group of words."""
+    word = np.maximum(target - RARE, 0)
+    group = np.where(target < RARE, -1, word // size)
+    order = np.argsort(group.astype(np.int16 if size < 30000 else np.int32), kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-2))
+    runs = ((int(group[rows[0]]), rows) for rows in np.split(order, cuts[1:]) if len(rows) and group[rows[0]] >= 0)
+    return np.where(group < 0, target // HASHED, SHAPES + group), word % size, runs
+
+
 def neighbours(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(n, sides) classes beside every token; texts lie end to end and don't see each other."""
     n = len(classes)
@@ -88,52 +130,66 @@ def neighbours(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return out
 
 
-def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int = 512, rate: float = 0.003, seed: int = 5) -> np.ndarray:
+def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int = 4096, rate: float = 0.01, seed: int = 5) -> np.ndarray:
     """One pass of Adam over the given tokens, from ``flat``."""
     flat = flat.copy()
     p = _unpack(flat)
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    m, v, g, spare = (np.zeros_like(flat) for _ in range(4))
+    q = _unpack(g)
     order = np.random.default_rng(seed).permutation(len(target))
-    for t, at in enumerate(range(0, len(order), batch), 1):
-        rows = order[at : at + batch]
-        x, y = near[rows], target[rows]
+    for t, first in enumerate(range(0, len(order), batch), 1):
+        rows = order[first : first + batch]
+        x = near[rows]
+        head, place, runs = _aims(target[rows], p[6].shape[1])
         e = p[0][x].reshape(len(rows), -1)
         h = np.tanh(e @ p[1] + p[2])
-        z = h @ p[3] + p[4]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(rows)), y] -= 1
-        z /= len(rows)
-        dh = (z @ p[3].T) * (1 - h * h)
+        z = _error(h @ p[3] + p[4], head, len(rows))
+        dh = z @ p[3].T
+        g[:] = 0
+        for k, at in runs:
+            near_h = h[at]
+            y = _error(near_h @ p[5][k] + p[6][k], place[at], len(rows))
+            dh[at] += y @ p[5][k].T
+            q[5][k], q[6][k] = near_h.T @ y, y.sum(0)
+        dh *= 1 - h * h
         de = (dh @ p[1].T).reshape(-1, EMBED)
-        back = np.stack([np.bincount(x.ravel(), de[:, k], NAMES) for k in range(EMBED)], 1).astype(np.float32)
-        g = np.concatenate([back.ravel(), (e.T @ dh).ravel(), dh.sum(0), (h.T @ z).ravel(), z.sum(0)])
-        m += 0.1 * (g - m)
-        v += 0.001 * (g * g - v)
-        flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        names = x.ravel() % len(p[0])
+        for k in range(EMBED):
+            q[0][:, k] = np.bincount(names, de[:, k], len(p[0]))
+        q[1][:], q[2][:], q[3][:], q[4][:] = e.T @ dh, dh.sum(0), h.T @ z, z.sum(0)
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=spare)
+        v *= 0.999
+        v += np.multiply(np.square(g, out=spare), 0.001, out=spare)
+        np.sqrt(v, out=spare)
+        spare += 1e-8 * np.sqrt(1 - 0.999**t)
+        np.divide(m, spare, out=spare)
+        flat -= np.multiply(spare, rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t), out=spare)
     return flat
 
 
-def class_log_probabilities(flat: np.ndarray, near: np.ndarray, target: np.ndarray, step: int = 2048) -> np.ndarray:
-    p = _unpack(flat)
+def _error(z: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The logits' gradient of the mean loss over ``n`` tokens, in their place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(y)), y] -= 1
+    z /= n
+    return z
+
+
+def _softmax_logs(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
     # the hidden layer lies in -1..1, which bounds the logits: where their range is narrow, one shift serves all rows
-    reach = np.abs(p[3]).sum(0)
-    shift = (p[4] + reach).max()
-    narrow = shift - (p[4] - reach).max() < 60
-    bias = p[4] - shift if narrow else p[4]
-    # what each neighbour adds to the hidden layer, worked out once for every class
-    side = [p[0] @ p[1][i * EMBED : (i + 1) * EMBED] for i in range(len(SIDES))]
-    out = np.empty(len(target), np.float32)
-    ones = np.ones(CLASSES, np.float32)
-    for at in range(0, len(target), step):
-        x, y = near[at : at + step], target[at : at + step]
-        h = side[0][x[:, 0]] + p[2]
-        for i in range(1, len(SIDES)):
-            h += side[i][x[:, i]]
-        z = np.tanh(h, out=h) @ p[3]
+    reach = np.abs(w).sum(0)
+    shift = (b + reach).max()
+    narrow = shift - (b - reach).max() < 60
+    bias = b - shift if narrow else b
+    out = np.empty(len(y), np.float32)
+    ones = np.ones(len(b), np.float32)
+    for at in range(0, len(y), step):
+        z = h[at : at + step] @ w
         z += bias
-        own = z[np.arange(len(y)), y]
+        own = z[np.arange(len(z)), y[at : at + step]]
         if not narrow:
             top = z.max(1)
             z -= top[:, None]
@@ -142,6 +198,25 @@ def class_log_probabilities(flat: np.ndarray, near: np.ndarray, target: np.ndarr
     return out
 
 
+def class_log_probabilities(flat: np.ndarray, near: np.ndarray, target: np.ndarray, step: int = 2048) -> np.ndarray:
+    """Of every token that is a word, and of every other token's shape."""
+    p = _unpack(flat)
+    # what each neighbour adds to the hidden layer, worked out once for every name
+    side = [p[0] @ p[1][i * EMBED : (i + 1) * EMBED] for i in range(len(SIDES))]
+    h = np.empty((len(target), HIDDEN), np.float32)
+    for at in range(0, len(target), step):
+        x = near[at : at + step]
+        own = side[0][x[:, 0]] + p[2]
+        for i in range(1, len(SIDES)):
+            own += side[i][x[:, i]]
+        np.tanh(own, out=h[at : at + step])
+    head, place, runs = _aims(target, p[6].shape[1])
+    out = _softmax_logs(h, p[3], p[4], head, step)
+    for k, at in runs:
+        out[at] += _softmax_logs(h[at], p[5][k], p[6][k], place[at], step)
+    return out
+
+
 @dataclass
 class WindowModel:
     frequent: dict[bytes, int]
@@ -155,7 +230,7 @@ class WindowModel:
         number = dict(self.frequent)
         fresh = list(set().union(*lists).difference(number))
         number.update(zip(fresh, range(len(self.frequent), len(self.frequent) + len(fresh))))
-        kinds = np.array([*range(len(self.frequent)), *[FREQUENT + shape(t) for t in fresh]], np.int32)
+        kinds = np.array([*range(RARE, RARE + len(self.frequent)), *[shape(t) * HASHED + zlib.crc32(t) % HASHED for t in fresh]], np.int32)
         # all fresh tokens spelled at once: each byte after the one before it, a space around every token
         costs = np.zeros(len(kinds))
         if fresh:
@@ -220,16 +295,20 @@ def train(docs: DataFrame, text: str = "text") -> WindowModel:
     spark = docs.sparkSession
     rows = docs.select(as_bytes(text).alias("b"))
     counts = materialize(map_arrow(rows, _count, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    top = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    kept = counts.where("kind = 0")
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_COUNT, LEAST_SHARE * total)
+    top = kept.where(F.col("n") >= least).orderBy(F.desc("n"), "key").collect()  # 1 / LEAST_SHARE rows at most
+    if len(top) < FREQUENT:
+        top = kept.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     frequent = {bytes(r["key"]): i for i, r in enumerate(top)}
     spelling = np.full((256, 256), 0.01)
     for r in counts.where("kind = 1").collect():  # 65,536 rows at most
         spelling[r["key"][0], r["key"][1]] += r["n"]
     spelling = np.log(spelling / spelling.sum(1, keepdims=True))
-    freq = np.zeros(CLASSES)
-    freq[: len(top)] = [r["n"] for r in top]
-    rest = counts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    freq[FREQUENT:] = (rest - freq.sum()) / SHAPES
+    freq = np.zeros(SHAPES + max(FREQUENT, len(top)))
+    freq[SHAPES : SHAPES + len(top)] = [r["n"] for r in top]
+    freq[:SHAPES] = (total - freq.sum()) / SHAPES
     model = WindowModel(frequent, spelling, initial(freq))
     for k in range(ROUNDS):
         model = WindowModel(frequent, spelling, _round(rows, model, k))
@@ -248,13 +327,20 @@ def _round(rows: DataFrame, model: WindowModel, k: int) -> np.ndarray:
                     flat = fit_steps(flat, neighbours(classes, starts, lengths), classes)
                     seen += len(classes)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float) * seen), pa.array(np.full(len(flat), seen, np.int64))], ["i", "x", "w"])
+            blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary()), pa.array([seen] * len(blocks), pa.int64())], ["i", "x", "w"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        total, weight = 0.0, 0
+        for x, w in zip(rows["x"], rows["w"].to_pylist()):
+            total, weight = total + np.frombuffer(x.as_py(), np.float32).astype(float) * w, weight + w
+        return pa.table({"i": rows["i"][:1], "x": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
     share = rows.where(F.pmod(F.xxhash64("b"), F.lit(ROUND_PARTS)) == k)
-    mean = map_arrow(share, run, "i int, x double, w long").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x"))
+    means = map_arrow(share, run, "i int, x binary, w long").groupBy("i").applyInArrow(mean, "i int, x binary")
     flat = model.flat.copy()
-    for r in mean.collect():  # one row for each parameter
-        flat[r["i"]] = r["x"]
+    for r in means.collect():  # the parameters in blocks
+        flat[r["i"] * BLOCK :][:BLOCK] = np.frombuffer(r["x"], np.float32)
     return flat
 
 
