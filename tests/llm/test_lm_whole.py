@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidecast.llm import lmscore
 
@@ -39,3 +40,12 @@ def test_rare_words_differ_as_neighbours():
     model = lmscore.WindowModel({b"the": 0}, np.zeros((256, 256)), lmscore.initial(np.ones(lmscore.CLASSES)))
     a, b = model.score([b"the bazda the", b"the kozmo the"])[1]
     assert lmscore.shape(b"bazda") == lmscore.shape(b"kozmo") and a != b
+
+
+def test_every_document_trains(pairs):
+    """No remainder of the hash that chooses a round's documents is left out."""
+    for k in range(10):
+        part = pairs.where(F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(10)) == k).limit(8)
+        rows = part.select(F.col("text").cast("binary").alias("b"))
+        model = lmscore.WindowModel({}, np.zeros((256, 256)), lmscore.initial(np.ones(lmscore.CLASSES)))
+        assert part.count() and any(not np.array_equal(lmscore._round(rows, model, r), model.flat) for r in range(lmscore.ROUNDS)), k

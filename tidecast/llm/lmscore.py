@@ -6,8 +6,9 @@ tokens and shapes, and a softmax over the words of the group. Every token at or
 above a share of the corpus is a word of its own; other tokens belong to the
 class of their shape and are spelled out by the corpus's byte-pair counts. As
 neighbours they are told apart by a hash. Token and byte counts cover all documents. The network is
-trained in numpy by rounds: every partition takes steps on its share of a fixed
-fraction of the documents, and the parameters are averaged by the tokens seen.
+trained in numpy by rounds, each on a part of the documents and together on all:
+every partition takes steps on its share of the part, and the parameters are
+averaged by the tokens seen.
 A document's score is the sum of the conditional log-probabilities of all its
 tokens.
 """
@@ -39,8 +40,8 @@ RARE = SHAPES * HASHED  # numbers of tokens that are no words, by shape and hash
 EDGE = -1  # the place beside a text's ends
 EMBED, HIDDEN = 16, 24
 SIDES = (-2, -1, 1, 2)
-#: Each round trains on this fixed fraction of the documents, by a hash of their text.
-ROUNDS, ROUND_PARTS = 2, 10
+#: Each round trains on its own part of the documents, by a hash of their text; together the rounds cover all.
+ROUNDS = 2
 #: Distinct tokens that a task counts before it passes them on.
 HELD_TOKENS = 200_000
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]").findall
@@ -336,7 +337,7 @@ def _round(rows: DataFrame, model: WindowModel, k: int) -> np.ndarray:
             total, weight = total + np.frombuffer(x.as_py(), np.float32).astype(float) * w, weight + w
         return pa.table({"i": rows["i"][:1], "x": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
-    share = rows.where(F.pmod(F.xxhash64("b"), F.lit(ROUND_PARTS)) == k)
+    share = rows.where(F.pmod(F.xxhash64("b"), F.lit(ROUNDS)) == k)
     means = map_arrow(share, run, "i int, x binary, w long").groupBy("i").applyInArrow(mean, "i int, x binary")
     flat = model.flat.copy()
     for r in means.collect():  # the parameters in blocks
