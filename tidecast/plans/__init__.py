@@ -262,7 +262,7 @@ def fsm_shock_moments(spark, d):
     return forecast.shock_moments(obs_orders(spark, d), ORIGIN, H)
 
 
-N_PATHS = 500
+N_PATHS = 10_000
 
 
 def _sim(spark, d, rate=0.2, seed=12345, h=H):
@@ -283,6 +283,14 @@ def fsm_paths(spark, d):
     return forecast.path_quantiles(_sim(spark, d))
 
 
+H_LONG = 40
+
+
+@query(f"{_TR}, {_sim_sql().replace(_HS, _HS.replace(str(H + 1), str(H_LONG + 1)))} SELECT indicator, horizon, R(quantile_cont(y, 5e-2)) AS q05, R(quantile_cont(y, 5e-1)) AS q50, R(quantile_cont(y, 9.5e-1)) AS q95 FROM sim12345 GROUP BY ALL", 2)
+def fsm_paths_long(spark, d):
+    return forecast.path_quantiles(_sim(spark, d, h=H_LONG))
+
+
 @query(f"""{_TR}, {_sim_sql()}, {_sim_sql(777, 0.0)}, tp AS (SELECT i.indicator, s.path, s.horizon, s.y AS x FROM sim777 s, (SELECT DISTINCT indicator FROM sim777) i WHERE s.indicator = '1-URGENT'),
 a AS (SELECT *, row_number() OVER (PARTITION BY indicator, horizon ORDER BY y, path) AS r FROM sim12345), b AS (SELECT *, row_number() OVER (PARTITION BY indicator, horizon ORDER BY x, path) AS r FROM tp)
 SELECT a.indicator, b.path, a.horizon, R(a.y) AS y FROM a JOIN b ON a.indicator = b.indicator AND a.horizon = b.horizon AND a.r = b.r""", 2)
