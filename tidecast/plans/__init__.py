@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions import Z75, Z95, Z975, between_sql, crps_sql, num, phi_sql
@@ -415,7 +418,7 @@ _MULTI = " UNION ALL ".join(f"SELECT fc.*, CAST({o} AS BIGINT) AS origin, obs.va
 
 @query(f"WITH {OBS}, {mom()}, {fc()}, m AS ({_MULTI}) SELECT indicator, origin, count(*) AS n, R(avg({crps_sql('y', 'q50', SM)})) AS crps FROM m GROUP BY ALL", 2)
 def multi_origin_crps(spark, d):
-    rows = score.crps(calibrate.join_truth(tb.fcst(spark, d), obs_orders(spark, d), _ORIGINS))
+    rows = reduce(DataFrame.union, [score.crps(calibrate.join_truth(tb.fcst(spark, d, o), obs_orders(spark, d), o)) for o in _ORIGINS])
     return rows.groupBy(KEY, "origin").agg(F.count("*").alias("n"), F.avg("crps").alias("crps"))
 
 
