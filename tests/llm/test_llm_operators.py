@@ -108,9 +108,9 @@ def plain_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_decontaminate(spark, corpus, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     some = [t for _, t in sorted(texts(corpus), key=str) if t][:60]
     items = [(k, t.replace(",", ";").upper() if k % 2 else t) for k, t in enumerate(some[:9])] + [(20, "x x"), (21, "zebra"), (22, None), (23, ""), (None, some[12]), (20, "x x"), (24, "ÉTÉ FORÊT le"), (25, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -132,6 +132,36 @@ def test_decontaminate(spark, corpus, limit, monkeypatch):
     assert got == want and len(want) > 5
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_words_are_lowered_apart_from_their_neighbours(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    rnd = random.Random(5)
+    letters, signs = "ΣσςΑαΙİiIıBßẞéÉKK", " .-'·:_\n "
+    text = lambda n: "".join(rnd.choice(letters if rnd.random() < 0.62 else signs) for _ in range(n))
+    items = [(k, text(rnd.randrange(1, 26))) for k in range(60)] + [(100, "ΑΣ ΒΓ ΔΕ")]
+    docs = [(900, "ΑΣ.ΒΓ ΔΕ one two three"), (901, "ΑΣ ΒΓ ΔΕ one"), (902, "ΑΣ-ΒΓ ΔΕ"), (903, None), (904, ""), (905, "Q " * 20000)]
+    for k in range(200):
+        w = [x.upper() if x.isascii() and rnd.random() < 0.5 else x for x in plain_words(rnd.choice(items)[1])]
+        docs.append((k, text(rnd.randrange(30)) + rnd.choice(" .-") + rnd.choice(" .-:").join(w) + rnd.choice(" .-") + text(9)))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit("x"))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("item", F.lit(2))
+    got = {r.id: (sorted(r["items"]), r.n_hit) for r in decontaminate.contamination(rows, bench).collect()}
+    want = {}
+    for i, t in docs[:4] + docs[6:]:
+        w, hit, its = plain_words(t), set(), set()
+        for item, b in items:
+            q = plain_words(b)
+            n = min(10, len(q))
+            for a in range(len(q) - n + 1) if n else ():
+                for s in range(len(w) - n + 1):
+                    if w[s : s + n] == q[a : a + n]:
+                        hit.update(range(s, s + n))
+                        its.add(item)
+        if hit:
+            want[i] = (sorted(its), len(hit))
+    assert got == want and {900, 901, 902} <= set(got)
+
+
 def test_decontaminate_empty(spark, corpus, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(corpus, none).count() == 0

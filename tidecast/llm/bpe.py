@@ -1,11 +1,13 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The tokenizer file is read, never trained. Words of a partition that have not
-been met yet are laid out side by side as linked symbols. An index maps each
-adjacent pair to all its positions; the ranks that occur are taken in ascending
-order, every position of a rank's pair is merged, and only the lists of the
-pairs beside it are updated. Each merge makes a token of its own, so pairs made
-by a merge always rank later and one ascending sweep equals word-by-word BPE.
+The tokenizer file is read, never trained. A partition is taken in blocks of
+some millions of bytes, so that memory is bounded. The distinct words of a block
+whose tokens are not at hand are laid out side by side as linked symbols. An
+index maps each adjacent pair to all its positions in the block; the ranks that
+occur are taken in ascending order, every position of a rank's pair is merged,
+and only the lists of the pairs beside it are updated. Each merge makes a token
+of its own, so pairs made by a merge always rank later and one ascending sweep
+equals word-by-word BPE.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidecast.llm.common import map_arrow, without
+from tidecast.llm.common import map_arrow, table, without
 
-#: Words kept with their tokens by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 500_000
+#: Bytes of the words that a worker keeps with their tokens, as counted by ``_cost``; beyond it, it keeps those of the last block.
+CACHE_BYTES = 24 << 20
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
@@ -83,9 +85,11 @@ class PairIndexBpe:
         self.word_ascii = self._pattern("A-Za-z", "0-9")
         self.higher = re.compile("[\U00010000-\U0010ffff]")
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.spelled = {i: t.encode("utf-8", "surrogatepass") for i, t in self.tokens.items()}
+        self.spelled = [b""] * (max(self.tokens) + 1)
+        for i, t in self.tokens.items():
+            self.spelled[i] = t.encode("utf-8", "surrogatepass")
         self.cache: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _pattern(letters: str, numbers: str) -> re.Pattern:
@@ -146,14 +150,18 @@ class PairIndexBpe:
         left = np.array(sym)
         alive = left >= 0
         ids = left[alive]
-        packed, ids = ids.astype("<u4").tobytes(), ids.tolist()
-        stops = np.cumsum(alive)[ends - 1].tolist()
-        cache, shown, spelled = self.cache, self.shown, self.spelled.__getitem__
-        at = 0
+        packed = ids.astype("<u4").tobytes()
+        stops = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        cache, at = self.cache, 0
         for w, to in zip(words, stops):
-            cache[w] = packed[4 * at : 4 * to]
-            shown[w] = b" ".join(map(spelled, ids[at:to]))
+            cache[w] = packed[at:to]
             at = to
+        self.held += self._cost(words) + len(packed)
+
+    @staticmethod
+    def _cost(words) -> int:
+        """Bytes that words take as keys, with a fixed part for the entry and for the tokens' object."""
+        return 200 * len(words) + sum(map(len, words))
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
@@ -174,21 +182,20 @@ class PairIndexBpe:
         return out
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text, its ids as little-endian 32-bit integers and its decoded text in UTF-8."""
-        return [pair for text in texts for pair in self._encode_some([text])]
-
-    def _encode_some(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each text, its ids as little-endian 32-bit integers and its decoded text in UTF-8; the texts are one block."""
         pieces = [self._pieces(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-            self.shown.clear()
+        words = set().union(*pieces)
+        if self.held > CACHE_BYTES:
+            self.cache = {w: self.cache[w] for w in words if w in self.cache}
+            self.held = self._cost(self.cache) + sum(map(len, self.cache.values()))
         for t, i in self.special.items():
-            self.cache["\0" + t], self.shown["\0" + t] = i.to_bytes(4, "little"), t.encode()
-        fresh = set().union(*pieces).difference(self.cache)
+            self.cache["\0" + t] = i.to_bytes(4, "little")
+        fresh = words.difference(self.cache)
         if fresh:
             self._learn(fresh)
-        ids, shown = self.cache.__getitem__, self.shown.__getitem__
-        return [(b"".join(map(ids, p)), b" ".join(map(shown, p))) for p in pieces]
+        ids, spelled = self.cache.__getitem__, self.spelled.__getitem__
+        joined = [b"".join(map(ids, p)) for p in pieces]
+        return [(d, b" ".join(map(spelled, np.frombuffer(d, "<u4").tolist()))) for d in joined]
 
     def encode(self, text: str) -> list[int]:
         data = self.encode_batch([text])[0][0]
@@ -208,18 +215,22 @@ def _codec(path: str) -> PairIndexBpe:
     return _LOADED[path]
 
 
-def _groups(texts: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of texts of about ``size`` characters: the share of a partition indexed together."""
-    group: list[str] = []
-    n = 0
-    for t in texts:
-        group.append(t)
-        n += len(t)
-        if n >= size:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
+#: Bytes of text whose words are indexed together.
+BLOCK_BYTES = 2 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of a partition's batches of about ``BLOCK_BYTES``."""
+    block: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        block.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def bpe(docs: DataFrame, text: str = "text", vocabulary: str | None = None, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
@@ -240,36 +251,32 @@ def bpe(docs: DataFrame, text: str = "text", vocabulary: str | None = None, with
     schema = StructType([*base.schema.fields, *StructType.fromDDL(", ".join(f"{n} {kinds[n]}" for n in names)).fields])
     keep = [f.name for f in base.schema.fields]
 
+    def coded(batch: pa.RecordBatch, pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        cols = [
+            pa.array([len(data) // 4 for data, _ in pairs], pa.int64()),
+            pa.array([hashlib.sha256(data).hexdigest() for data, _ in pairs], pa.string()),
+            pa.array([hashlib.sha256(shown).hexdigest() for _, shown in pairs], pa.string()),
+        ]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum([len(data) // 4 for data, _ in pairs])]).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join([data for data, _ in pairs]))])
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets), flat))
+        if with_decoded:
+            cols.append(pa.array([shown for _, shown in pairs], pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *cols], keep + names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(keep.index(text)).to_pylist()]
-            n, sha, dsha, ids, decoded = [], [], [], [], []
-            for group in _groups(texts):
-                for data, shown in codec._encode_some(group):
-                    n.append(len(data) // 4)
-                    sha.append(hashlib.sha256(data).hexdigest())
-                    dsha.append(hashlib.sha256(shown).hexdigest())
-                    if with_ids:
-                        ids.append(data)
-                    if with_decoded:
-                        decoded.append(shown.decode("utf-8", "surrogatepass"))
-            cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dsha, pa.string())]
-            if with_ids:
-                offsets = [0]
-                for d in ids:
-                    offsets.append(offsets[-1] + len(d) // 4)
-                flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
-            if with_decoded:
-                cols.append(pa.array(decoded, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], keep + names)
+        for block in _blocks(batches):
+            pairs = codec.encode_batch([t or "" for batch in block for t in batch.column(keep.index(text)).to_pylist()])
+            at = 0
+            for batch in block:
+                yield coded(batch, pairs[at : at + batch.num_rows])
+                at += batch.num_rows
 
     return map_arrow(base, run, schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
-    from tidecast.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe(docs, with_ids=False, with_decoded=False).drop("text")

@@ -3,9 +3,10 @@
 Every item is cut into windows of ``size`` consecutive words (one shorter window
 for a shorter item) and every window into word shingles. A window occurs only
 where all its shingles do, so one of them, the rarest in the corpus, is the
-whole necessary prefix. The prefixes are joined with the documents' shingles;
-the shingle's offset bounds where the window must start and its length where it
-must end; the words there are then compared exactly.
+whole necessary prefix. The corpus is cut into shingles once: those that an item
+has are kept with their places, counted, and joined with the prefixes. The
+shingle's offset bounds where the window must start and its length where it must
+end; only for such places are the words fetched and compared exactly.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import materialize, table
+from tidecast.llm.common import Scratch, table
 
 WINDOW = 10
 SHINGLE = 3
-#: Windows are broadcast up to this number (a few hundred bytes each), joined by a shuffle beyond it.
-BROADCAST_WINDOWS = 50_000
+#: Tables are broadcast up to so many bytes, by a count of rows and of the bytes of their texts; joined by a shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,6 +28,16 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
+def _low(raw: Column) -> Column:
+    """The words in all-lower case. Words that differ in A-Z only become equal, wherever they stand.
+
+    A letter's lower case may depend on its neighbours (a sigma's does), so the
+    words are lowered between single spaces, in documents and windows alike,
+    and never between the signs that a text has there.
+    """
+    return F.split(F.lower(F.array_join(raw, " ")), " ")
+
+
 def _key(words: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(words, at + j) for j in range(n)])
 
@@ -36,52 +47,47 @@ def _windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFr
     items = benchmark.select(F.col(item_id).alias("item"), raw_words(F.col(text)).alias("raw")).where(F.size("raw") > 0)
     items = items.withColumn("len", F.least(F.size("raw"), F.lit(size)))
     cut = items.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("raw") - F.col("len") + 1))).withColumn("raw", F.slice("raw", F.col("at"), F.col("len")))
-    joined = F.array_join("raw", " ")
-    return cut.select("item", "len", F.translate(joined, UPPER, LOWER).alias("win"), F.split(F.lower(joined), " ").alias("w")).dropDuplicates(["item", "win"])
+    return cut.select("item", "len", F.translate(F.array_join("raw", " "), UPPER, LOWER).alias("win"), _low(F.col("raw")).alias("w")).dropDuplicates(["item", "win"])
 
 
-def _exploded(docs: DataFrame, n: int) -> DataFrame:
-    """Shingle keys of ``n`` words, in all-lower case, of each document, with their places."""
-    rows = docs.select("id", "h", "raw", "low", F.posexplode("low").alias("pos", "_w"))
-    return rows.where(F.col("pos") <= F.size("low") - n).select("id", "h", "raw", "pos", _key(F.col("low"), F.col("pos"), n).alias("key"))
+def _hint(df: DataFrame, *texts: str):
+    """``F.broadcast`` if the table's bytes, 100 for a row besides its texts, are within the bound."""
+    size = df.agg(F.count("*") * 100 + F.coalesce(F.sum(sum([F.coalesce(F.octet_length(F.col(t).cast("string")), F.lit(0)) for t in texts], F.lit(0))), F.lit(0))).first()[0]
+    return F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """(id, h, item, start, end): where windows of items occur in documents.
 
     A document is its id with a hash ``h`` of its text; ``start`` counts words from 0, ``end`` is exclusive.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    low = F.array_remove(F.split(F.lower(body), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
-    words = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), raw_words(F.col(text)).alias("raw"), low.alias("low"))
-    wins = materialize(_windows(benchmark, item_id, item_text, size))
-    few = wins.count() <= BROADCAST_WINDOWS
-    hint = F.broadcast if few else (lambda df: df)
-    found = None
-    for n in sorted({min(SHINGLE, r["len"]) for r in wins.select("len").distinct().collect()}):
-        own = wins.where(F.least("len", F.lit(SHINGLE)) == n)
-        cut = own.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("len") - n))).withColumn("key", _key(F.col("w"), F.col("off"), n)).drop("w")
-        cut = materialize(cut)
-        rows = _exploded(words, n)
-        # how often each of the items' shingles occurs in the corpus
-        seen = rows.select("key").join(hint(cut.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("seen"))
-        prefix = cut.join(materialize(seen), "key").groupBy("item", "win", "len").agg(F.min_by(F.struct("key", "off"), F.struct("seen", "key", "off")).alias("p"), F.count("*").alias("occurring"))
-        # a shingle that occurs nowhere rules its window out
-        prefix = prefix.where(F.col("occurring") == F.col("len") - n + 1).select("item", "win", "len", "p.key", "p.off")
-        prefix = materialize(prefix)
-        start = F.col("pos") - F.col("off")
-        text_there = F.translate(F.array_join(F.slice("raw", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "), UPPER, LOWER)
-        if few:
-            hit = rows.join(F.broadcast(prefix), (rows.key == prefix.key) & (start >= 0) & (start + F.col("len") <= F.size("raw")) & (text_there == F.col("win")))
-        else:
-            placed = rows.drop("raw").join(prefix, "key").where(start >= 0)
-            hit = placed.join(words.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "raw"), F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")))
-            hit = hit.where((start + F.col("len") <= F.size("raw")) & (text_there == F.col("win")))
-        hit = hit.select("id", "h", "item", start.alias("start"), (start + F.col("len")).alias("end"))
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], f"id {docs.schema[doc_id].dataType.simpleString()}, h long, item {benchmark.schema[item_id].dataType.simpleString()}, start int, end int")
-    return found
+    keep = (scratch or Scratch(docs.sparkSession)).keep
+    words = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), raw_words(F.col(text)).alias("raw"))
+    wins = keep(_windows(benchmark, item_id, item_text, size).withColumn("n", F.least("len", F.lit(SHINGLE))))
+    widths = sorted(r["n"] for r in wins.select("n").distinct().collect())  # SHINGLE of them at most
+    if not widths:
+        return docs.sparkSession.createDataFrame([], f"id {docs.schema[doc_id].dataType.simpleString()}, h long, item {benchmark.schema[item_id].dataType.simpleString()}, start int, end int")
+    by_width = lambda w, at: F.coalesce(*[F.when(F.col("n") == n, _key(F.col(w), F.col(at), n)) for n in widths])
+    cut = keep(wins.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("n")))).select("item", "win", "len", "n", "off", by_width("w", "off").alias("key")))
+    known = cut.select("n", "key").distinct()
+    # every shingle of the corpus that an item has, in one pass
+    low = words.select("id", "h", _low(F.col("raw")).alias("low")).select("id", "h", "low", F.posexplode("low").alias("pos", "_w"))
+    each = F.array(*[F.when(F.col("pos") <= F.size("low") - n, F.struct(F.lit(n).alias("n"), _key(F.col("low"), F.col("pos"), n).alias("key"))) for n in widths])
+    rows = low.select("id", "h", "pos", F.inline(each)).where("key is not null")
+    met = keep(rows.join(_hint(known)(known), ["n", "key"], "left_semi"))
+    seen = keep(met.groupBy("n", "key").agg(F.count("*").alias("seen")))
+    prefix = cut.join(_hint(seen)(seen), ["n", "key"]).groupBy("item", "win", "len", "n").agg(F.min_by(F.struct("key", "off"), F.struct("seen", "key", "off")).alias("p"), F.count("*").alias("occurring"))
+    # a shingle that occurs nowhere rules its window out
+    prefix = keep(prefix.where(F.col("occurring") == F.col("len") - F.col("n") + 1).select("item", "win", "len", "n", "p.key", "p.off"))
+    placed = met.join(_hint(prefix, "win", "item")(prefix), ["n", "key"]).where("pos >= off").select("id", "h", "item", "win", "len", (F.col("pos") - F.col("off")).alias("start"))
+    # the words there, fetched for these places only
+    placed = keep(placed)
+    some = placed.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct()
+    texts = words.join(_hint(some, "i2")(some), F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi").dropDuplicates(["id", "h"])
+    there = texts.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "raw")
+    hit = placed.join(there, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).where(F.col("start") + F.col("len") <= F.size("raw"))
+    hit = hit.where(F.translate(F.array_join(F.slice("raw", F.col("start") + 1, F.col("len")), " "), UPPER, LOWER) == F.col("win"))
+    return hit.select("id", "h", "item", "start", (F.col("start") + F.col("len")).alias("end"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -90,17 +96,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Nulls and texts without words hold none, and items without words have no
     window. Rows that repeat an id and its text are one document; an item that
     repeats counts once; an item without id marks words but is not listed.
-    Empty tables give an empty result.
+    Among shingles seen equally often the one with the smaller key, then
+    offset, is the prefix; the result does not depend on it. Very long texts
+    and items are taken whole. Other columns of both tables, whatever their
+    names, are not read. Empty tables give an empty result.
     """
-    found = find_windows(docs, benchmark, doc_id, text, item_id, item_text, size)
-    by_doc = found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.collect_set("item").alias("items"))
+    scratch = Scratch(docs.sparkSession)
+    found = find_windows(docs, benchmark, doc_id, text, item_id, item_text, size, scratch)
+    spans = found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.collect_set("item").alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).cast("long").alias("n"), F.greatest(a["to"], s["end"]).alias("to")),
         lambda a: a["n"],
     )
-    return by_doc.select("id", "h", "items", covered.alias("n_hit"))
+    return scratch.result(spans.select("id", "h", "items", covered.alias("n_hit")))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -120,10 +130,9 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents that hold a window of a benchmark item go."""
-    hits = contamination(docs, table(spark, sf_dir, "benchmark")).select("id", "h")
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    return keyed.join(hits, keyed.doc_id.eqNullSafe(hits.id) & (F.col("__h") == hits.h), "left_anti").select(*docs.columns)
+    """Stage: documents that hold a window of a benchmark item go. Repeated rows go or stay together; all columns stay as they are."""
+    hits = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"]) == hits["__h"]), "left_anti")
 
 
 ORACLE = r"""

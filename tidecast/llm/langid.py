@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import as_bytes, map_arrow, table, without
+from tidecast.llm.common import as_bytes, column_bytes, map_arrow, table, without
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = column_bytes(batch.column(names.index(text)))
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             cut: list[bytes] = []
             new: list[int] = []
@@ -209,9 +209,9 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
                     if len(cut) > 4096:
                         flush()
             flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return map_arrow(base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")), run, schema)
+    return map_arrow(base, run, schema)
 
 
 def held_out(i):

@@ -11,7 +11,10 @@ earlier, in order of document and line. Any such maximal run is the union of
 its minimal windows: for each line, the shortest run from it and the shortest
 run up to it that have ``min_words`` words. A window of L lines is named by two
 overlapping ranks of level log2(L); within its interval all but the first are
-later copies.
+later copies. Levels end at the longest such window: every longer run is made of
+them, so longer common prefixes need no rank of their own. The first place of
+every name is a small table of its own, written before the windows meet it, so
+that a name borne by many windows is split over tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import materialize, table
+from tidecast.llm.common import Scratch, fresh, set_aside, table
 
 MIN_WORDS = 50
 DOC = ["id", "h"]
@@ -36,12 +39,12 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("id", "h", "pos", "line", (spaces + 1).cast("long").alias("words"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
 
 
-def _ranked(rows: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], rest: list[str], keep) -> DataFrame:
     """Rows whose key occurs at two places or more, with the key's rank in sorted order as ``r``."""
     place = F.struct(*DOC, "pos")
     groups = rows.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi")
     # ids given along a sorted table rise with the keys: no task sees them all
-    names = materialize(groups.select(*keys).orderBy(*keys).withColumn("r", F.monotonically_increasing_id()))
+    names = keep(groups.select(*keys).orderBy(*keys).withColumn("r", F.monotonically_increasing_id()))
     return rows.join(names, keys).select(*DOC, "pos", *rest, "r")
 
 
@@ -72,12 +75,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A document is its id with a hash ``h`` of its text. Rows that repeat both
     are one document and no copies of each other. The first copy is the one
     with the smallest id (nulls first), then hash, then line. Null and blank
-    texts have no lines; blank lines are passed over. An empty table gives an
-    empty result.
+    texts have no lines; blank lines are passed over. Texts of any length are
+    cut into lines whole. Columns other than the two named are not read. An
+    empty table gives an empty result.
     """
-    lines = materialize(_lines(docs, doc_id, text))
-    active = materialize(_ranked(lines, ["h1", "h2"], ["line", "words"]).dropDuplicates([*DOC, "pos"]))
-    windows = materialize(_minimal_windows(active, min_words).withColumn("len", F.col("e") - F.col("p") + 1))
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.keep
+    lines = keep(_lines(docs, doc_id, text))
+    active = keep(_ranked(lines, ["h1", "h2"], ["line", "words"], keep).dropDuplicates([*DOC, "pos"]))
+    windows = keep(_minimal_windows(active, min_words).withColumn("len", F.col("e") - F.col("p") + 1))
     longest = windows.agg(F.max("len")).first()[0] or 0
     ranks, level, later = active.select(*DOC, "pos", "r"), 0, None
     while 1 << level <= longest:
@@ -86,26 +92,21 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = lambda c, name: ranks.select(*DOC, F.col("pos").alias(c), F.col("r").alias(name))  # noqa: E731, B023
         named = own.withColumn("q", F.col("e") - (step - 1))
         named = _same_doc(_same_doc(named, at("p", "r1"), "p"), at("q", "r2"), "q")
-        named = materialize(named.select(*DOC, "p", "e", "len", "r1", "r2"))
+        named = keep(named.select(*DOC, "p", "e", "len", "r1", "r2"))
         place = F.struct(*DOC, "p")
-        first = named.groupBy("len", "r1", "r2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").drop("hi")
+        first = keep(named.groupBy("len", "r1", "r2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").drop("hi"))
         copies = named.join(first, ["len", "r1", "r2"]).where(place > F.col("lo")).select(*DOC, "p", "e")
         later = copies if later is None else later.union(copies)
         level += 1
         if 1 << level <= longest:
             pairs = _same_doc(ranks, ranks.select(*DOC, (F.col("pos") - step).alias("pos"), F.col("r").alias("s")), "pos")
-            ranks = materialize(_rank_pairs(materialize(pairs)))
+            ranks = keep(_ranked(keep(pairs.withColumnRenamed("r", "r0")), ["r0", "s"], [], keep))
     if later is None:
         later = windows.select(*DOC, "p", "e")
     reach = later.groupBy(*DOC, F.col("p").alias("pos")).agg(F.max("e").alias("e"))
     covered = _same_doc(active.select(*DOC, "pos", "line"), reach, "pos", "left")
     covered = covered.withColumn("to", F.max("e").over(Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    return covered.where(F.col("to") >= F.col("pos")).groupBy(*DOC).agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
-
-def _rank_pairs(pairs: DataFrame) -> DataFrame:
-    named = pairs.withColumnRenamed("r", "r0")
-    return _ranked(named, ["r0", "s"], [])
+    return scratch.result(covered.where(F.col("to") >= F.col("pos")).groupBy(*DOC).agg(F.sort_array(F.collect_list("line")).alias("lines")))
 
 
 def _same_doc(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -118,17 +119,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """``docs`` with later copies of repeated runs cut out of ``text``, and ``deleted_lines``, their line numbers.
 
     Texts without such lines stay as they are, nulls too. A text that is a
-    later copy as a whole becomes empty. Other columns pass through; input
-    columns named ``deleted_lines`` are replaced.
+    later copy as a whole becomes empty. Other columns pass through, whatever
+    their names; an input column named ``deleted_lines`` is replaced.
     """
-    gone = repeated_lines(docs, doc_id, text, min_words).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("lines").alias("__gone"))
-    rows = docs.drop("deleted_lines")
-    both = rows.join(gone, rows[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(rows[text]) == F.col("__h")), "left")
-    parts = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    rows = docs if text == "deleted_lines" else docs.drop("deleted_lines")
+    key, at, gone = (fresh(rows, n) for n in ("id", "h", "gone"))
+    found = repeated_lines(docs, doc_id, text, min_words).toDF(key, at, gone)
+    both = rows.join(found, rows[doc_id].eqNullSafe(found[key]) & (F.xxhash64(rows[text]) == found[at]), "left")
+    parts = F.split(rows[text], "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     cut = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut)
-    return both.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("deleted_lines"))
+    new = F.when(F.col(gone).isNull(), rows[text]).otherwise(cut)
+    return both.select(*[new.alias(c) if c == text else rows[f"`{c}`"] for c in rows.columns], F.coalesce(F.col(gone), F.array().cast("array<int>")).alias("deleted_lines"))
 
 
 def op1_linededup(spark, sf_dir: str) -> DataFrame:
@@ -145,8 +147,9 @@ def op1_linededup(spark, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: later copies of repeated runs are cut; a document of which nothing is left goes, one that had nothing stays."""
-    done = dedup_lines(docs)
-    return done.where((F.size("deleted_lines") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    own, back = set_aside(docs, "deleted_lines")
+    done = dedup_lines(own)
+    return back(done.where((F.size("deleted_lines") == 0) | (F.trim("text") != "")).select(*own.columns))
 
 
 ORACLE = """

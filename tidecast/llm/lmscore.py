@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import as_bytes, map_arrow, materialize, table, without
+from tidecast.llm.common import as_bytes, column_bytes, map_arrow, materialize, table, without
 
 #: Every token seen this often and of this share of all tokens is a word of the network, and so are the FREQUENT first ones. The share bounds the words at 100,000.
 LEAST_COUNT, LEAST_SHARE = 5, 1e-5
@@ -360,16 +360,16 @@ def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, total = [], []
-            for group in _chunks(batch.column(len(names)).to_pylist()):
+            for group in _chunks(column_bytes(batch.column(names.index(text)))):
                 a, b = model.score(group)
                 n.append(a)
                 total.append(b)
             n = np.concatenate(n or [np.empty(0, np.int64)]).astype(np.int64)
             total = np.concatenate(total or [np.empty(0)])
             perplexity = pa.array(np.exp(np.minimum(-total / np.maximum(n, 1), 700)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n), pa.array(total), perplexity], [*names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total), perplexity], [*names, *new])
 
-    return map_arrow(base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")), run, schema)
+    return map_arrow(base, run, schema)
 
 
 def op10_lmscore(spark, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ A document is the set of its distinct word shingles, each a 64-bit fingerprint.
 One permutation scatters the fingerprints over a circle of ``CIRCLE`` places; a
 second one, shifted circularly by k, gives signature coordinate k, so all
 coordinates of a shingle are one slice of a single table. Documents with equal
-sets are folded first. Signatures are banded; documents that share a band are
-compared with the member of the band that meets most others, by exact Jaccard
-on the full sets. What a cluster of candidates has left between components is
-compared exactly in blocks, so no link is lost to a group's size and no group
-is held by one task.
+sets are folded first. Signatures are banded. The members of a band are compared
+with its leaders, by exact Jaccard on the full sets: first with the member that
+meets most others, then with one of those that this leaves apart from it and one
+of those it joins. That ends a band of three, and every band in which one member
+at most is still apart. The others are joined to clusters, and what a cluster has
+left between its components is compared exactly in blocks, so no link is lost to
+a group's size and no group is held by one task.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import as_bytes, connected_components, map_arrow, materialize, table
+from tidecast.llm.common import Scratch, as_bytes, connected_components, map_arrow, table
 
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 CIRCLE = 1 << 22
-BLOCK = 256
+BLOCK = 128
 #: Candidate ids are broadcast up to this number (8 bytes each), joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -209,6 +211,7 @@ def _within_blocks(percent: int):
             m = np.zeros((len(sets), min(step, width - lo)), np.float32)
             m[row[a:b], col[a:b] - lo] = 1
             common += m @ m.T
+        common = common.astype(np.int64)  # sums of ones below 2^24: exact
         union = sizes[:, None] + sizes[None] - common
         x, y = np.nonzero(np.triu(100 * common >= percent * union, 1))
         out_a, out_b = [], []
@@ -230,55 +233,87 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their shingle sets; ``component_id`` is the smallest id reachable by links.
     Nulls, empty and white texts have no shingles and link with nothing. Rows
     that repeat an id are one document with all their links. A row without id
-    links with nothing, has no component and is kept. An empty table gives an
+    links with nothing, has no component and is kept. Texts of any length are
+    taken whole; columns other than the two named are not read. Which of several
+    equally good leaders is taken changes no result. An empty table gives an
     empty result.
     """
-    sig = materialize(sketch(docs, doc_id, text, width))
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.keep
+    sig = keep(sketch(docs, doc_id, text, width))
     known = sig.where("n > 0 and id is not null")
-    folded = materialize(known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    folded = keep(known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     keys = folded.select("rep", "n", F.explode("bands").alias("key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(keys.join(counts, "key"))
+    members = keep(keys.join(counts, "key"))
     # the member of a band that shares bands with most others leads it
     mass = members.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("mass"))
-    ranked = members.join(mass, "rep")
-    leader = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("mass", -F.col("rep"))).alias("lead"))
-    pairs = members.join(leader, "key").where("rep <> lead.rep").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct()
-    pairs = materialize(pairs)
-    wanted = materialize(members.select(F.col("rep").alias("id")).distinct())
-    n_wanted = wanted.count()
-    few = n_wanted <= BROADCAST_IDS
-    sets = materialize(_full_sets(docs, F.broadcast(wanted) if few else wanted, doc_id, text, width).join(folded.select("d1", "d2", "rep"), ["d1", "d2"], "left_semi").select("id", "set").dropDuplicates(["id"]))
+    leader = members.join(mass, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("mass", -F.col("rep"))).alias("lead"), F.count("*").alias("size"))
+    leader = keep(leader.select("key", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("ln"), "size"))
+    pairs = members.drop("size").join(leader, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb"))
+    pairs = keep(pairs.distinct())
+    wanted = keep(members.select(F.col("rep").alias("id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    sets = _full_sets(docs, F.broadcast(wanted) if few else wanted, doc_id, text, width).join(folded.select("d1", "d2", "rep"), ["d1", "d2"], "left_semi")
+    sets = keep(sets.select("id", "set").dropDuplicates(["id"]))
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    right = pairs.where(fits).select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    links = materialize(map_arrow(both, _verified(percent), "a long, b long"))
-    star = connected_components(links)
-    cluster = connected_components(pairs)
-    # what is left in a cluster between its components, in blocks
+
+    def verified(some: DataFrame) -> DataFrame:
+        right = some.where(fits).select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        both = right.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+        return keep(map_arrow(both, _verified(percent), "a long, b long"))
+
+    def split(star: DataFrame) -> DataFrame:
+        """(key, rep, n, comp, lead, lcomp): members of the bands of three or more, with their own and their leader's component."""
+        own = star.select(F.col("id").alias("rep"), F.col("component_id").alias("comp"))
+        heads = keep(leader.where("size > 2").join(own.toDF("lead", "lcomp"), "lead", "left").select("key", "lead", F.coalesce("lcomp", "lead").alias("lcomp")))
+        rows = members.where("size > 2").join(own, "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        return rows.join(heads, "key")
+
+    links = verified(pairs)
+    rows = keep(split(connected_components(links, scratch=scratch)))
+    apart = rows.where("comp <> lcomp")
+    if not apart.isEmpty():
+        outer = keep(apart.groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("o")).select("key", "o.*").toDF("key", "o", "on", "ocomp"))
+        inner = rows.where("comp = lcomp and rep <> lead").join(outer.select("key"), "key", "left_semi").groupBy("key").agg(F.max(F.struct("rep", "n")).alias("i"))
+        inner = keep(inner.select("key", F.col("i.rep").alias("i"), F.col("i.n").alias("in")))
+        more = rows.join(outer, "key").where("comp <> ocomp and rep <> lead").select(F.col("o").alias("a"), F.col("rep").alias("b"), F.col("on").alias("na"), F.col("n").alias("nb"))
+        more = more.union(apart.join(inner, "key").select(F.col("i").alias("a"), F.col("rep").alias("b"), F.col("in").alias("na"), F.col("n").alias("nb")))
+        links = keep(links.union(verified(more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))))
+        star = connected_components(links, scratch=scratch)
+        left = split(star).where("comp <> lcomp").join(outer.select("key", "o"), "key").where("rep <> o").select("key").distinct()
+        edges = keep(rows.join(left, "key", "left_semi").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+        if not edges.isEmpty():
+            links = keep(links.union(_remainder(edges, star, sets, percent, scratch)))
+    found = connected_components(links, scratch=scratch)
+    label = folded.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component_id is not null").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
+    mark = sig.join(label, ["d1", "d2"], "left").select(
+        F.col("id").alias(doc_id),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+    )
+    return scratch.result(mark.withColumn("kept", F.coalesce(F.col("component_id") == F.col(doc_id), F.lit(True))))
+
+
+def _remainder(edges: DataFrame, star: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between the components of every cluster of bands that the leaders left undone, compared in blocks."""
+    keep = scratch.keep
+    cluster = connected_components(edges, scratch=scratch)
     placed = cluster.select("id", F.col("component_id").alias("cluster")).join(star, "id", "left").select("id", "cluster", F.coalesce("component_id", "id").alias("comp"))
     sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
     open_ = sizes.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("size") < BLOCK // 4, F.col("size")).otherwise(0)).alias("small")).where("comps > 1")
-    spread = sizes.join(open_, "cluster").select("cluster", "comp", "size", "small")
+    spread = keep(sizes.join(open_, "cluster").select("cluster", "comp", "size", "small"))
     placed = placed.join(spread, ["cluster", "comp"])
     alone = F.col("size") >= BLOCK // 4
     block = F.when(alone, F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK)))
-    placed = materialize(placed.select("id", "cluster", "comp", block.alias("block"), F.when(alone, F.col("comp")).alias("whole")))
+    placed = keep(placed.select("id", "cluster", "comp", block.alias("block"), F.when(alone, F.col("comp")).alias("whole")))
     blocks = placed.select("cluster", "block", "whole").distinct()
     x = blocks.select("cluster", F.col("block").alias("x"), F.col("whole").alias("wx"))
     y = blocks.select("cluster", F.col("block").alias("y"), F.col("whole").alias("wy"))
     tasks = x.join(y, "cluster").where("x <= y and not (wx <=> wy and wx is not null)").select("cluster", "x", "y")
     sides = tasks.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     dealt = sides.join(placed.select("id", "cluster", "comp", "block"), ["cluster", "block"]).join(sets, "id")
-    rest = dealt.groupBy("cluster", "x", "y").applyInArrow(_within_blocks(percent), "a long, b long")
-    found = connected_components(links.union(materialize(rest)))
-    label = folded.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component_id is not null").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    mark = sig.join(label, ["d1", "d2"], "left").select(
-        F.col("id").alias(doc_id),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
-    )
-    return mark.withColumn("kept", F.coalesce(F.col("component_id") == F.col(doc_id), F.lit(True)))
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(_within_blocks(percent), "a long, b long")
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
@@ -286,7 +321,7 @@ def op6_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of every group of near-duplicates the document with the smallest id stays; five words, similarity 0.8."""
+    """Stage: of every group of near-duplicates the document with the smallest id stays; five words, similarity 0.8. All columns stay as they are."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

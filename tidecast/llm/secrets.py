@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import as_bytes, map_arrow, table, without
+from tidecast.llm.common import column_bytes, map_arrow, table, without
 
 END = 256  # the symbol after the last byte
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` supports literals, classes, escapes, groups, |, ?, *, +, {m,}; ``least`` is the
+    """``pattern`` supports literals, classes, escapes, groups, (?i:...), |, ?, *, +, {m,}; ``least`` is the
     smallest length kept, counted over the whole match or, with ``tail``, over its trailing run of
     those bytes. ``base`` rules come first in the digests; others add spans."""
 
@@ -43,13 +43,9 @@ ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 VALUE = ALNUM + "+/_.=-"
 
 
-def _either(word: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-
-
-KEYWORD = "|".join(["password", "passwd", "secret", "token"])
+# The patterns of the three base kinds.
 RULES = (
-    Rule("assign", "(" + "|".join(map(_either, KEYWORD.split("|"))) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, VALUE),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, VALUE),
     Rule("access", "AKIA[A-Z0-9]+", 20),
     Rule("hex", "[0-9a-f]{24,}", 24),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40, "", False),
@@ -62,7 +58,7 @@ class _Parser:
     """Regex to a Thompson automaton: ``eps[s]`` and ``moves[s]`` as (set of bytes, target)."""
 
     def __init__(self, pattern: str):
-        self.p, self.i = pattern, 0
+        self.p, self.i, self.fold = pattern, 0, False
         self.eps: list[list[int]] = []
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         tree = self._alternatives()
@@ -108,8 +104,12 @@ class _Parser:
     def _atom(self):
         c = self._take()
         if c == "(":
+            outside = self.fold
+            if self.p.startswith("?i:", self.i):
+                self.i, self.fold = self.i + 3, True
             inner = self._alternatives()
             assert self._take() == ")"
+            self.fold = outside
             return inner
         if c == "[":
             got: set[int] = set()
@@ -123,8 +123,14 @@ class _Parser:
                 else:
                     got.add(lo)
             self._take()
-            return ("set", frozenset(got))
-        return ("set", frozenset([self._escape() if c == "\\" else ord(c)]))
+            return self._set(got)
+        return self._set({self._escape() if c == "\\" else ord(c)})
+
+    def _set(self, got: set[int]):
+        """A set of bytes; ASCII letters in either case where the group says so."""
+        if self.fold:
+            got = got | {c ^ 32 for c in got if chr(c).isalpha() and c < 128}
+        return ("set", frozenset(got))
 
 
 class _Nfa:
@@ -421,13 +427,13 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         machine = scanner(rules)
         for batch in batches:
             found = []
-            for data in batch.column(len(names)).to_pylist():
+            for data in column_bytes(batch.column(names.index(text))):
                 spans = machine.scan(data)
                 found.append([(rules[r].kind, a, b, rules[r].base) for a, r, b in _points(data, spans)] if spans else [])
             rows = [[dict(zip(("kind", "start", "end", "base"), s)) for s in f] for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, pa.list_(element))], [*names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(element))], [*names, "secrets"])
 
-    return map_arrow(base.select(*[base[f"`{n}`"] for n in names], as_bytes(text).alias("__bytes")), run, schema)
+    return map_arrow(base, run, schema)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
