@@ -5,6 +5,11 @@ each filter's largest response in the window, rectified, goes to a softmax over
 the languages. The network is trained in numpy on labelled windows and applied
 to every window of every text; a text's languages are scored by the mean of its
 windows' log-probabilities, each weighed by the bytes that it adds.
+
+Where texts are to be rejected, the network has one class more, for what is no
+language: the training windows with their characters shuffled, and random
+letters, digits and signs. The probability from which a text counts as that is
+set on labelled texts that the training left out.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidecast.llm.common import as_bytes, column_bytes, map_arrow, table, without
+from tidecast.llm.common import as_bytes, column_bytes, map_arrow, set_aside, table, without
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -28,6 +33,8 @@ FILTERS = 12
 TEXTS_PER_LANG = 400
 WINDOWS_PER_TEXT = 4
 UNKNOWN = "und"
+#: Labelled texts left out of the training to set the bound of rejection, on average as a share of those in it.
+LEFT_OUT = 0.5
 _ASCII_LETTER = re.compile(rb"[A-Za-z]").search
 
 
@@ -60,6 +67,8 @@ class ByteCnn:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    #: Where the last of ``langs`` is no language: the probability from which a text is of none.
+    bound: float = 1.0
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCnn:
@@ -138,12 +147,41 @@ class ByteCnn:
         return out
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", use=None) -> ByteCnn | None:
+def no_language(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows of no language, one for each of ``x``: its characters shuffled, or random letters, digits or signs."""
+    out = []
+    for row in x:
+        kind = rng.integers(4)
+        chars = list(row.tobytes().rstrip(b"\0").decode("utf-8", "ignore"))
+        if kind < 2:  # the places of white space stay, as it is in the text or in a random word length
+            inner = [i for i, c in enumerate(chars) if not c.isspace()] if kind else list(range(len(chars)))
+            for i, j in zip(inner, rng.permutation(inner).tolist() if inner else []):
+                if i < j:
+                    chars[i], chars[j] = chars[j], chars[i]
+        else:
+            signs = "abcdefghijklmnopqrstuvwxyz     " if kind == 2 else "".join(map(chr, range(32, 127)))
+            chars = [signs[i] for i in rng.integers(len(signs), size=len(chars))]
+        data = "".join(chars).encode()[:WINDOW]
+        out.append(np.frombuffer(data.ljust(WINDOW, b"\0"), np.uint8))
+    return np.array(out, np.uint8).reshape(-1, WINDOW)
+
+
+def shortened(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The windows, every third one cut to a random length, as short texts are."""
+    x = x.copy()
+    for i in range(0, len(x), 3):
+        x[i, rng.integers(4, WINDOW) :] = 0
+    return x
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", use=None, reject: bool = False) -> ByteCnn | None:
     """Fit the network on a bounded sample of the labelled rows for which ``use`` holds.
 
     The sample is chosen by a hash of ``doc_id``; only its windows, cut out by
-    Spark at places that the hash gives, come to the driver. None without
-    labelled text.
+    Spark at places that the hash gives, come to the driver, in an order of
+    their own. None without labelled text. With ``reject`` there is a class for
+    texts of no language, and the bound from which they count as such is set
+    so that none of the labelled texts left out of the training does.
     """
     rows = docs.select(F.col(doc_id).cast("string").alias("i"), as_bytes(text).alias("b"), F.col(lang).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.length("b") > 0))
@@ -153,24 +191,41 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     if not counts:
         return None
     langs = sorted(counts)
-    share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, TEXTS_PER_LANG / counts[x]))])
+    most = 1 + LEFT_OUT * reject
+    share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, most * TEXTS_PER_LANG / counts[x]))])
     draw = lambda k: F.pmod(F.xxhash64(F.lit(k), F.coalesce("i", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.where(draw(0) < share[F.col("l")])
     place = [(F.floor(draw(k) * F.greatest(F.length("b") - WINDOW + 1, F.lit(1))) + 1).cast("int") for k in range(1, WINDOWS_PER_TEXT + 1)]
     cut = F.array(*[F.substring(F.col("b"), p, F.lit(WINDOW)) for p in place])
-    got = rows.select("l", cut.alias("w")).limit(2 * TEXTS_PER_LANG * len(langs)).collect()
-    pairs = sorted({(bytes(w).ljust(WINDOW, b"\0"), langs.index(r["l"])) for r in got for w in r["w"] if has_letter(bytes(w))})
+    held = draw(WINDOWS_PER_TEXT + 1) < LEFT_OUT / most if reject else F.lit(False)
+    bound = int(2 * most * TEXTS_PER_LANG * len(langs))
+    got = rows.select("l", cut.alias("w"), held.alias("held")).orderBy(draw(WINDOWS_PER_TEXT + 2), "l").limit(bound).collect()
+    pairs = sorted({(bytes(w).ljust(WINDOW, b"\0"), langs.index(r["l"])) for r in got for w in r["w"] if not r["held"] and has_letter(bytes(w))})
     if not pairs:
         return None
     x = np.frombuffer(b"".join(p for p, _ in pairs), np.uint8).reshape(-1, WINDOW)
-    return ByteCnn.fit(x, np.array([y for _, y in pairs]), langs)
+    y = np.array([k for _, k in pairs])
+    if not reject:
+        return ByteCnn.fit(x, y, langs)
+    rng = np.random.default_rng(17)
+    noise = no_language(x, rng)
+    y = np.concatenate([y, np.full(len(noise), len(langs))])
+    model = ByteCnn.fit(shortened(np.concatenate([x, noise]), rng), y, [*langs, UNKNOWN])
+    model.bound = 0.5
+    clean = [[bytes(w).ljust(WINDOW, b"\0") for w in r["w"] if has_letter(bytes(w))] for r in got if r["held"]]
+    for w in filter(None, clean):
+        logs = model.log_probabilities(np.frombuffer(b"".join(w), np.uint8).reshape(-1, WINDOW)).mean(0, dtype=float)
+        p = np.exp(logs - logs.max())
+        model.bound = max(model.bound, min(0.999, (1 + p[-1] / p.sum()) / 2))
+    return model
 
 
 def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` for every whole text.
+    """Add ``lang_pred`` and ``score`` for every whole text, however long.
 
     A text that is null or has no letters, or any text where there is no model,
-    gets ``und`` with score 0. Among equal scores the language first in order
+    gets ``und`` with score 0; a text of no language, where the model has such a
+    class, ``und`` with that class's probability. Among equal scores the language first in order
     wins. Rows are apart from each other; input columns named like an output
     are replaced, all others pass through.
     """
@@ -196,8 +251,12 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
                 total = np.add.reduceat(logs, starts, axis=0).astype(float) / np.add.reduceat(np.array(new, float), starts)[:, None]
                 p = np.exp(total - total.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                for (i, _), best, row in zip(owners, p.argmax(1), p):
-                    langs[i], scores[i] = model.langs[best], float(row[best])
+                known = len(model.langs) - (model.langs[-1] == UNKNOWN)
+                best = p[:, :known].argmax(1)
+                if known < len(model.langs):
+                    best[p[:, known] >= model.bound] = known
+                for (i, _), k, row in zip(owners, best.tolist(), p):
+                    langs[i], scores[i] = model.langs[k], float(row[k])
                 cut.clear(), new.clear(), owners.clear()
 
             for i, data in enumerate(texts):
@@ -225,14 +284,10 @@ def op3_langid(spark, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: Of the pipeline's first stage: a text is rejected if no language reaches this probability.
-REJECT_BELOW = 0.3
-
-
 def keep_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents whose language the network can tell; null and letterless texts go."""
-    model = train(docs)
+    """Stage: documents in a language; null and letterless texts go, and those that the network takes for none. All columns stay as they are."""
+    model = train(docs, reject=True)
     if model is None:
         return docs.where(F.lit(False))
-    scored = predict(docs, model)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT_BELOW)).select(*docs.columns)
+    own, back = set_aside(docs, "lang_pred", "score")
+    return back(predict(own, model).where(F.col("lang_pred") != UNKNOWN).select(*own.columns))
