@@ -131,33 +131,55 @@ def neighbours(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return out
 
 
-def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int = 4096, rate: float = 0.01, seed: int = 5) -> np.ndarray:
-    """One pass of Adam over the given tokens, from ``flat``."""
+def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int = 8192, rate: float = 0.02, seed: int = 5, chunk: int = 1024) -> np.ndarray:
+    """One pass of Adam over the given tokens, from ``flat``; gradients are summed over chunks that fit the processor's cache."""
     flat = flat.copy()
     p = _unpack(flat)
     m, v, g, spare = (np.zeros_like(flat) for _ in range(4))
     q = _unpack(g)
+    names = len(p[0])
+    # like neighbours side by side, so that their gradients are sums of runs
+    small = np.int16 if names < 1 << 15 else np.int32
     order = np.random.default_rng(seed).permutation(len(target))
     for t, first in enumerate(range(0, len(order), batch), 1):
         rows = order[first : first + batch]
-        x = near[rows]
+        n = len(rows)
+        x = near[rows] % names
         head, place, runs = _aims(target[rows], p[6].shape[1])
-        e = p[0][x].reshape(len(rows), -1)
-        h = np.tanh(e @ p[1] + p[2])
-        z = _error(h @ p[3] + p[4], head, len(rows))
-        dh = z @ p[3].T
         g[:] = 0
+        h, dh = np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        de = np.empty((n, len(SIDES) * EMBED), np.float32)
+        for at in range(0, n, chunk):
+            e = p[0][x[at : at + chunk]].reshape(-1, len(SIDES) * EMBED)
+            own = e @ p[1]
+            own += p[2]
+            np.tanh(own, out=h[at : at + chunk])
+            own = h[at : at + chunk]
+            z = own @ p[3]
+            z += p[4]
+            z = _error(z, head[at : at + chunk], n)
+            np.matmul(z, p[3].T, out=dh[at : at + chunk])
+            q[3][:] += own.T @ z
+            q[4][:] += z.sum(0)
         for k, at in runs:
             near_h = h[at]
-            y = _error(near_h @ p[5][k] + p[6][k], place[at], len(rows))
-            dh[at] += y @ p[5][k].T
-            q[5][k], q[6][k] = near_h.T @ y, y.sum(0)
+            z = near_h @ p[5][k]
+            z += p[6][k]
+            z = _error(z, place[at], n)
+            dh[at] += z @ p[5][k].T
+            q[5][k], q[6][k] = near_h.T @ z, z.sum(0)
         dh *= 1 - h * h
-        de = (dh @ p[1].T).reshape(-1, EMBED)
-        names = x.ravel() % len(p[0])
-        for k in range(EMBED):
-            q[0][:, k] = np.bincount(names, de[:, k], len(p[0]))
-        q[1][:], q[2][:], q[3][:], q[4][:] = e.T @ dh, dh.sum(0), h.T @ z, z.sum(0)
+        for at in range(0, n, chunk):
+            e = p[0][x[at : at + chunk]].reshape(-1, len(SIDES) * EMBED)
+            own = dh[at : at + chunk]
+            np.matmul(own, p[1].T, out=de[at : at + chunk])
+            q[1][:] += e.T @ own
+        q[2][:] = dh.sum(0)
+        flat_x = x.ravel()
+        by = np.argsort(flat_x.astype(small), kind="stable")
+        named = flat_x[by]
+        starts = np.flatnonzero(np.diff(named, prepend=-1))
+        q[0][named[starts]] = np.add.reduceat(de.reshape(-1, EMBED)[by], starts, axis=0)
         m *= 0.9
         m += np.multiply(g, 0.1, out=spare)
         v *= 0.999
