@@ -188,6 +188,28 @@ def test_langid(corpus, empty):
     assert np.allclose(model.log_probabilities(x), slow, atol=1e-3)
 
 
+def test_language_stage_rejects_what_is_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(3)
+    noise = []
+    for i, (text,) in enumerate(docs.select("text").where("length(text) > 300").limit(120).collect()):
+        signs = list(text) if i % 2 else [rnd.choice("bcdfghjklmnpqrstvwxyz eioua") for _ in text]
+        rnd.shuffle(signs)
+        noise.append((10**6 + i, "".join(signs), None, "noise", len(signs)))
+    rows = docs.union(spark.createDataFrame(noise, docs.schema)).withColumn("score", F.lit("own")).withColumn("lang_pred", F.lit(7))
+    kept = langid.keep_known_language(spark, rows, "")
+    assert kept.columns == rows.columns
+    got = {r.doc_id: (r.score, r.lang_pred) for r in kept.collect()}
+    assert set(got.values()) == {("own", 7)}
+    assert sum(i >= 10**6 for i in got) <= 6 and sum(i < 10**6 for i in got) >= 0.995 * docs.count()
+
+
+def test_equal_scores_go_to_the_first_language(spark):
+    model = langid.ByteCnn(["aa", "bb"], [np.zeros((w, 256, langid.FILTERS), "f4") for w in langid.WIDTHS], np.zeros(36, "f4"), np.zeros((36, 2), "f4"), np.zeros(2, "f4"))
+    (r,) = langid.predict(spark.createDataFrame([(1, "word " * 50000)], "doc_id long, text string"), model).collect()
+    assert (r.lang_pred, r.score) == ("aa", 0.5)
+
+
 def max_over(row, c):
     return np.max([sum(c[j][row[t + j]] for j in range(len(c))) for t in range(len(row) - len(c) + 1)], axis=0)
 
@@ -216,12 +238,86 @@ def test_style_tree_removes_what_repeats(spark):
     rnd = random.Random(5)
     rows = [(k, "http://h.example/a", f"<div class=x1><p>Same words everywhere</p></div><div class=x2><p>{prose(rnd, 'en', 30)}</p></div>") for k in range(20)]
     rows += [(30, None, None), (31, "http://other", "<p>one page</p>"), (31, "http://other", "<p>one page</p>")]
-    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit(1))).collect()}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit(1)).withColumn("host", F.lit("own")).withColumn("tree", F.lit(1)).withColumn("site", F.lit(2))
+    got = {r.page_id: r for r in html.extract(frame).collect()}
     assert all("Same" not in got[k].main_text and got[k].n_chars > 50 for k in range(20))
-    assert got[30].main_text == "" and got[31].main_text == "one page"
+    assert got[30].main_text == "" and got[31].main_text == "one page" and (got[31].host, got[31].tree, got[31].site) == ("own", 1, 2)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_equals_brute_force(spark):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(60):
+        body = "".join(f"<p>{prose(rnd, 'en', rnd.randrange(1, 9))}</p>" for _ in range(rnd.randrange(1, 5)))
+        rows.append((k, f"https://h{k % 3}.example/{k}", f"<nav><a>Home</a><a>{rnd.choice('ab')}</a></nav><div><div class=t>{body}</div></div><div>foot {k % 7}</div>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = html.branch_counts(frame)
+    for keys in (["host", "branch"], ["branch"]):
+        pages, styles, said = {}, {}, {}
+        for _, url, page in rows:
+            host = url.split("/")[2]
+            for branch, kind, feature in html.page_counts(page):
+                key = (host, branch)[2 - len(keys) :]
+                if kind == 2:
+                    pages[key] = pages.get(key, 0) + 1
+                else:
+                    of = (styles if kind == 0 else said).setdefault(key, {})
+                    of[feature] = of.get(feature, 0) + 1
+        entropy = lambda some: -sum(n / sum(some.values()) * np.log(n / sum(some.values())) for n in some.values())
+        got = {tuple(r[k] for k in keys): r for r in html.style_tree(counts, keys).collect()}
+        assert got.keys() == pages.keys()
+        for key, r in got.items():
+            scale = np.log(max(pages[key], 2))
+            # a feature's own entropy over the pages that have it, the mean over all mentions
+            shared = sum(n * np.log(n) for n in said[key].values()) / sum(said[key].values()) / scale
+            assert r.pages == pages[key]
+            assert np.isclose(r.presentation, min(1, entropy(styles[key]) / scale)) and np.isclose(r.content, 1 - shared)
+            assert np.isclose(r.importance, 0.2 * r.presentation + 0.8 * r.content)
+
+
+@pytest.mark.parametrize("names", ["declared", "renamed", "bare"])
+def test_the_tree_decides_without_declared_roles(spark, names):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: html.main_text(re.search(r"<article>.*?</article>", r.html, re.S)[0]) for r in pages.collect()}
+    changed = pages
+    if names != "declared":
+        ad = ' class="k9"' if names == "renamed" else ""
+        changed = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|article|footer)>", "<$1div>"), ' class="ad"', ad))
+    got = {r.page_id: r.main_text for r in html.extract(changed).collect()}
+    assert sum(got[k] == v for k, v in want.items()) >= (1.0 if names == "declared" else 0.95) * len(want)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><div class="side-by-side"><p>Body text</p></div></article>', "Body text"),
+        ("<article><p class=form-factor>x</p><p class=ad-hoc>y</p><h2>t <a class=header-anchor>q</a></h2><math><mi>m</mi></math><noscript>n</noscript></article>", "x\n\ny\n\nt q\n\nm\n\nn"),
+        ("<main><p>intro</p><article>z</article></main>", "intro\n\nz"),
+        ("<article><header><div><h1>T</h1><p>by</p></div></header><p>b</article>", "T\n\nb"),
+        ("<p title=it's a=\"x>y\" b='>'>don't</p>", "don't"),
+        ("<article>a<div class=comments>no<article>no</article></div></article>", "a"),
+        ("<article>a<form>no</form>b</article>", "a\n\nb"),
+        ("<div>" * 3000 + "deep", "deep"),
+    ],
+)
+def test_nothing_else_goes(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a =">', "</x ", "<p><b>", "<div>x", "<![CDATA[", "<!--x"])
+def test_long_pages_take_time_in_proportion(part):
+    import time
+
+    def took(n):
+        began = time.thread_time()
+        html.main_text(part * (n // len(part)))
+        return time.thread_time() - began
+
+    took(20_000)
+    assert took(400_000) < 40 * max(took(40_000), 0.01)
+
+
 # -- 5 ---------------------------------------------------------------------
 
 
@@ -336,6 +432,17 @@ def test_toxicity_chain(spark, empty):
     assert sum(got[k].is_toxic == bool(t) for k, _, t in labels[500:]) >= 195
     assert not got[9000].is_toxic and not got[9001].is_toxic and len(got) == 702
     assert toxicity.train(empty, known.limit(0), toxicity.CATEGORIES) is None
+    # the sum over words, and the earlier category's probability, by hand
+    for k in (3, 501, 502):
+        have = toxicity.features(rows[k][1])
+        p = []
+        for w in chain.weights:
+            z = w[-1] + sum(w[i] for f, i in chain.vocabulary.items() if f in have) + sum(a * b for a, b in zip(w[len(chain.vocabulary) : -1], p))
+            p.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(p, [got[k].p_low_quality, got[k].p_toxic], atol=1e-5)
+    twice = toxicity.predict(docs, toxicity.train(docs.repartition(3), known.repartition(2), toxicity.CATEGORIES), toxicity.CATEGORIES)
+    assert all(np.isclose(r.p_toxic, got[r.doc_id].p_toxic) for r in twice.collect())
+    assert toxicity.predict(spark.createDataFrame([(1, "word " * 50000)], "doc_id long, text string"), chain, toxicity.CATEGORIES).count() == 1
     assert toxicity.predict(empty, None, ["toxic"]).count() == 0
 
 
@@ -438,6 +545,67 @@ def test_pipeline(spark, corpus, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, corpus, tmp_path):
+    spark.createDataFrame([(1, [t for _, t in texts(corpus.where("doc_id = 10"))][0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = {c: F.lit(f"own {c}") for c in ("id", "h", "gone", "deleted_lines", "n", "component_id", "kept", "key", "items", "score", "lang_pred", "n_tokens", "__id", "__h")}
+    docs = corpus.withColumns(own)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert docs.columns == [*corpus.columns, *own]
+            assert {tuple(r) for r in docs.select(*own).distinct().collect()} == {tuple(f"own {c}" for c in own)}
+
+
+def test_operators_take_columns_of_any_name(spark, corpus):
+    odd = corpus.withColumns({c: F.lit(1) for c in ("id", "h", "rep", "key", "gone", "component_id", "label", "unit", "band", "f", "y0", "fold", "p_toxic", "__bytes")})
+    assert neardup.near_duplicates(odd).count() == corpus.count()
+    assert linededup.dedup_lines(odd).count() == corpus.count()
+    assert secrets.find_secrets(odd).count() == corpus.count()
+    labels = corpus.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("low_quality"), F.lit(0).alias("toxic"))
+    assert toxicity.predict(odd, toxicity.train(odd, labels, toxicity.CATEGORIES), toxicity.CATEGORIES).count() == corpus.count()
+    assert lmscore.score(odd, lmscore.train(odd)).count() == corpus.count()
+    rows = spark.createDataFrame([(1, [1.0] * 5000, 0), (2, [1.0] * 5000, 0)], "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("id", "v", "dim", "unit", "band", "key", "keys")})
+    assert [r.n_links for r in embeddings.near_duplicate_vectors(rows).collect()] == [1, 1]
+
+
+def test_large_labels_are_compared_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "EXACT_BLOCKS", 1)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "BUCKET", 16)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 64))
+    x = np.concatenate([base, base[:200] + rng.normal(size=(200, 64)) * 0.35, base[:60] + rng.normal(size=(60, 64)) * 0.1])
+    assert embeddings.cuts(len(x), 0.93)[1] > 1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    found = sum(n for n, _ in got.values())
+    assert found <= links.sum() and found >= 0.98 * links.sum() and links.sum() > 200
+    assert all(n <= links[k].sum() for k, (n, _) in got.items())
+
+
+def test_a_chain_of_weak_links_keeps_all_of_them(spark):
+    rnd = random.Random(12)
+    rows, words = [], [f"c{k}" for k in range(120)]
+    for k in range(160):  # each text differs a little from the one before it, and more from all others
+        for _ in range(2):
+            words[rnd.randrange(120)] = f"m{k}.{rnd.random()}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=92).collect()}
+    sets = {i: set(t.split()) for i, t in rows}
+    assert got == brute_components(sets, 92) and 1 < len(set(got.values())) < 150
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidecast.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(session)
+
+
 def test_native_plans_have_no_python(spark):
     for q in (linededup.op1_linededup, decontaminate.op2_decontaminate):
         plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = sig.where("n > 0 and id is not null")
     folded = keep(known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     keys = folded.select("rep", "n", F.explode("bands").alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # tables by key are written before rows meet them, so that a join can split a band of many members
+    counts = keep(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = keep(keys.join(counts, "key"))
     # the member of a band that shares bands with most others leads it
     mass = members.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("mass"))
@@ -275,14 +276,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     apart = rows.where("comp <> lcomp")
     if not apart.isEmpty():
         outer = keep(apart.groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("o")).select("key", "o.*").toDF("key", "o", "on", "ocomp"))
-        inner = rows.where("comp = lcomp and rep <> lead").join(outer.select("key"), "key", "left_semi").groupBy("key").agg(F.max(F.struct("rep", "n")).alias("i"))
-        inner = keep(inner.select("key", F.col("i.rep").alias("i"), F.col("i.n").alias("in")))
+        inner = keep(rows.where("comp = lcomp and rep <> lead").groupBy("key").agg(F.max(F.struct("rep", "n")).alias("i")))
+        inner = keep(inner.join(outer.select("key"), "key", "left_semi").select("key", F.col("i.rep").alias("i"), F.col("i.n").alias("in")))
         more = rows.join(outer, "key").where("comp <> ocomp and rep <> lead").select(F.col("o").alias("a"), F.col("rep").alias("b"), F.col("on").alias("na"), F.col("n").alias("nb"))
         more = more.union(apart.join(inner, "key").select(F.col("i").alias("a"), F.col("rep").alias("b"), F.col("in").alias("na"), F.col("n").alias("nb")))
         links = keep(links.union(verified(more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))))
         star = connected_components(links, scratch=scratch)
-        left = split(star).where("comp <> lcomp").join(outer.select("key", "o"), "key").where("rep <> o").select("key").distinct()
-        edges = keep(rows.join(left, "key", "left_semi").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+        undone = keep(split(star).where("comp <> lcomp").join(outer.select("key", "o"), "key").where("rep <> o").select("key"))
+        edges = keep(rows.join(keep(undone.distinct()), "key", "left_semi").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
         if not edges.isEmpty():
             links = keep(links.union(_remainder(edges, star, sets, percent, scratch)))
     found = connected_components(links, scratch=scratch)
