@@ -31,6 +31,21 @@ def test_forecast_calibrate_verify(spark, tmp_path):
     assert read("manifest").count() == 2
     run("simulate", "--series", series, "--origin", "1995", "--h", "4", "--paths", "50", "--model", "jump", "--t-df", "3")
     assert read("simulate").count() == 8
+    run("simulate", "--series", series, "--origin", "1995", "--h", "6", "--h-scored", "2", "--out-scored", f"{tmp_path}/scored", "--paths", "50")
+    assert read("simulate").count() == 12 and read("scored").count() == 4
+    run("sigma-scales", "--forecast", f, "--series", series, "--origins", "1995", "--indicators", "alpha")
+    assert {(r.indicator, r.alpha) for r in read("sigma-scales").where("coverage_before is null").collect()} == {("beta", "1.0")}
+    run("batch", "--series", series, "--origins", "1985", "1995", "--h", "5")
+    assert read("batch").count() == 8 and {r.origin for r in read("batch").collect()} == {"1985", "1995"}
+    run("final-report", "--tables", f"{tmp_path}/batch", f"{tmp_path}/nowhere", "--notes", "one")
+    assert "## batch" in [r.value for r in spark.read.text(f"{tmp_path}/final-report").collect()]
+    run("release-manifest", "--path", f"{tmp_path}/s", "--tag", "v1", "--commands", "make it")
+    (tmp_path / "diag" / "m_1995_cal").mkdir(parents=True)
+    (tmp_path / "diag" / "m_1995_cal" / "points.csv").write_text("level,covered,indicator,horizon\n0.5,yes,alpha,1\n0.9,0,alpha,1\n")
+    run("evaluate-runs", "--runs", f"{tmp_path}/diag/*/*.csv")
+    (row,) = read("evaluate-runs").collect()
+    assert (row.covered_50_rate, row.covered_90_rate) == ("1.0", "0.0")
+    run("pivot-runs", "--runs", f"{tmp_path}/diag/*/*.csv")
     run("match-sample", "--forecast", f, "--series", series, "--origin", "1995")
     assert read("match-sample").count() == 20
     run("annualise", "--series", series)

@@ -172,7 +172,7 @@ def test_truth_is_deduplicated_and_null_truth_dropped(spark):
 
 def test_benjamini_hochberg(spark):
     p = spark.createDataFrame([(0, 0.001), (1, 0.02), (2, 0.02), (3, 0.04), (4, None)], "i int, p_value double")
-    hits = lambda a: {r.i for r in stats.benjamini_hochberg(p, a, order=("i",)).where("bh_reject").collect()}
+    hits = lambda a: {r.i for r in stats.benjamini_hochberg(p, a).where("bh_reject").collect()}
     assert hits(0.05) == {0, 1, 2, 3} and hits(0.03) == {0, 1, 2} and hits(0.0001) == set()
     assert hits(0.0001) <= hits(0.03) <= hits(0.05)
 
@@ -256,3 +256,84 @@ def test_complete_steps(spark):
     o = obs(spark, [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, None), ("b", 2, 5.0), ("b", 3, 6.0)])
     assert sorted(map(tuple, series.complete_steps(o).collect())) == [("a", 2, 2.0), ("b", 2, 5.0)]
     assert series.complete_steps(o.limit(0)).count() == 0
+
+
+def test_step_up_control_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.0, 0.01, 1.0, rnd.random() ** 3 / 5])) for _ in range(400)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f string, p_value double")
+
+    def brute(some, alpha):
+        known = sorted(p for _, p in some if p is not None)
+        cut = max([p for k, p in enumerate(known, 1) if p <= alpha * k / len(known)], default=-1.0)
+        return {i for i, p in some if p is not None and p <= cut}
+
+    for alpha in (0.05, 0.2, 0.001):
+        got = {r.i for r in stats.benjamini_hochberg(df, alpha).where("bh_reject").collect()}
+        assert got == brute([(i, p) for i, (_, p) in enumerate(rows)], alpha)
+        got = {r.i for r in stats.benjamini_hochberg(df, alpha, by=("f",)).where("bh_reject").collect()}
+        assert got == set().union(*[brute([(i, p) for i, (g, p) in enumerate(rows) if g == f], alpha) for f in ("a", "b", None)])
+    assert stats.benjamini_hochberg(df.limit(0)).count() == 0 and stats.benjamini_hochberg(df.where("p_value IS NULL")).where("bh_reject").count() == 0
+
+
+def test_rolling_origins_never_look_ahead(spark):
+    rows = [("a", t, float(t * t % 17)) for t in range(60)] + [("b", t, float(t % 5)) for t in range(20, 60)]
+    obs = spark.createDataFrame(rows, "indicator string, t long, value double")
+    origins = [25, 40, 50]
+    for model in (forecast.drift_forecast, forecast.local_level, forecast.linear_trend, forecast.smoothing, forecast.local_trend):
+        many = {(r.indicator, r.origin, r.horizon): round(r.q50, 6) for r in forecast.rolling(obs, origins, model, 3).collect()}
+        for o in origins:
+            known = obs.where(F.col("t") <= o)
+            one = {(r.indicator, o, r.horizon): round(r.q50, 6) for r in model(known, o, 3).collect()}
+            assert one == {k: v for k, v in many.items() if k[1] == o}
+        table = spark.createDataFrame([(o,) for o in [*origins, 25, None]], "origin long")
+        assert forecast.rolling(obs.where("t <= 50"), table, model, 3).count() == len(many)
+
+
+def test_poisson_counts_have_their_mean_and_variance(spark):
+    for rate in (0.2, 4.0, 30.0):
+        got = spark.range(20001).select(F.expr(forecast.poisson_sql("((id + 5e-1) / 20001)", rate)).alias("k")).agg(F.avg("k"), F.var_pop("k"), F.max("k")).first()
+        assert got[0] == pytest.approx(rate, rel=0.01) and got[1] == pytest.approx(rate, rel=0.02)
+    assert got[2] > 50
+
+
+def test_band_membership_whichever_way_the_ends_stand(spark):
+    from tidecast.functions import between_sql
+
+    values = [None, -1.0, 0.0, 0.5, 1.0, 2.0]
+    rows = [(y, a, b) for y in values for a in values for b in values]
+    df = spark.createDataFrame(rows, "y double, a double, b double").select("*", F.expr(between_sql("y", "a", "b")).alias("x"))
+    for r in df.collect():
+        known = [v for v in (r.a, r.b) if v is not None]
+        assert r.x == int(r.y is not None and bool(known) and min(known) <= r.y <= max(known))
+
+
+def test_a_level_that_is_missing_is_an_error(spark):
+    covered = spark.createDataFrame([("a", 1, 0.5, 1)], "indicator string, horizon long, level double, covered long")
+    pits = spark.createDataFrame([("a", 1, 0.4)], "indicator string, horizon long, pit double")
+    with pytest.raises(Exception, match="lack a level"):
+        score.metrics_by_horizon(covered, pits).collect()
+    assert score.metrics_by_horizon(covered.limit(0), pits).count() == 0
+
+
+def test_reports_state_what_they_leave_out(spark):
+    df = spark.range(5)
+    assert "_(3 more rows)_" in govern.markdown(df, "T", 2) and "more rows" not in govern.markdown(df, "T")
+    text = govern.final_report("Release", {"Coverage": df, "Nothing": None, "Empty": df.limit(0)}, ["a note"])
+    assert text.count("_(no data)_") == 2 and "- a note" in text and "| 4 |" in text
+
+
+def test_full_manifest(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a")
+    text = govern.full_manifest(spark, str(tmp_path), "v1", ["run it"])
+    assert "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb" in text and "run it" in text and spark.version in text
+
+
+def test_revisions_and_metadata(spark):
+    v = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 1, 2, 5.0), ("a", 1, 3, 7.0), ("a", 2, 1, None), ("a", 2, 2, 1.0)], "indicator string, t long, vintage long, value double")
+    assert {(r.t, r.vintage, r.change) for r in series.revisions(v).collect()} == {(1, 3, 2.0), (2, 2, None)}
+    meta = spark.createDataFrame([("a", "pct", [2])], "indicator string, unit string, breaks array<long>")
+    got = {(r.indicator, r.t): (r.unit, r.regime) for r in series.with_metadata(v.select("indicator", "t").distinct().union(spark.createDataFrame([("z", 9)], "indicator string, t long")), meta).collect()}
+    assert got == {("a", 1): ("pct", 0), ("a", 2): ("pct", 1), ("z", 9): (None, 0)}

@@ -25,15 +25,21 @@ def test_oracle(spark, con, name):
     assert sorted(map(tuple, df.select(*cols).collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_all_but_the_manifest_have_oracles():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"sha_manifest"}
+def test_all_but_the_file_manifest_have_oracles():
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"file_manifest"}
 
 
 def test_manifest(spark):
     import hashlib
-
-    (row,) = plans.queries()["sha_manifest"](spark, SF).collect()
-    assert row.sha256 == hashlib.sha256(open(f"{SF}/region.parquet", "rb").read()).hexdigest()
+    import os
+
+    got = {r.file: (r.bytes, r.sha256) for r in plans.queries()["file_manifest"](spark, SF).collect()}
+    want = {}
+    for folder, _, names in os.walk(SF):
+        for n in names:
+            data = open(f"{folder}/{n}", "rb").read()
+            want[n] = (len(data), hashlib.sha256(data).hexdigest())
+    assert got == want and "lineitem.parquet" in got
 
 
 def test_entry(spark):

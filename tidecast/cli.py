@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast import sources
+from tidecast.functions import boolean_text
 from tidecast.operators import calibrate, combine, forecast, govern, score, series as sr, stats
 
 MODELS = {"local-level": forecast.local_level, "drift": forecast.drift_forecast, "shock": forecast.shock_moments, "trend": forecast.local_trend}
@@ -41,9 +42,14 @@ def _parser() -> argparse.ArgumentParser:
     h = {"type": int, "default": 15}
     add("forecast", "series", "origin", "model", "h", "indicators", model={"choices": MODELS, "default": "local-level"}, h=h, indicators=many, origin={"type": int})
     kinds = {"model": {"choices": ["walk", "jump"], "default": "walk"}, "t-df": {"type": int, "default": 4}}
-    add("simulate", "series", "origin", "h", "paths", "rate", "model", "t-df", "indicators", **kinds, h={"type": int, "default": 40}, paths={"type": int, "default": 10000}, rate={"type": float, "default": 0.2}, indicators=many, origin={"type": int})
+    kinds |= {"h-scored": {"type": int, "default": 15}, "out-scored": {"default": None}}
+    add("simulate", "series", "origin", "h", "h-scored", "out-scored", "paths", "rate", "model", "t-df", "indicators", **kinds, h={"type": int, "default": 40}, paths={"type": int, "default": 10000}, rate={"type": float, "default": 0.2}, indicators=many, origin={"type": int})
     for name in ("calibrate-sigma", "calibrate-mean"):
         add(name, "forecast", "series", "origins", "target", "indicators", origins=origins, target={"type": float, "default": 0.9}, indicators=many)
+    add("sigma-scales", "forecast", "series", "origins", "target", "indicators", origins=origins, target={"type": float, "default": 0.9}, indicators=many)
+    add("batch", "series", "origins", "model", "h", "target", "indicators", model={"choices": MODELS, "default": "local-level"}, h=h, target={"type": float, "default": 0.9}, indicators=many, origins=origins)
+    for name in ("evaluate-runs", "pivot-runs"):
+        add(name, "runs", "pits", "indicators", pits={"default": None}, indicators=many)
     for name in ("alpha", "bias"):
         add(name, "forecast", "series", "origin", "indicators", origin={"type": int}, indicators=many)
     add("rescale", "forecast", "indicator", "alpha", indicator={"default": None}, alpha={"type": float})
@@ -57,6 +63,8 @@ def _parser() -> argparse.ArgumentParser:
         add(name, "series", "indicators", indicators=many)
     add("rollup", "runs")
     add("report", "table", "title", title={"default": "Report"})
+    add("final-report", "tables", "title", "notes", tables={"nargs": "+"}, title={"default": "Final report"}, notes={"nargs": "*", "default": None})
+    add("release-manifest", "path", "tag", "commands", commands={"nargs": "*", "default": None})
     add("validate", "config", "key", "keys", "names", key={"default": "indicators"}, keys={"nargs": "+"}, names={"nargs": "+"})
     add("manifest", "path")
     return p
@@ -73,8 +81,20 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         params = forecast.standardised_steps(past) if a.model == "jump" else forecast.moments(past)
         params = params.withColumn("no", F.pmod(F.xxhash64("indicator"), F.lit(1 << 20)))
         if a.model == "jump":
-            return forecast.path_quantiles(forecast.jump_paths(params, a.paths, a.h, rate=a.rate, df=a.t_df))
-        return forecast.path_quantiles(forecast.paths(params, a.paths, a.h, rate=a.rate))
+            sim = forecast.jump_paths(params, a.paths, a.h, rate=a.rate, df=a.t_df)
+        else:
+            sim = forecast.paths(params, a.paths, a.h, rate=a.rate)
+        return forecast.scored_and_scenario(sim, a.h_scored)
+    if a.command == "batch":
+        return batch(series, a.origins, MODELS[a.model], a.h, a.target)
+    if a.command in ("evaluate-runs", "pivot-runs"):
+        covered = sources.read_tagged(spark, a.runs, "indicator string, horizon long, level double, covered string").withColumn("covered", boolean_text(F.col("covered")))
+        if a.indicators:
+            covered = covered.where(F.col("indicator").isin(a.indicators))
+        if a.command == "pivot-runs":
+            return score.coverage_pivot(score.coverage_summary(covered))
+        pits = sources.read_tagged(spark, a.pits, "indicator string, horizon long, pit double") if a.pits else covered.select("indicator", "horizon", F.lit(None).cast("double").alias("pit"))
+        return score.metrics_by_horizon(covered, pits)
     if a.command == "ensemble":
         return combine.ensemble_equal({p: load_forecast(spark, p) for p in sources.list_file(spark, a.list)})
     if a.command == "overlap":
@@ -103,7 +123,9 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     covered = score.coverage_points(points)
     match a.command:
         case "calibrate-sigma":
-            return calibrate.scale_spread(fcst, calibrate.spread_search(points, a.target))
+            return calibrate.scale_spread(fcst, calibrate.sigma_scales(fcst, points, target=a.target))
+        case "sigma-scales":
+            return calibrate.sigma_scales(fcst, points, target=a.target)
         case "calibrate-mean":
             return calibrate.apply_mean(fcst, calibrate.mean_fit(points))
         case "alpha":
@@ -122,6 +144,15 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return stats.significance(summary.select("indicator", "level", F.col("covered").alias("x"), F.col("total").alias("n")))
 
 
+def batch(series: DataFrame, origins: list[int], model, h: int, target: float) -> DataFrame:
+    """Forecast, spread calibration and verification at every origin: coverage by indicator, origin and level."""
+    points = calibrate.join_rolling(forecast.rolling(series, origins, model, h), series)
+    scales = calibrate.by_origin(points, lambda p: calibrate.spread_search(p, target)).select("indicator", "origin", "alpha")
+    move = lambda c: (F.col("q50") + F.col("alpha") * (F.col(c) - F.col("q50"))).alias(c)
+    scaled = points.join(scales, ["indicator", "origin"]).select("indicator", "origin", "horizon", "t", "y", move("q05"), "q50", move("q95"))
+    return calibrate.by_origin(scaled, lambda p: score.coverage_summary(score.coverage_points(p)))
+
+
 def audit(spark: SparkSession, path: str, key: str, keys: list[str], names: list[str]) -> DataFrame:
     """What a JSON or YAML configuration lacks of the wanted keys and entries; a configuration is one small file."""
     (row,) = spark.read.text(path, wholetext=True).collect()
@@ -137,7 +168,17 @@ def main(argv: list[str] | None = None) -> None:
         text = govern.markdown(sources.read_csv(spark, a.table), a.title)
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(a.out)
         return
-    sources.write_csv(plan(spark, a), a.out)
+    if a.command in ("final-report", "release-manifest"):
+        tables = {t.rstrip("/").rsplit("/", 1)[-1]: sources.safe_read_csv(spark, t) for t in getattr(a, "tables", ())}
+        text = govern.final_report(a.title, tables, a.notes) if a.command == "final-report" else govern.full_manifest(spark, a.path, a.tag, a.commands)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(a.out)
+        return
+    out = plan(spark, a)
+    if a.command == "simulate":
+        if a.out_scored:
+            sources.write_csv(out.where("scored").drop("scored"), a.out_scored)
+        out = out.drop("scored")
+    sources.write_csv(out, a.out)
 
 
 if __name__ == "__main__":

@@ -20,6 +20,33 @@ def join_truth(fcst: DataFrame, truth: DataFrame, origins) -> DataFrame:
     return at.join(ok, [KEY, "t"])
 
 
+def join_rolling(fcst: DataFrame, truth: DataFrame) -> DataFrame:
+    """Forecast rows that carry their own ``origin``, with the value at ``origin + horizon``. Null truth is dropped."""
+    ok = dedupe_first(truth.where("value IS NOT NULL"), [KEY, "t"], ["value"]).select(KEY, "t", F.col("value").alias("y"))
+    return fcst.withColumn("t", F.col("origin") + F.col("horizon")).join(ok, [KEY, "t"])
+
+
+def by_origin(points: DataFrame, step) -> DataFrame:
+    """``step`` over every (indicator, origin) as an indicator of its own; the result has both again."""
+    name = F.to_json(F.struct(F.col(KEY).alias("i"), F.col("origin").alias("o")))
+    out = step(points.withColumn(KEY, name))
+    was = F.from_json(KEY, "i string, o long")
+    return out.select(was["i"].alias(KEY), was["o"].alias("origin"), *[c for c in out.columns if c not in (KEY, "origin")])
+
+
+def sigma_scales(fcst: DataFrame, points: DataFrame, **search) -> DataFrame:
+    """A scale for every indicator of the forecast: that of the search, or 1 with null coverages where there is no truth."""
+    return fcst.select(KEY).distinct().join(spread_search(points, **search), KEY, "left").withColumn("alpha", F.coalesce("alpha", F.lit(1.0)))
+
+
+def conformal(fcst: DataFrame, points: DataFrame, target: float = 0.9) -> DataFrame:
+    """Bands of the split-conformal half-width: the absolute error of rank ceil((n + 1) * target) among the n known, the largest at most."""
+    sized = points.groupBy(KEY).agg(F.array_sort(F.collect_list(F.abs(F.col("y") - F.col("q50")))).alias("e"))
+    rank = F.least(F.ceil((F.size("e") + 1) * F.lit(target) - 1e-9), F.size("e")).cast("int")
+    widths = sized.select(KEY, F.get("e", rank - 1).alias("w"), F.size("e").cast("long").alias("n"))
+    return fcst.join(widths, KEY).select(KEY, "horizon", (F.col("q50") - F.col("w")).alias("q05"), "q50", (F.col("q50") + F.col("w")).alias("q95"), "n")
+
+
 def spread_search(points: DataFrame, target: float = 0.9, low: float = 0.25, high: float = 8.0, steps: int = 30, tolerance: float = 0.005) -> DataFrame:
     """(indicator, alpha, coverage_before, coverage_after) by bisection on the scale of the band around the median.
 

@@ -15,7 +15,14 @@ def union_models(models: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("model", F.lit(m)) for m, df in models.items()])
 
 
-def ensemble_equal(models: dict[str, DataFrame], columns=("q05", "q50", "q95")) -> DataFrame:
+#: Quantile and band columns that models may share.
+CANONICAL = ("q05", "q25", "q50", "q75", "q95", "lo_50", "hi_50", "lo_90", "hi_90")
+
+
+def ensemble_equal(models: dict[str, DataFrame], columns=None) -> DataFrame:
+    """Equal-weight mean over the models that have a value, of the given columns or of all canonical ones that any model has."""
+    if columns is None:
+        columns = [c for c in CANONICAL if any(c in df.columns for df in models.values())]
     rows = union_models(models).where(f"{KEY} IS NOT NULL AND horizon IS NOT NULL")
     return rows.groupBy(KEY, "horizon").agg(*[F.avg(c).alias(c) for c in columns], F.count_distinct("model").alias("n_models"))
 

@@ -24,6 +24,23 @@ def train(obs: DataFrame, origin: int, least: int = 3) -> DataFrame:
     return rows.join(n, KEY, "left_semi")
 
 
+def rolling(obs: DataFrame, origins, model, h: int, **options) -> DataFrame:
+    """``model`` fitted anew at every origin, on what was known then: its rows with ``origin``.
+
+    ``origins`` are numbers or a table with a column ``origin``; it is joined
+    before the train cut, and every (indicator, origin) is a series of its own,
+    in steps counted from its origin. So any forecaster of ``(obs, origin, h)``
+    serves, all origins are one plan, and none sees what came after it.
+    """
+    table = origins if isinstance(origins, DataFrame) else obs.sparkSession.createDataFrame([(o,) for o in origins], "origin long")
+    table = table.select(F.col("origin").cast("long")).where("origin IS NOT NULL").distinct()
+    each = obs.join(F.broadcast(table), F.col("t") <= F.col("origin"))  # origins are few
+    name = F.to_json(F.struct(F.col(KEY).alias("i"), F.col("origin").alias("o")))
+    out = model(each.select(name.alias(KEY), (F.col("t") - F.col("origin")).alias("t"), "value"), 0, h, **options)
+    was = F.from_json(KEY, "i string, o long")
+    return out.select(was["i"].alias(KEY), was["o"].alias("origin"), *[c for c in out.columns if c != KEY])
+
+
 def moments(obs: DataFrame) -> DataFrame:
     """Drift, state and observation deviation and last value of each indicator; deviations are at least 1e-6."""
     w = Window.partitionBy(KEY).orderBy("t")
@@ -69,6 +86,24 @@ def walk_drift(obs: DataFrame, origin: int, h: int) -> DataFrame:
     return _horizons(fit, h).select(KEY, "horizon", (F.col("last") + F.col("horizon") * step).alias("q50"))
 
 
+def ridge_trend(obs: DataFrame, origin: int, h: int, penalty: float = 0.1) -> DataFrame:
+    """Least-squares line whose slope is shrunk: the squared deviation of time grows by ``penalty`` of itself."""
+    fit = train(obs, origin).groupBy(KEY).agg((F.regr_slope("value", "t") / (1 + penalty)).alias("b"), F.avg("value").alias("m"), F.avg("t").alias("c"))
+    return _horizons(fit, h).select(KEY, "horizon", (F.col("m") + F.col("b") * (F.col("horizon") + origin - F.col("c"))).alias("q50"))
+
+
+def penalty_grid(obs: DataFrame, origins, h: int, penalties=(0.05, 0.1, 0.2)) -> DataFrame:
+    """(indicator, penalty, n, mae, best): absolute errors of the shrunken trend over rolling origins; the least, then the smallest penalty, is best."""
+    from functools import reduce
+
+    truth = obs.where("value IS NOT NULL").select(KEY, "t", F.col("value").alias("y"))
+    runs = [rolling(obs, origins, ridge_trend, h, penalty=p).withColumn("penalty", F.lit(p)) for p in penalties]
+    rows = reduce(DataFrame.union, runs).withColumn("t", F.col("origin") + F.col("horizon")).join(truth, [KEY, "t"])
+    got = rows.groupBy(KEY, "penalty").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("q50"))).alias("mae"))
+    best = got.groupBy(KEY).agg(F.min_by("penalty", F.struct("mae", "penalty")).alias("b"))
+    return got.join(best, KEY).select(KEY, "penalty", "n", "mae", (F.col("penalty") == F.col("b")).alias("best"))
+
+
 def smoothing(obs: DataFrame, origin: int, h: int, gain: float = 0.3) -> DataFrame:
     """Simple exponential smoothing with a fixed gain."""
     series = train(obs, origin).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("y"))
@@ -76,13 +111,14 @@ def smoothing(obs: DataFrame, origin: int, h: int, gain: float = 0.3) -> DataFra
     return _horizons(series.select(KEY, level.alias("q50")), h)
 
 
-def local_level(obs: DataFrame, origin: int, h: int, noise: int = 1, points: int = 61) -> DataFrame:
+def local_level(obs: DataFrame, origin: int, h: int, noise: int = 1, points: int = 61, least: int = 5) -> DataFrame:
     """Local-level state space by maximum likelihood over a grid of signal-to-noise ratios, coarse and then fine.
 
     The filter starts diffuse; a gap counts as one step. ``noise`` is how often
     the observation variance enters the predictive variance (once by default).
+    Indicators with fewer than ``least`` observed steps are left out.
     """
-    series = train(obs, origin).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("y"))
+    series = train(obs, origin, least).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("y"))
 
     def fitted(df: DataFrame) -> DataFrame:
         """Filter every (series, q); keep the likeliest, the smallest q among equals."""
@@ -118,7 +154,7 @@ def paths(params: DataFrame, n_paths: int, h: int, seed: int = 12345, rate: floa
     """Monte-Carlo paths ``(indicator, path, horizon, y)`` by counter-based draws, so the partitioning changes nothing.
 
     ``params`` adds an integer ``no`` to the moments. Shocks: a Poisson number,
-    by its inverse distribution function up to 6, sums to one normal draw.
+    by its inverse distribution function, sums to one normal draw.
     """
     rows = params.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_paths - 1).cast("long"))))
     rows = _horizons(rows, h)
@@ -186,14 +222,19 @@ def local_trend(obs: DataFrame, origin: int, h: int, level_var: float = 0.1, tre
     return quantiles(run, mu, F.col("sd") * F.sqrt("horizon"))
 
 
-def poisson_sql(u: str, rate: float, top: int = 6) -> str:
+def poisson_sql(u: str, rate: float) -> str:
+    """A Poisson count by its inverse distribution function; counts rarer than 1e-13 altogether are the last one."""
     import math
 
-    total, cases = 0.0, []
-    for k in range(top):
-        total += math.exp(-rate) * rate**k / math.factorial(k)
+    total, term, k, cases = 0.0, math.exp(-rate), 0, []
+    if not 0 <= rate < 700:
+        raise ValueError("rate must be from 0 to 700")
+    while 1 - total > 1e-13 and (k <= rate or term > 1e-17):
+        total += term
         cases.append(f"WHEN {u} <= {num(total)} THEN {k}")
-    return f"(CASE {' '.join(cases)} ELSE {top} END)"
+        k += 1
+        term *= rate / k
+    return f"(CASE {' '.join(cases)} ELSE {k} END)"
 
 
 def path_quantiles(sim: DataFrame) -> DataFrame:
@@ -202,6 +243,11 @@ def path_quantiles(sim: DataFrame) -> DataFrame:
     return q.select(KEY, "horizon", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
 
+def scored_and_scenario(sim: DataFrame, scored: int = 15) -> DataFrame:
+    """Quantiles of one simulation over the scenario's horizons; ``scored`` marks those that truth can judge."""
+    return path_quantiles(sim).withColumn("scored", F.col("horizon") <= scored)
+
+
 def ecc_reorder(sim: DataFrame, template: DataFrame) -> DataFrame:
     """Put each marginal's draws in the template's rank order (empirical copula coupling); marginals stay as they are.
 

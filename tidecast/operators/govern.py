@@ -6,10 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def digests(df: DataFrame, name: str, content: str) -> DataFrame:
+    """(file, bytes, sha256) of a content column, text or binary, with a name for each row; null content is empty."""
+    data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    return df.select(F.col(name).cast("string").alias("file"), F.length(data).cast("long").alias("bytes"), F.sha2(data, 256).alias("sha256"))
+
+
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of every file under ``path``. Each file is hashed whole in one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of every file under ``path``. Each file is hashed whole in one task; Spark refuses files over 2 GB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return digests(files.withColumn("name", F.element_at(F.split("path", "/"), -1)), "name", "content")
+
+
+def full_manifest(spark: SparkSession, path: str, tag: str, commands: list[str] | None = None) -> str:
+    """The manifest of a release as Markdown: files with digests, versions, and the commands that made them."""
+    import platform
+    import sys
+
+    versions = {"python": sys.version.split()[0], "spark": spark.version, "system": platform.system(), "machine": platform.machine()}
+    out = [f"# Release {tag}", "", markdown(manifest(spark, path).orderBy("file", "sha256"), "Files"), "## Environment", "", *[f"- {k}: {v}" for k, v in versions.items()], "", "## Commands", ""]
+    return "\n".join([*out, *[f"    {c}" for c in commands or ["(none given)"]], ""])
+
+
+def final_report(title: str, sections: dict[str, DataFrame | None], notes: list[str] | None = None) -> str:
+    """Tables under headings, in order; a section without a table or rows says so."""
+    parts = [f"# {title}", ""]
+    for name, df in sections.items():
+        parts.append(f"## {name}\n\n_(no data)_\n" if df is None else markdown(df, name))
+    return "\n".join([*parts, *[f"- {n}" for n in notes or ()], ""])
 
 
 def config_audit(entries: DataFrame, required_keys: DataFrame, required_names: DataFrame) -> DataFrame:
@@ -21,14 +45,16 @@ def config_audit(entries: DataFrame, required_keys: DataFrame, required_names: D
     return keys.select("name", "key", F.lit("missing key").alias("problem")).union(gone.select("name", F.lit(None).cast("string"), F.lit("missing entry")))
 
 
-def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A small report frame as a Markdown table; a report is a top-``limit`` view by design."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, title: str, limit: int | None = None) -> str:
+    """A report frame as a Markdown table; a report is small. With ``limit`` the number of rows left out is stated."""
+    rows = df.collect() if limit is None else df.limit(limit).collect()
     if not rows:
         return f"## {title}\n\n_(no data)_\n"
     show = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     body = ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]
-    return "\n".join([f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *body, ""])
+    more = 0 if limit is None or len(rows) < limit else df.count() - len(rows)
+    tail = [f"_({more} more rows)_", ""] if more else []
+    return "\n".join([f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *body, "", *tail])
 
 
 def acceptance(scores: DataFrame) -> DataFrame:

@@ -68,11 +68,57 @@ def event_brier(points: DataFrame, threshold) -> DataFrame:
     return p.groupBy(KEY).agg(F.avg((F.col("p") - F.col("o")) ** 2).alias("brier"), F.count("*").alias("n"))
 
 
+def event_catalogue(points: DataFrame, events: DataFrame, horizons=(1, 3, 5, 10, 15)) -> DataFrame:
+    """(event, indicator, horizon, n, p, rate, brier) of threshold events at the given horizons.
+
+    ``events``: event, indicator, threshold, and ``above``, true for events that
+    the value reaches the threshold and false for those that it stays below it.
+    Every event is judged by its own indicator.
+    """
+    rows = points.where(F.col("horizon").isin(*horizons)).join(F.broadcast(events), KEY)  # a catalogue is small
+    below = F.expr(phi_sql(f"((threshold - q50) / {SIGMA})"))
+    rows = rows.withColumn("p", F.when(F.col("above"), 1 - below).otherwise(below)).withColumn("o", (F.col("above") == (F.col("y") >= F.col("threshold"))).cast("double"))
+    return rows.groupBy("event", KEY, "horizon").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("o").alias("rate"), F.avg((F.col("p") - F.col("o")) ** 2).alias("brier"))
+
+
+def reliability_curve(points: DataFrame, events: DataFrame, bins: int = 10, gate: float = 0.1) -> DataFrame:
+    """(bin, n, p, rate, ok): mean probability and observed rate of events by bin of probability; ``ok`` if they differ by ``gate`` at most."""
+    rows = points.join(F.broadcast(events), KEY)
+    below = F.expr(phi_sql(f"((threshold - q50) / {SIGMA})"))
+    rows = rows.select(F.when(F.col("above"), 1 - below).otherwise(below).alias("p"), (F.col("above") == (F.col("y") >= F.col("threshold"))).cast("double").alias("o"))
+    b = F.greatest(F.lit(0), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))).cast("long")
+    got = rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("o").alias("rate"))
+    return got.withColumn("ok", F.abs(F.col("p") - F.col("rate")) <= gate)
+
+
+def coverage_gate(summary: DataFrame, gate: float = 0.1) -> DataFrame:
+    """Whether each coverage rate lies within ``gate`` of its level; a soft gate, nothing is rejected."""
+    return summary.withColumn("within", F.abs(F.col("coverage_rate") - F.col("level")) <= gate + 1e-12)
+
+
+def coverage_pivot(summary: DataFrame, levels=(0.5, 0.9)) -> DataFrame:
+    """Coverage rates with a column for each level."""
+    return summary.groupBy(KEY).agg(*[F.max(F.when(F.col("level") == lv, F.col("coverage_rate"))).alias(f"coverage_{round(lv * 100)}") for lv in levels])
+
+
+def scorecard(summary: DataFrame, crps_points: DataFrame, briers: DataFrame) -> DataFrame:
+    """(indicator, level, covered, total, coverage_rate, crps, brier): one row for each level, with the indicator's mean scores."""
+    c = crps_points.groupBy(KEY).agg(F.avg("crps").alias("crps"))
+    rows = summary.select(KEY, "level", "covered", "total", "coverage_rate")
+    return rows.join(c, KEY, "left").join(briers.select(KEY, "brier"), KEY, "left")
+
+
 def metrics_by_horizon(covered: DataFrame, pits: DataFrame) -> DataFrame:
-    """Coverage of both levels as columns, with PIT mean, sample variance (null for one) and count."""
+    """Coverage of both levels as columns, with PIT mean, sample variance (null for one) and count.
+
+    It is an error, raised when the result is read, if a level has no rows at all.
+    """
+    there = covered.agg(*[F.coalesce(F.max(F.col("level") == lv), F.lit(False)).alias(f"has_{n}") for lv, n in ((0.5, 50), (0.9, 90))], F.count("*").alias("rows"))
+    whole = F.assert_true(F.col("has_50") & F.col("has_90") | (F.col("rows") == 0), "coverage rows lack a level, 0.5 or 0.9")
     wide = covered.groupBy(KEY, "horizon").agg(*[F.avg(F.when(F.col("level") == lv, F.col("covered"))).alias(f"covered_{n}_rate") for lv, n in ((0.5, 50), (0.9, 90))])
     p = pits.groupBy(KEY, "horizon").agg(F.avg("pit").alias("pit_mean"), F.when(F.count("pit") > 1, F.var_samp("pit")).alias("pit_var"), F.count("pit").alias("pit_n"))
-    return wide.join(p, [KEY, "horizon"], "left")
+    checked = wide.crossJoin(F.broadcast(there)).where(whole.isNull()).select(*wide.columns)  # one row
+    return checked.join(p, [KEY, "horizon"], "left")
 
 
 def coverage_loss(summary: DataFrame) -> DataFrame:

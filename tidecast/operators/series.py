@@ -121,3 +121,40 @@ def correlation_pairs(obs: DataFrame) -> DataFrame:
 def latest_vintage(df: DataFrame, cut) -> DataFrame:
     """Of each step's releases the newest one up to ``cut``."""
     return df.where(F.col("vintage") <= F.lit(cut)).groupBy(KEY, "t").agg(F.max_by("value", "vintage").alias("value"), F.max("vintage").alias("vintage"))
+
+
+def revisions(df: DataFrame) -> DataFrame:
+    """(indicator, t, vintage, value, was, change) of every release that changed a step's value; a re-release is a new vintage, nothing is edited in place."""
+    w = Window.partitionBy(KEY, "t").orderBy("vintage")
+    rows = df.withColumn("was", F.lag("value").over(w)).withColumn("_n", F.row_number().over(w))
+    changed = rows.where((F.col("_n") > 1) & ~F.col("value").eqNullSafe(F.col("was")))
+    return changed.select(KEY, "t", "vintage", "value", "was", (F.col("value") - F.col("was")).alias("change"))
+
+
+def with_metadata(obs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Observations with their indicator's metadata and the regime they lie in: the number of its declared ``breaks`` up to the step.
+
+    ``metadata``: indicator, ``breaks`` (an array of steps, null for none) and
+    whatever else is known. Indicators without metadata keep their rows.
+    """
+    both = obs.join(F.broadcast(metadata), KEY, "left")  # a row for each indicator
+    regime = F.size(F.filter(F.coalesce("breaks", F.array().cast("array<long>")), lambda b: b <= F.col("t")))
+    return both.withColumn("regime", regime.cast("long")).drop("breaks")
+
+
+def year_start(year: Column) -> Column:
+    """The first of January of a year; null outside 1..9999."""
+    return F.when(year.between(1, 9999), F.make_date(year.cast("int"), F.lit(1), F.lit(1)))
+
+
+def quantiles_long(fcst: DataFrame, columns: dict[str, float] | None = None) -> DataFrame:
+    """(indicator, horizon, quantile, value) from a column for each quantile."""
+    columns = columns or {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    row = F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(c).cast("double").alias("value")) for c, q in columns.items() if c in fcst.columns]))
+    return fcst.select(KEY, "horizon", row.alias("r")).select(KEY, "horizon", "r.*")
+
+
+def quantiles_wide(rows: DataFrame, columns: dict[str, float] | None = None) -> DataFrame:
+    """A column for each quantile from (indicator, horizon, quantile, value); the largest of repeated values counts."""
+    columns = columns or {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    return rows.groupBy(KEY, "horizon").agg(*[F.max(F.when(F.abs(F.col("quantile") - q) < 1e-9, F.col("value"))).alias(c) for c, q in columns.items()])

@@ -23,18 +23,50 @@ def z_test(df: DataFrame, x: str = "x", n: str = "n", p0: str = "level") -> Data
     return df.withColumn("p_value", F.expr(f"2e0 * (1e0 - {phi_sql(z)})"))
 
 
-def benjamini_hochberg(df: DataFrame, alpha: float = 0.05, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+#: Bins of p-values that are counted apart.
+P_BINS = 4096
+
+
+def benjamini_hochberg(df: DataFrame, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Mark the hypotheses that step-up control rejects; null p-values are never rejected nor counted.
 
-    Give ``by`` where there are many families: each is ranked on its own.
+    A hypothesis is rejected if its p-value is at most the largest p for which
+    the family has p * m / alpha p-values or more up to it. Equal p-values are
+    counted first, then bins of them side by side, so no family is sorted in
+    one task. ``by`` names the families; null is a family too.
     """
-    w = Window.partitionBy(*by, F.col("p_value").isNull())
-    k = F.row_number().over(w.orderBy("p_value", *order))
-    ranked = df.withColumn("_k", k).withColumn("_m", F.count("*").over(w))
-    line = F.max(F.when(F.col("p_value") <= alpha * F.col("_k") / F.col("_m"), F.col("_k"))).over(w)
-    return ranked.withColumn("bh_reject", F.col("p_value").isNotNull() & F.coalesce(F.col("_k") <= line, F.lit(False))).drop("_k", "_m")
+    keys = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
+    names = [f"_{i}" for i in range(len(by))]
+    known = df.where("p_value IS NOT NULL").select(*keys, F.col("p_value").alias("_p"))
+    sizes = known.groupBy(*names).agg(F.count("*").alias("_m"))
+    values = known.where(F.col("_p") <= alpha).groupBy(*names, "_p").agg(F.count("*").alias("_c")).withColumn("_b", F.floor(F.col("_p") / alpha * P_BINS).cast("int"))
+    bins = values.groupBy(*names, "_b").agg(F.sum("_c").alias("_s"))  # P_BINS + 1 rows a family at most
+    before = bins.withColumn("_before", F.sum("_s").over(Window.partitionBy(*names).orderBy("_b")) - F.col("_s")).drop("_s")
+    within = values.withColumn("_k", F.sum("_c").over(Window.partitionBy(*names, "_b").orderBy("_p")))
+    ranked = _same(within, before, [*names, "_b"])
+    met = _same(ranked, sizes, names).where(F.col("_p") <= alpha * (F.col("_k") + F.col("_before")) / F.col("_m"))
+    cut = met.groupBy(*names).agg(F.max("_p").alias("_cut"))
+    if not by:
+        return df.crossJoin(F.broadcast(cut)).withColumn("bh_reject", F.coalesce(F.col("p_value") <= F.col("_cut"), F.lit(False))).drop("_cut")  # one row
+    both = df.join(cut, [F.col(c).eqNullSafe(cut[n]) for c, n in zip(by, names)], "left")
+    return both.withColumn("bh_reject", F.coalesce(F.col("p_value") <= F.col("_cut"), F.lit(False))).drop("_cut", *names)
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Join on columns that may be null; on none, ``right`` is one row."""
+    if not names:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({n: f"{n}r" for n in names})
+    return left.join(right, [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names]).drop(*[f"{n}r" for n in names])
+
+
+def counts_from_rates(rates: DataFrame, levels: dict[str, float]) -> DataFrame:
+    """(indicator, level, x, n) from one rate for each indicator and horizon: rates are rounded half to even and summed."""
+    row = F.explode(F.array(*[F.struct(F.lit(float(lv)).alias("level"), F.col(c).cast("double").alias("rate")) for c, lv in levels.items()]))
+    rows = rates.select("indicator", row.alias("r")).select("indicator", "r.*").where("rate IS NOT NULL")
+    return rows.groupBy("indicator", "level").agg(F.sum(F.bround("rate", 0).cast("long")).alias("x"), F.count("*").alias("n"))
 
 
 def significance(rates: DataFrame) -> DataFrame:
     """(indicator, level, x, n) with p-value, interval, and rejection over all rows."""
-    return benjamini_hochberg(wilson(z_test(rates)), order=("indicator", "level")).withColumn("within_ci", F.col("level").between(F.col("wilson_low"), F.col("wilson_high")))
+    return benjamini_hochberg(wilson(z_test(rates))).withColumn("within_ci", F.col("level").between(F.col("wilson_low"), F.col("wilson_high")))

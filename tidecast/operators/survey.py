@@ -56,3 +56,23 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     year = F.col("x").between(1948, 2025)
     got = rows.groupBy("column").agg(share(seven).alias("share_1_7"), share(F.col("x").between(0, 100)).alias("share_0_100"), share(year).alias("share_year"), F.count_distinct("x").alias("n_distinct"))
     return got.withColumn("year_score", F.when((F.col("share_year") > 0.5) & (F.col("n_distinct") < 200), F.col("share_year") * (1 - F.least("n_distinct", F.lit(500)) / 500)))
+
+
+def year_column(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, year_score): the column that looks most like years, the first by name among equals; none where none does."""
+    return column_profile(df, columns).where("year_score IS NOT NULL").orderBy(F.desc("year_score"), "column").limit(1).select("column", "year_score")
+
+
+def polarisation(df: DataFrame, year: str, ideology: str, pid: str, pairs: list[tuple[str, str]], weight: str | None = None, population: bool = False) -> DataFrame:
+    """(year, n, ideology_sd, pair, affect_gap): spread of ideology on 1..7 and mean gap of the best thermometer pair, of every wave that has either.
+
+    With ``weight`` the deviation is weighted; else it is that of the population
+    or of a sample. One wave is a table with one year.
+    """
+    placed = df.select(F.col(year).alias("year"), valid(F.col(ideology), 1, 7).alias("v"), *([F.col(weight).alias("w")] if weight else []))
+    if weight:
+        spread = weighted(placed, "year", "v", "w").select("year", "n", F.col("w_sd").alias("ideology_sd"))
+    else:
+        spread = dispersion(placed, "year", "v").select("year", "n", F.col("sd_population" if population else "sd_sample").alias("ideology_sd"))
+    gaps = best_pair(df, year, pid, pairs).select(F.col(year).alias("year"), "pair", F.col("gap").alias("affect_gap"))
+    return outer_merge([spread, gaps], "year").where("ideology_sd IS NOT NULL OR affect_gap IS NOT NULL")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast import sources
 from tidecast.functions import Z75, Z95, Z975, between_sql, crps_sql, num, phi_sql
 from tidecast.operators import calibrate, combine, forecast, govern, score, series, stats
 from tidecast.operators import survey as sv
 from tidecast.plans import testbed as tb
-from tidecast.plans.testbed import BASE, EVENTS, LINES, OBS, ORIGIN, PRIORITIES, PTS, SURVEY, H, fc, mom, obs_events, obs_lines, obs_orders, points, table
+from tidecast.plans.testbed import BASE, DAYS, LINES, OBS, ORIGIN, PRIORITIES, SURVEY, H, fc, mom, obs_days, obs_lines, obs_orders, points, table
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
@@ -62,10 +60,10 @@ def annualize(spark, d):
     return obs_orders(spark, d)
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT * FROM obs WHERE t % 4 <> 2), s AS (SELECT indicator, unnest(range(min(t), max(t) + 1)) AS t FROM g GROUP BY indicator)
-SELECT s.indicator, s.t, R(g.value) AS value FROM s LEFT JOIN g ON g.indicator = s.indicator AND g.t = s.t""")
+@query(f"""WITH {DAYS}, s AS (SELECT indicator, unnest(range(min(t), max(t) + 1)) AS t FROM obs GROUP BY indicator)
+SELECT s.indicator, s.t, R(obs.value) AS value FROM s LEFT JOIN obs ON obs.indicator = s.indicator AND obs.t = s.t""")
 def densify_gaps(spark, d):
-    return series.densify(obs_events(spark, d).where("t % 4 <> 2"))
+    return series.densify(obs_days(spark, d))
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS iso_year, CAST(year(o_orderdate) AS BIGINT) AS digit_year FROM orders")
@@ -81,9 +79,9 @@ def dedupe_first(spark, d):
     return series.dedupe_first(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-@query(f"WITH {EVENTS}, g AS (SELECT * FROM obs WHERE value IS NOT NULL AND (t % 4 <> 2 OR indicator > 'c')) SELECT indicator, t, R(value) AS value FROM g WHERE t IN (SELECT t FROM g GROUP BY t HAVING count(DISTINCT indicator) = (SELECT count(DISTINCT indicator) FROM g))", 6)
+@query(f"WITH {DAYS} SELECT indicator, t, R(value) AS value FROM obs WHERE t IN (SELECT t FROM obs GROUP BY t HAVING count(DISTINCT indicator) = (SELECT count(DISTINCT indicator) FROM obs))")
 def complete_steps(spark, d):
-    return series.complete_steps(obs_events(spark, d).where("t % 4 <> 2 or indicator > 'c'"))
+    return series.complete_steps(obs_days(spark, d))
 
 
 _P = ", ".join(f"R(max(CASE WHEN indicator = '{p}' THEN value END)) AS p{p[0]}" for p in PRIORITIES)
@@ -142,6 +140,30 @@ def latest_vintage(spark, d):
     return series.latest_vintage(v, 9)
 
 
+_VINTAGES = "v AS (SELECT o_orderpriority AS indicator, CAST(year(o_orderdate) AS BIGINT) AS t, CAST(month(o_orderdate) AS BIGINT) AS vintage, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"
+
+
+@query(f"""WITH {_VINTAGES}, l AS (SELECT *, lag(value) OVER w AS was, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY indicator, t ORDER BY vintage)) SELECT indicator, t, vintage, R(value) AS value, R(was) AS was, R(value - was) AS change FROM l WHERE n > 1 AND value IS DISTINCT FROM was""")
+def revision_log(spark, d):
+    o = table(spark, d, "orders")
+    return series.revisions(o.groupBy(F.col("o_orderpriority").alias(KEY), F.year("o_orderdate").cast("long").alias("t"), F.month("o_orderdate").cast("long").alias("vintage")).agg(F.avg("o_totalprice").alias("value")))
+
+
+_META = [("1-URGENT", "usd", "log1p", "demand", [24, 48]), ("2-HIGH", "usd", "identity", "demand", [36]), ("3-MEDIUM", "usd", "identity", "supply", None)]
+
+
+@query(f"""WITH {OBS}, m AS (SELECT * FROM (VALUES ('1-URGENT', 'usd', 'log1p', 'demand', [24, 48]), ('2-HIGH', 'usd', 'identity', 'demand', [36]), ('3-MEDIUM', 'usd', 'identity', 'supply', NULL)) v(indicator, unit, transform, category, breaks))
+SELECT indicator, t, R(value) AS value, unit, transform, category, CAST(coalesce(len(list_filter(breaks, lambda b: b <= t)), 0) AS BIGINT) AS regime FROM obs LEFT JOIN m USING (indicator)""")
+def metadata_regimes(spark, d):
+    meta = spark.createDataFrame(_META, "indicator string, unit string, transform string, category string, breaks array<long>")
+    return series.with_metadata(obs_orders(spark, d), meta)
+
+
+@query("SELECT o_orderkey, CAST(make_date(year(o_orderdate), 1, 1) AS VARCHAR) AS start FROM orders")
+def year_starts(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", series.year_start(F.year("o_orderdate")).cast("string").alias("start"))
+
+
 @query("SELECT event_type AS indicator, CAST(date_trunc('day', ts) AS VARCHAR) AS start, R(avg(value)) AS value, count(*) AS n FROM events GROUP BY ALL", 6)
 def windowed_events(spark, d):
     from tidecast.streaming import windowed_mean
@@ -175,11 +197,10 @@ def survey_best_pair(spark, d):
     return sv.best_pair(tb.survey(spark, d), "year", "pid", [("th0", "th1"), ("th2", "th3"), ("th4", "th5")])
 
 
-@query(f"""WITH {SURVEY}, a AS (SELECT year, R(avg(ideology)) AS ideology FROM sv WHERE year % 2 = 0 GROUP BY year), b AS (SELECT year, R(avg(abs(th0 - th1))) AS affect FROM sv WHERE year % 3 = 0 AND pid IS NOT NULL GROUP BY year) SELECT year, ideology, affect FROM a FULL OUTER JOIN b USING (year)""", 6)
+@query(f"""WITH {SURVEY}, a AS (SELECT year, R(avg(ideology)) AS ideology FROM sv GROUP BY year), b AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS year, R(avg(l_quantity)) AS quantity FROM lineitem GROUP BY ALL) SELECT year, ideology, quantity FROM a FULL OUTER JOIN b USING (year)""", 6)
 def survey_outer_merge(spark, d):
-    s = tb.survey(spark, d)
-    a = s.where("year % 2 = 0").groupBy("year").agg(F.avg("ideology").alias("ideology"))
-    b = s.where("year % 3 = 0 and pid is not null").groupBy("year").agg(F.avg(F.abs(F.col("th0") - F.col("th1"))).alias("affect"))
+    a = tb.survey(spark, d).groupBy("year").agg(F.avg("ideology").alias("ideology"))
+    b = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("year")).agg(F.avg("l_quantity").alias("quantity"))
     return sv.outer_merge([a, b], "year")
 
 
@@ -192,6 +213,41 @@ def column_profile(spark, d):
     return sv.column_profile(tb.survey(spark, d), ["year", "ideology", "pid", "th0"])
 
 
+@query(f"""WITH {SURVEY}, p AS ({_PROFILE}), g AS (SELECT col, avg(CASE WHEN x BETWEEN 1948 AND 2025 THEN 1e0 ELSE 0e0 END) AS sy, count(DISTINCT x) AS n FROM p GROUP BY col)
+SELECT col AS "column", R(sy * (1e0 - least(n, 500) / 5e2)) AS year_score FROM g WHERE sy > 5e-1 AND n < 200 ORDER BY 2 DESC, 1 LIMIT 1""", 6)
+def year_column_pick(spark, d):
+    return sv.year_column(tb.survey(spark, d), ["year", "ideology", "pid", "th0"])
+
+
+_GAP = f"""p AS ({_PAIRS}), g AS (SELECT year, pair, count(gap) AS n_valid, count(CASE WHEN pid IS NOT NULL THEN gap END) AS n_pid, CASE WHEN count(pid) > 0 THEN avg(CASE WHEN pid IS NOT NULL THEN gap END) ELSE avg(gap) END AS gap FROM p GROUP BY ALL),
+bp AS (SELECT year, CAST(pair AS BIGINT) AS pair, gap FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n_valid DESC, n_pid DESC, gap IS NULL, pair DESC) AS k FROM g) WHERE k = 1)"""
+_THERMO = [("th0", "th1"), ("th2", "th3"), ("th4", "th5")]
+
+
+def _polar(kind: str) -> str:
+    spread = {
+        "weighted": "m AS (SELECT *, sum(w * v) OVER (PARTITION BY year) / sum(w) OVER (PARTITION BY year) AS m FROM (SELECT year, ideology AS v, weight AS w FROM sv WHERE ideology BETWEEN 1 AND 7 AND weight > 0)), d AS (SELECT year, count(*) AS n, sqrt(sum(w * (v - m) * (v - m)) / sum(w)) AS sd FROM m GROUP BY year)",
+        "sample": "d AS (SELECT year, count(v) AS n, stddev_samp(v) AS sd FROM (SELECT year, CASE WHEN ideology BETWEEN 1 AND 7 THEN ideology END AS v FROM sv) GROUP BY year)",
+        "population": "d AS (SELECT year, count(v) AS n, stddev_pop(v) AS sd FROM (SELECT year, CASE WHEN ideology BETWEEN 1 AND 7 THEN ideology END AS v FROM sv) GROUP BY year)",
+    }[kind]
+    return f"WITH {SURVEY}, {_GAP}, {spread} SELECT year, n, R(sd) AS ideology_sd, pair, R(gap) AS affect_gap FROM d FULL OUTER JOIN bp USING (year) WHERE sd IS NOT NULL OR gap IS NOT NULL"
+
+
+@query(_polar("weighted"), 6)
+def polarisation_weighted(spark, d):
+    return sv.polarisation(tb.survey(spark, d), "year", "ideology", "pid", _THERMO, weight="weight")
+
+
+@query(_polar("sample"), 6)
+def polarisation_unweighted(spark, d):
+    return sv.polarisation(tb.survey(spark, d), "year", "ideology", "pid", _THERMO)
+
+
+@query(_polar("population"), 6)
+def polarisation_wave(spark, d):
+    return sv.polarisation(tb.survey(spark, d), "year", "ideology", "pid", _THERMO, population=True)
+
+
 # -- forecasts ------------------------------------------------------------
 
 _TR = f"WITH {OBS}, {mom()}"
@@ -248,7 +304,7 @@ b{n} AS (SELECT * FROM (SELECT *, s / (n - 1) AS s2, row_number() OVER (PARTITIO
 
 
 @query(f"""{_RTR}, o AS (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY t) AS i FROM tr),
-g1 AS (SELECT indicator, pow(1e1, -6e0 + x * {num(12 / 60)}) AS q FROM mom, range(0, 61) r(x)), {_KF.format(n=1, g='g1')},
+g1 AS (SELECT indicator, pow(1e1, -6e0 + x * {num(12 / 60)}) AS q FROM mom, range(0, 61) r(x) WHERE n >= 5), {_KF.format(n=1, g='g1')},
 g2 AS (SELECT indicator, pow(1e1, log10(q) - {num(0.2)} + x * {num(24 / 60 / 60)}) AS q FROM b1, range(0, 61) r(x)), {_KF.format(n=2, g='g2')}
 SELECT indicator, horizon, R(a - {num(Z95)} * sqrt(s2 * (p + (horizon - 1) * q + 1))) AS q05, R(a) AS q50, R(a + {num(Z95)} * sqrt(s2 * (p + (horizon - 1) * q + 1))) AS q95 FROM b2, {_HS}""", 2)
 def ll_kalman(spark, d):
@@ -294,6 +350,11 @@ def fsm_paths_long(spark, d):
     return forecast.path_quantiles(_sim(spark, d, h=H_LONG))
 
 
+@query(f"{_TR}, {_sim_sql().replace(_HS, _HS.replace(str(H + 1), str(H_LONG + 1)))} SELECT indicator, horizon, R(quantile_cont(y, 5e-2)) AS q05, R(quantile_cont(y, 5e-1)) AS q50, R(quantile_cont(y, 9.5e-1)) AS q95, horizon <= 15 AS scored FROM sim12345 GROUP BY ALL", 2)
+def fsm_scored_and_scenario(spark, d):
+    return forecast.scored_and_scenario(_sim(spark, d, h=H_LONG), H)
+
+
 @query(f"""{_TR}, {_sim_sql()}, {_sim_sql(777, 0.0)}, tp AS (SELECT i.indicator, s.path, s.horizon, s.y AS x FROM sim777 s, (SELECT DISTINCT indicator FROM sim777) i WHERE s.indicator = '1-URGENT'),
 a AS (SELECT *, row_number() OVER (PARTITION BY indicator, horizon ORDER BY y, path) AS r FROM sim12345), b AS (SELECT *, row_number() OVER (PARTITION BY indicator, horizon ORDER BY x, path) AS r FROM tp)
 SELECT a.indicator, b.path, a.horizon, R(a.y) AS y FROM a JOIN b ON a.indicator = b.indicator AND a.horizon = b.horizon AND a.r = b.r""", 2)
@@ -379,6 +440,32 @@ def match_sample(spark, d):
 _BAND = lambda z, sign: f"R(q50 + CASE WHEN indicator = '2-HIGH' THEN 8.5e-1 ELSE 1e0 END * {sign}{num(z)} * (q95 - q05) / (2e0 * {num(Z95)}))"
 
 
+_AL = f"al AS (SELECT indicator, CASE WHEN abs(before - 9e-1) <= 5e-3 THEN 1e0 ELSE best END AS alpha, before, c FROM s WHERE k = 30)"
+_SEARCH = f"""l AS (SELECT indicator, list({_CRIT}) AS c FROM pts GROUP BY indicator),
+s AS (SELECT indicator, c, 0 AS k, 2.5e-1 AS lo, 8e0 AS hi, 1e0 AS best, abs({_COV('1e0')} - 9e-1) AS err, {_COV('1e0')} AS before FROM l UNION ALL
+ SELECT indicator, c, k + 1, CASE WHEN v >= 9e-1 THEN lo ELSE m END, CASE WHEN v >= 9e-1 THEN m ELSE hi END, CASE WHEN abs(v - 9e-1) < err THEN m ELSE best END, least(err, abs(v - 9e-1)), before
+ FROM (SELECT *, (lo + hi) / 2e0 AS m, {_COV('(lo + hi) / 2e0')} AS v FROM s WHERE k < 30))"""
+_ALLF = f"fa AS (SELECT * FROM fc UNION ALL SELECT l_returnflag || l_linestatus, horizon, avg(l_quantity), avg(l_quantity), avg(l_quantity) FROM lineitem, {_HS} GROUP BY ALL)"
+
+
+def _all_forecasts(spark, d):
+    """The forecast, and flat ones of series that have no truth."""
+    li = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias(KEY)).agg(F.avg("l_quantity").alias("m"))
+    flat = forecast._horizons(li, H).select(KEY, "horizon", F.col("m").alias("q05"), F.col("m").alias("q50"), F.col("m").alias("q95"))
+    return tb.fcst(spark, d).union(flat)
+
+
+@query(f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {_SEARCH}, {_AL}, {_ALLF} SELECT i.indicator, R(coalesce(alpha, 1e0)) AS alpha, R(before) AS coverage_before, R({_COV('alpha')}) AS coverage_after FROM (SELECT DISTINCT indicator FROM fa) i LEFT JOIN al USING (indicator)""", 6)
+def sigma_scales(spark, d):
+    return calibrate.sigma_scales(_all_forecasts(spark, d), points(spark, d))
+
+
+@query(f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {_SEARCH}, {_AL}, {_ALLF} SELECT fa.indicator, horizon, R(q50 + coalesce(alpha, 1e0) * (q05 - q50)) AS q05, R(q50) AS q50, R(q50 + coalesce(alpha, 1e0) * (q95 - q50)) AS q95, R(coalesce(alpha, 1e0)) AS alpha FROM fa LEFT JOIN al USING (indicator)""", 3)
+def sigma_apply(spark, d):
+    fcst = _all_forecasts(spark, d)
+    return calibrate.scale_spread(fcst, calibrate.sigma_scales(fcst, points(spark, d)))
+
+
 @query(f"WITH {OBS}, {mom()}, {fc()} SELECT indicator, horizon, R(q50) AS q50, {_BAND(Z75, '-')} AS lo_50, {_BAND(Z75, '')} AS hi_50, {_BAND(Z95, '-')} AS lo_90, {_BAND(Z95, '')} AS hi_90 FROM fc")
 def rescale(spark, d):
     return calibrate.rescale_bands(tb.fcst(spark, d), 0.85, "2-HIGH")
@@ -413,13 +500,56 @@ def crps(spark, d):
 
 
 _ORIGINS = (36, 48, 60)
-_MULTI = " UNION ALL ".join(f"SELECT fc.*, CAST({o} AS BIGINT) AS origin, obs.value AS y FROM fc JOIN obs ON obs.indicator = fc.indicator AND obs.t = {o} + horizon" for o in _ORIGINS)
 
 
-@query(f"WITH {OBS}, {mom()}, {fc()}, m AS ({_MULTI}) SELECT indicator, origin, count(*) AS n, R(avg({crps_sql('y', 'q50', SM)})) AS crps FROM m GROUP BY ALL", 2)
+def _rolled(select: str) -> str:
+    """``select`` over ``ro``: the drift forecast fitted apart at every origin, with the truth ``y``; one fit for each in SQL."""
+    parts = ", ".join(f"r{o} AS (WITH {mom(o)}, {fc()} SELECT fc.*, CAST({o} AS BIGINT) AS origin, {o} + horizon AS t, obs.value AS y FROM fc JOIN obs ON obs.indicator = fc.indicator AND obs.t = {o} + horizon WHERE obs.value IS NOT NULL)" for o in _ORIGINS)
+    return f"WITH RECURSIVE {OBS}, {parts}, ro AS ({' UNION ALL '.join(f'SELECT * FROM r{o}' for o in _ORIGINS)}){select}"
+
+
+def rolled(spark, d):
+    o = obs_orders(spark, d)
+    return calibrate.join_rolling(forecast.rolling(o, _ORIGINS, forecast.drift_forecast, H), o)
+
+
+@query(_rolled(f" SELECT indicator, origin, count(*) AS n, R(avg({crps_sql('y', 'q50', SM)})) AS crps FROM ro GROUP BY ALL"), 2)
 def multi_origin_crps(spark, d):
-    rows = reduce(DataFrame.union, [score.crps(calibrate.join_truth(tb.fcst(spark, d, o), obs_orders(spark, d), o)) for o in _ORIGINS])
-    return rows.groupBy(KEY, "origin").agg(F.count("*").alias("n"), F.avg("crps").alias("crps"))
+    return score.crps(rolled(spark, d)).groupBy(KEY, "origin").agg(F.count("*").alias("n"), F.avg("crps").alias("crps"))
+
+
+_BATCH = f""", l AS (SELECT indicator, origin, list({{crit}}) AS c FROM ro GROUP BY ALL),
+s AS (SELECT indicator, origin, c, 0 AS k, 2.5e-1 AS lo, 8e0 AS hi, 1e0 AS best, abs({{cov1}} - 9e-1) AS err, {{cov1}} AS before FROM l UNION ALL
+ SELECT indicator, origin, c, k + 1, CASE WHEN v >= 9e-1 THEN lo ELSE m END, CASE WHEN v >= 9e-1 THEN m ELSE hi END, CASE WHEN abs(v - 9e-1) < err THEN m ELSE best END, least(err, abs(v - 9e-1)), before
+ FROM (SELECT *, (lo + hi) / 2e0 AS m, {{covm}} AS v FROM s WHERE k < 30)),
+al AS (SELECT indicator, origin, CASE WHEN abs(before - 9e-1) <= 5e-3 THEN 1e0 ELSE best END AS alpha FROM s WHERE k = 30),
+rc AS (SELECT ro.indicator, ro.origin, alpha, y, q50 + alpha * (q05 - q50) AS q05, q50, q50 + alpha * (q95 - q50) AS q95 FROM ro JOIN al USING (indicator, origin)),
+u AS (SELECT indicator, origin, 5e-1 AS level, {between_sql('y', f'q50 - {num(Z75)} * {SU}', f'q50 + {num(Z75)} * {SU}')} AS c FROM rc UNION ALL SELECT indicator, origin, 9e-1, {between_sql('y', f'q50 - {num(Z95)} * {SU}', f'q50 + {num(Z95)} * {SU}')} FROM rc)
+SELECT indicator, origin, R(level) AS level, CAST(sum(c) AS BIGINT) AS covered, count(*) AS total, R(sum(c) / CAST(count(*) AS DOUBLE)) AS coverage_rate FROM u GROUP BY ALL"""
+
+
+@query(_rolled(_BATCH.format(crit=_CRIT, cov1=_COV("1e0"), covm=_COV("(lo + hi) / 2e0"))), 6)
+def batch_origins(spark, d):
+    """Forecast, spread calibration and verification at every origin, in one plan."""
+    p = rolled(spark, d)
+    scaled = p.join(calibrate.by_origin(p, calibrate.spread_search).select(KEY, "origin", "alpha"), [KEY, "origin"])
+    move = lambda c: (F.col("q50") + F.col("alpha") * (F.col(c) - F.col("q50"))).alias(c)
+    scaled = scaled.select(KEY, "origin", "horizon", "t", "y", move("q05"), "q50", move("q95"))
+    return calibrate.by_origin(scaled, lambda x: score.coverage_summary(score.coverage_points(x)))
+
+
+@query(f"""WITH {OBS}, {', '.join(f"t{o} AS (SELECT indicator, regr_slope(value, t) AS b, avg(value) AS m, avg(t) AS c FROM obs WHERE t <= {o} AND value IS NOT NULL GROUP BY indicator HAVING count(*) >= 3)" for o in _ORIGINS)},
+f AS ({' UNION ALL '.join(f"SELECT indicator, {o} AS origin, {o} + h AS t, m, b, {o} + h - c AS dx FROM t{o}, range(1, {H + 1}) r(h)" for o in _ORIGINS)}),
+e AS (SELECT f.indicator, penalty, count(*) AS n, avg(abs(value - (m + b / (1e0 + penalty) * dx))) AS mae FROM f JOIN obs ON obs.indicator = f.indicator AND obs.t = f.t, (VALUES (5e-2), (1e-1), (2e-1)) p(penalty) WHERE value IS NOT NULL GROUP BY ALL)
+SELECT indicator, R(penalty) AS penalty, n, R(mae) AS mae, row_number() OVER (PARTITION BY indicator ORDER BY mae, penalty) = 1 AS best FROM e""", 4)
+def penalty_grid(spark, d):
+    return forecast.penalty_grid(obs_orders(spark, d), _ORIGINS, H)
+
+
+@query(f"""{BASE}, e AS (SELECT indicator, list_sort(list(abs(y - q50))) AS e FROM pts GROUP BY indicator), w AS (SELECT indicator, e[CAST(least(ceil((len(e) + 1) * 9e-1 - 1e-9), len(e)) AS BIGINT)] AS w, CAST(len(e) AS BIGINT) AS n FROM e)
+SELECT indicator, horizon, R(q50 - w) AS q05, R(q50) AS q50, R(q50 + w) AS q95, n FROM fc JOIN w USING (indicator)""", 2)
+def conformal_bands(spark, d):
+    return calibrate.conformal(tb.fcst(spark, d), points(spark, d))
 
 
 @query(f"{BASE}, {_PIT}, k AS (SELECT indicator, pit, row_number() OVER (PARTITION BY indicator ORDER BY pit) AS i, count(*) OVER (PARTITION BY indicator) AS n FROM pt) SELECT indicator, max(n) AS n, R(max(greatest(i / CAST(n AS DOUBLE) - pit, pit - (i - 1) / CAST(n AS DOUBLE)))) AS ks FROM k GROUP BY indicator", 6)
@@ -467,6 +597,44 @@ def brier_composite(spark, d):
     return score.event_brier(p, F.lit(1.5e5)).join(c, KEY).withColumn("composite", 0.5 * F.col("crps") + 0.5 * F.col("brier"))
 
 
+_EVENTS = [("urgent_low", "1-URGENT", 145000.0, False), ("high_up", "2-HIGH", 150000.0, True), ("medium_low", "3-MEDIUM", 155000.0, False), ("open_up", "4-NOT SPECIFIED", 145000.0, True), ("low_low", "5-LOW", 150000.0, False)]
+_EV = ", ".join(f"('{e}', '{i}', {num(t)}, {str(a).upper()})" for e, i, t, a in _EVENTS)
+_EVP = f"ev AS (SELECT * FROM (VALUES {_EV}) v(event, indicator, threshold, above)), ep AS (SELECT pts.*, event, CASE WHEN above THEN 1 - {phi_sql(f'((threshold - q50) / {SM})')} ELSE {phi_sql(f'((threshold - q50) / {SM})')} END AS p, CASE WHEN above = (y >= threshold) THEN 1e0 ELSE 0e0 END AS o FROM pts JOIN ev USING (indicator))"
+
+
+def _catalogue(spark):
+    return spark.createDataFrame(_EVENTS, "event string, indicator string, threshold double, above boolean")
+
+
+@query(f"{BASE}, {_EVP} SELECT event, indicator, horizon, count(*) AS n, R(avg(p)) AS p, R(avg(o)) AS rate, R(avg((p - o) * (p - o))) AS brier FROM ep WHERE horizon IN (1, 3, 5, 10, 15) GROUP BY ALL", 6)
+def event_catalogue(spark, d):
+    return score.event_catalogue(points(spark, d), _catalogue(spark))
+
+
+@query(f"{BASE}, {_EVP}, b AS (SELECT CAST(greatest(0, least(floor(p * 10), 9)) AS BIGINT) AS bin, count(*) AS n, avg(p) AS p, avg(o) AS rate FROM ep GROUP BY ALL) SELECT bin, n, R(p) AS p, R(rate) AS rate, abs(p - rate) <= 1e-1 AS ok FROM b", 6)
+def reliability_curve(spark, d):
+    return score.reliability_curve(points(spark, d), _catalogue(spark))
+
+
+@query(f"{BASE}, {_SUM} SELECT indicator, R(level) AS level, R(coverage_rate) AS coverage_rate, abs(coverage_rate - level) <= 1.00000000001e-1 AS within FROM cs", 6)
+def coverage_gate(spark, d):
+    return score.coverage_gate(score.coverage_summary(score.coverage_points(points(spark, d)))).select(KEY, "level", "coverage_rate", "within")
+
+
+@query(f"{BASE}, {_SUM} SELECT indicator, R(max(CASE WHEN level = 5e-1 THEN coverage_rate END)) AS coverage_50, R(max(CASE WHEN level = 9e-1 THEN coverage_rate END)) AS coverage_90 FROM cs GROUP BY indicator", 6)
+def coverage_pivot(spark, d):
+    return score.coverage_pivot(score.coverage_summary(score.coverage_points(points(spark, d))))
+
+
+@query(f"""{BASE}, {_SUM}, {_EVP}, c AS (SELECT indicator, avg({crps_sql('y', 'q50', SM)}) AS crps FROM pts GROUP BY indicator), br AS (SELECT indicator, avg((p - o) * (p - o)) AS brier FROM ep WHERE horizon IN (1, 3, 5, 10, 15) GROUP BY indicator)
+SELECT cs.indicator, R(level) AS level, covered, total, R(coverage_rate) AS coverage_rate, R(crps) AS crps, R(brier) AS brier FROM cs LEFT JOIN c USING (indicator) LEFT JOIN br USING (indicator)""", 4)
+def scorecard(spark, d):
+    p = points(spark, d)
+    events = score.event_catalogue(p, _catalogue(spark))
+    briers = events.groupBy(KEY).agg((F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier"))
+    return score.scorecard(score.coverage_summary(score.coverage_points(p)), score.crps(p), briers)
+
+
 # -- statistics -----------------------------------------------------------
 
 _ZP = lambda x, n, p: f"2e0 * (1e0 - {phi_sql(f'abs(({x} / CAST({n} AS DOUBLE) - {p}) / sqrt({p} * (1e0 - {p}) / {n}))')})"
@@ -481,18 +649,41 @@ def significance(spark, d):
     return stats.significance(s)
 
 
+@query(f"""{BASE}, {_COVP}, {_PIT}, {_MBH}, cs AS (SELECT indicator, level, CAST(sum(round_even(rate, 0)) AS BIGINT) AS covered, count(*) AS total FROM (SELECT indicator, 5e-1 AS level, covered_50_rate AS rate FROM w UNION ALL SELECT indicator, 9e-1, covered_90_rate FROM w) WHERE rate IS NOT NULL GROUP BY ALL), {_SIG} SELECT indicator, R(level) AS level, x, n, R(p_value) AS p_value, R(wilson_low) AS wilson_low, R(wilson_high) AS wilson_high, coalesce(i <= cut, FALSE) AS bh_reject, level BETWEEN wilson_low AND wilson_high AS within_ci FROM b""", 6)
+def significance_from_rates(spark, d):
+    p = points(spark, d)
+    rates = score.metrics_by_horizon(score.coverage_points(p), score.pit(p))
+    return stats.significance(stats.counts_from_rates(rates, {"covered_50_rate": 0.5, "covered_90_rate": 0.9}))
+
+
+@query("SELECT indicator, level, CAST(sum(round_even(rate, 0)) AS BIGINT) AS x, count(*) AS n FROM (SELECT l_returnflag AS indicator, 5e-1 AS level, l_quantity / 2e0 AS rate FROM lineitem UNION ALL SELECT l_returnflag, 9e-1, l_quantity / 4e0 FROM lineitem) GROUP BY ALL")
+def half_even_counts(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias(KEY), (F.col("l_quantity") / 2).alias("a"), (F.col("l_quantity") / 4).alias("b"))
+    return stats.counts_from_rates(li, {"a": 0.5, "b": 0.9})
+
+
 _TESTS = f"g AS (SELECT o_custkey, CAST(sum(CASE WHEN o_totalprice > 2.5e5 THEN 1 ELSE 0 END) AS BIGINT) AS x, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 8), p AS (SELECT *, {_ZP('x', 'n', '5e-1')} AS p_value FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY p_value, o_custkey) AS i, count(*) OVER (PARTITION BY n) AS m FROM p)"
 
 
 @query(f"WITH {_TESTS} SELECT o_custkey, x, n, R(p_value) AS p_value, coalesce(i <= max(CASE WHEN p_value <= 5e-2 * i / m THEN i END) OVER (PARTITION BY n), FALSE) AS bh_reject FROM k", 6)
 def fdr(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum((F.col("o_totalprice") > 2.5e5).cast("long")).alias("x"), F.count("*").alias("n")).where("n >= 8")
-    return stats.benjamini_hochberg(stats.z_test(o.withColumn("half", F.lit(0.5)), p0="half"), by=("n",), order=("o_custkey",)).drop("half")
+    return stats.benjamini_hochberg(stats.z_test(o.withColumn("half", F.lit(0.5)), p0="half"), by=("n",)).drop("half")
 
 
 # -- combination ----------------------------------------------------------
 
 
+@query(f"WITH {OBS}, {mom()}, {fc()} SELECT indicator, horizon, R(quantile) AS quantile, R(value) AS value FROM (SELECT indicator, horizon, 5e-2 AS quantile, q05 AS value FROM fc UNION ALL SELECT indicator, horizon, 5e-1, q50 FROM fc UNION ALL SELECT indicator, horizon, 9.5e-1, q95 FROM fc)")
+def quantiles_long(spark, d):
+    return series.quantiles_long(tb.fcst(spark, d))
+
+
+@query(f"WITH {OBS}, {mom()}, {fc()} SELECT indicator, horizon, R(q05) AS q05, R(q50) AS q50, R(q95) AS q95 FROM fc")
+def quantiles_wide(spark, d):
+    return series.quantiles_wide(series.quantiles_long(tb.fcst(spark, d)))
+
+
 @query(f"""WITH {OBS}, {mom()}, {fc()}, f2 AS ({'SELECT indicator, horizon, mu - Z * s AS q05, mu AS q50, mu + Z * s AS q95 FROM (SELECT indicator, CAST(h AS BIGINT) AS horizon, last + h * drift AS mu, sqrt(h * sd_state * sd_state * 1.8e0 + sd_obs * sd_obs) AS s FROM mom, range(1, 16) r(h))'.replace('Z', num(Z95))})
 SELECT indicator, horizon, R(avg(q05)) AS q05, R(avg(q50)) AS q50, R(avg(q95)) AS q95, count(DISTINCT m) AS n_models FROM (SELECT *, 1 AS m FROM fc UNION ALL SELECT *, 2 FROM f2) GROUP BY ALL""")
 def ensemble_equal(spark, d):
@@ -520,9 +711,14 @@ def proxy_validation(spark, d):
 
 @query(f"""{BASE}, {_SUM} SELECT run, origin, indicator, R(level) AS level, covered, total, R(coverage_rate) AS coverage_rate FROM cs, (VALUES ('walk_1999_cal', '1999'), ('walk', '')) v(run, origin)""", 6)
 def diagnostics_rollup(spark, d):
+    """Two runs are written to a tree of folders, one with its columns in another order, and the tree is scanned."""
+    import uuid
+
+    tree = f"{sources.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     s = score.coverage_summary(score.coverage_points(points(spark, d)))
-    rows = combine.union_models({"walk_1999_cal": s, "walk": s}).withColumnRenamed("model", "run")
-    return rows.withColumn("origin", F.regexp_extract("run", r"_(\d{4})(?:_.*)?$", 1))
+    sources.write_csv(s, f"{tree}/walk_1999_cal")
+    sources.write_csv(s.select(*reversed(s.columns)), f"{tree}/walk")
+    return sources.read_tagged(spark, f"{tree}/*/*.csv", "indicator string, level double, covered long, total long, coverage_rate double")
 
 
 @query(f"{BASE} SELECT indicator AS subgroup, count(*) AS n, R(avg(y - q50)) AS bias, R(avg(abs(y - q50))) AS mae FROM pts GROUP BY indicator")
@@ -541,9 +737,14 @@ def config_audit(spark, d):
     return govern.config_audit(spark.createDataFrame(_CONFIG, "name string, key string"), one(["unit", "transform"], "key"), one(["trust", "turnout", "growth"], "name"))
 
 
-@query()
+@query("SELECT CAST(page_id AS VARCHAR) AS file, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages")
 def sha_manifest(spark, d):
-    return govern.manifest(spark, d, "region.parquet")
+    return govern.digests(table(spark, d, "pages"), "page_id", "html")
+
+
+@query()
+def file_manifest(spark, d):
+    return govern.manifest(spark, d)
 
 
 def queries():

@@ -84,6 +84,11 @@ def probe_csv(spark: SparkSession, path, separators=(",", ";", "\t", "|"), rows:
     return None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where a query may write tables that all machines read: the checkpoint folder, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def newest(paths: list[str]) -> str | None:
     """The last path by name."""
     return max(paths, default=None)
