@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidecast.llm import bpe, decontaminate, embeddings, html, langid, linededup, lmscore, neardup, secrets, toxicity
+from tidecast.llm import common
 from tidecast.llm.common import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,7 +111,7 @@ def plain_words(t):
 
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_decontaminate(spark, corpus, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     some = [t for _, t in sorted(texts(corpus), key=str) if t][:60]
     items = [(k, t.replace(",", ";").upper() if k % 2 else t) for k, t in enumerate(some[:9])] + [(20, "x x"), (21, "zebra"), (22, None), (23, ""), (None, some[12]), (20, "x x"), (24, "ÉTÉ FORÊT le"), (25, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -134,7 +135,7 @@ def test_decontaminate(spark, corpus, limit, monkeypatch):
 
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_words_are_lowered_apart_from_their_neighbours(spark, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     rnd = random.Random(5)
     letters, signs = "ΣσςΑαΙİiIıBßẞéÉKK", " .-'·:_\n "
     text = lambda n: "".join(rnd.choice(letters if rnd.random() < 0.62 else signs) for _ in range(n))
@@ -599,8 +600,6 @@ def test_a_chain_of_weak_links_keeps_all_of_them(spark):
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
-    from tidecast.llm import common
-
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
     with pytest.raises(RuntimeError):
         common.shared_dir(session)

@@ -63,6 +63,21 @@ class Scratch:
         return out
 
 
+#: Tables are broadcast up to so many bytes, as counted by ``small``; joined by a shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, *long: str) -> DataFrame:
+    """``df`` with a hint to broadcast it if its bytes, 100 for a row besides its texts and arrays in the columns ``long``, are within the bound."""
+    size = F.lit(0).cast("long")
+    for c in long:
+        column = F.col(f"`{c}`")
+        column = F.size(column) * 40 if df.schema[c].dataType.typeName() == "array" else F.octet_length(column.cast("string"))
+        size = size + F.coalesce(column, F.lit(0))
+    (total,) = df.agg(F.count("*") * 100 + F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 #: Rows and bytes that a Python function gets at a time: rows hold whole texts.
 PART_ROWS, PART_BYTES = 1000, 4 << 20
 

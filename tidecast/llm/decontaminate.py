@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Scratch, table
+from tidecast.llm.common import Scratch, small, table
 
 WINDOW = 10
 SHINGLE = 3
-#: Tables are broadcast up to so many bytes, by a count of rows and of the bytes of their texts; joined by a shuffle beyond it.
-BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,12 +48,6 @@ def _windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFr
     return cut.select("item", "len", F.translate(F.array_join("raw", " "), UPPER, LOWER).alias("win"), _low(F.col("raw")).alias("w")).dropDuplicates(["item", "win"])
 
 
-def _hint(df: DataFrame, *texts: str):
-    """``F.broadcast`` if the table's bytes, 100 for a row besides its texts, are within the bound."""
-    size = df.agg(F.count("*") * 100 + F.coalesce(F.sum(sum([F.coalesce(F.octet_length(F.col(t).cast("string")), F.lit(0)) for t in texts], F.lit(0))), F.lit(0))).first()[0]
-    return F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
-
-
 def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """(id, h, item, start, end): where windows of items occur in documents.
 
@@ -74,16 +66,16 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     low = words.select("id", "h", _low(F.col("raw")).alias("low")).select("id", "h", "low", F.posexplode("low").alias("pos", "_w"))
     each = F.array(*[F.when(F.col("pos") <= F.size("low") - n, F.struct(F.lit(n).alias("n"), _key(F.col("low"), F.col("pos"), n).alias("key"))) for n in widths])
     rows = low.select("id", "h", "pos", F.inline(each)).where("key is not null")
-    met = keep(rows.join(_hint(known)(known), ["n", "key"], "left_semi"))
+    met = keep(rows.join(small(known), ["n", "key"], "left_semi"))
     seen = keep(met.groupBy("n", "key").agg(F.count("*").alias("seen")))
-    prefix = cut.join(_hint(seen)(seen), ["n", "key"]).groupBy("item", "win", "len", "n").agg(F.min_by(F.struct("key", "off"), F.struct("seen", "key", "off")).alias("p"), F.count("*").alias("occurring"))
+    prefix = cut.join(small(seen), ["n", "key"]).groupBy("item", "win", "len", "n").agg(F.min_by(F.struct("key", "off"), F.struct("seen", "key", "off")).alias("p"), F.count("*").alias("occurring"))
     # a shingle that occurs nowhere rules its window out
     prefix = keep(prefix.where(F.col("occurring") == F.col("len") - F.col("n") + 1).select("item", "win", "len", "n", "p.key", "p.off"))
-    placed = met.join(_hint(prefix, "win", "item")(prefix), ["n", "key"]).where("pos >= off").select("id", "h", "item", "win", "len", (F.col("pos") - F.col("off")).alias("start"))
+    placed = met.join(small(prefix, "win", "item"), ["n", "key"]).where("pos >= off").select("id", "h", "item", "win", "len", (F.col("pos") - F.col("off")).alias("start"))
     # the words there, fetched for these places only
     placed = keep(placed)
     some = placed.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct()
-    texts = words.join(_hint(some, "i2")(some), F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi").dropDuplicates(["id", "h"])
+    texts = words.join(small(some, "i2"), F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left_semi").dropDuplicates(["id", "h"])
     there = texts.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "raw")
     hit = placed.join(there, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).where(F.col("start") + F.col("len") <= F.size("raw"))
     hit = hit.where(F.translate(F.array_join(F.slice("raw", F.col("start") + 1, F.col("len")), " "), UPPER, LOWER) == F.col("win"))
@@ -132,6 +124,7 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: documents that hold a window of a benchmark item go. Repeated rows go or stay together; all columns stay as they are."""
     hits = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    hits = small(hits, "__id")
     return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"]) == hits["__h"]), "left_anti")
 
 

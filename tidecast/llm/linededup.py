@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Scratch, fresh, set_aside, table
+from tidecast.llm.common import Scratch, fresh, set_aside, small, table
 
 MIN_WORDS = 50
 DOC = ["id", "h"]
@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     rows = docs if text == "deleted_lines" else docs.drop("deleted_lines")
     key, at, gone = (fresh(rows, n) for n in ("id", "h", "gone"))
-    found = repeated_lines(docs, doc_id, text, min_words).toDF(key, at, gone)
+    found = small(repeated_lines(docs, doc_id, text, min_words).toDF(key, at, gone), key, gone)
     both = rows.join(found, rows[doc_id].eqNullSafe(found[key]) & (F.xxhash64(rows[text]) == found[at]), "left")
     parts = F.split(rows[text], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))

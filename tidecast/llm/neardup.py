@@ -23,14 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import Scratch, as_bytes, connected_components, map_arrow, table
+from tidecast.llm.common import Scratch, as_bytes, connected_components, map_arrow, small, table
 
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 CIRCLE = 1 << 22
 BLOCK = 128
-#: Candidate ids are broadcast up to this number (8 bytes each), joined by a shuffle beyond it.
-BROADCAST_IDS = 1_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -254,8 +252,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = members.drop("size").join(leader, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb"))
     pairs = keep(pairs.distinct())
     wanted = keep(members.select(F.col("rep").alias("id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    sets = _full_sets(docs, F.broadcast(wanted) if few else wanted, doc_id, text, width).join(folded.select("d1", "d2", "rep"), ["d1", "d2"], "left_semi")
+    sets = _full_sets(docs, small(wanted), doc_id, text, width).join(folded.select("d1", "d2", "rep"), ["d1", "d2"], "left_semi")
     sets = keep(sets.select("id", "set").dropDuplicates(["id"]))
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
@@ -324,7 +321,7 @@ def op6_neardup(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of every group of near-duplicates the document with the smallest id stays; five words, similarity 0.8. All columns stay as they are."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
