@@ -589,12 +589,12 @@ def test_a_chain_of_weak_links_keeps_all_of_them(spark):
     rnd = random.Random(12)
     rows, words = [], [f"c{k}" for k in range(120)]
     for k in range(160):  # each text differs a little from the one before it, and more from all others
-        for _ in range(2):
+        for _ in range(40 if k % 23 == 0 else 2):
             words[rnd.randrange(120)] = f"m{k}.{rnd.random()}"
         rows.append((k, " ".join(words)))
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=92).collect()}
     sets = {i: set(t.split()) for i, t in rows}
-    assert got == brute_components(sets, 92) and 1 < len(set(got.values())) < 150
+    assert got == brute_components(sets, 92) and 1 < len(set(got.values())) < 50
 
 
 def test_a_cluster_needs_a_shared_folder():
