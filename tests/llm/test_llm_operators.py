@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -515,6 +516,46 @@ def test_lm_scores(spark, corpus, empty):
     assert lmscore.score(empty, lmscore.train(empty)).count() == 0
 
 
+def test_every_tokens_probability_by_hand(corpus):
+    """The sum over tokens, worked out number by number from the parameters."""
+    import math
+
+    model = lmscore.train(corpus)
+    emb, w1, b1, w2, b2, w3, b3 = lmscore._unpack(model.flat)
+    names = list(model.frequent)
+    size = w3.shape[2]
+
+    def name(token):
+        return lmscore.RARE + model.frequent[token] if token in model.frequent else lmscore.shape(token) * lmscore.HASHED + zlib.crc32(token) % lmscore.HASHED
+
+    def log_softmax(z, k):
+        top = max(z)
+        return z[k] - top - math.log(sum(math.exp(v - top) for v in z))
+
+    some = [t for _, t in texts(corpus) if t and len(t) < 900][:4] + ["zzz Q7 !", ""]
+    lengths, totals = model.score([t.encode() for t in some])
+    for text, n, total in zip(some, lengths, totals):
+        words = lmscore.tokens(text.encode())
+        want = 0.0
+        for at, token in enumerate(words):
+            x = []
+            for d in lmscore.SIDES:
+                beside = name(words[at + d]) if 0 <= at + d < len(words) else len(emb) - 1
+                x += emb[beside].tolist()
+            h = [math.tanh(sum(a * float(b) for a, b in zip(x, w1[:, j])) + float(b1[j])) for j in range(lmscore.HIDDEN)]
+            head = [sum(a * float(b) for a, b in zip(h, w2[:, j])) + float(b2[j]) for j in range(len(b2))]
+            if token in model.frequent:
+                group, place = divmod(model.frequent[token], size)
+                tail = [sum(a * float(b) for a, b in zip(h, w3[group][:, j])) + float(b3[group][j]) for j in range(size)]
+                want += log_softmax(head, lmscore.SHAPES + group) + log_softmax(tail, place)
+            else:
+                want += log_softmax(head, lmscore.shape(token))
+                spelled = b" " + token + b" "
+                want += sum(float(model.spelling[a, b]) for a, b in zip(spelled, spelled[1:]))
+        assert n == len(words) and math.isclose(total, want, rel_tol=1e-4, abs_tol=1e-6)
+    assert names
+
+
 def test_lm_training_helps(corpus):
     rows = [(t or "").encode() for _, t in texts(corpus)]
     freq = np.ones(lmscore.CLASSES)
@@ -546,6 +587,46 @@ def test_pipeline(spark, corpus, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_pipeline_equals_brute_force(spark, corpus, tmp_path):
+    from tokenizers import Tokenizer
+
+    items = [t for _, t in texts(corpus.where("doc_id in (10, 33)"))] + ["x x", None]
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_tokens, r.ids_sha256, list(r.token_ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # the network decides alone what is a language; all else is worked out anew
+    rows = texts(corpus_pipeline.STAGES[0][1](spark, corpus, str(tmp_path)))
+    assert {i for i, _ in texts(corpus)} - {i for i, _ in rows} <= {300, 301, 302, 303, 304}
+    gone, cut = brute_lines(rows, linededup.MIN_WORDS), []
+    for i, t in rows:
+        lines = gone.get(-1 if i is None else i, set())
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lines)
+        if not lines or left.strip(" "):
+            cut.append((i, left))
+    sets = {}
+    for i, t in cut:
+        w = t.encode().lower().split()
+        n = min(5, len(w))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    known = brute_components({i: x for i, x in sets.items() if i is not None}, 80)
+    cut = [(i, t) for i, t in cut if i is None or known[i] == i]
+    windows = set()
+    for item in items:
+        q = plain_words(item)
+        n = min(10, len(q))
+        windows |= {tuple(q[k : k + n]) for k in range(len(q) - n + 1)} if n else set()
+    sizes = {len(w) for w in windows}
+    clean = [(i, t) for i, t in cut if not any(tuple(w[k : k + n]) in windows for w in [plain_words(t)] for n in sizes for k in range(len(w) - n + 1))]
+    assert 0 < len(clean) < len(cut) < len(rows)
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.no_padding(), t.no_truncation()
+    want = []
+    for i, text in clean:
+        ids = t.encode(text, add_special_tokens=False).ids
+        want.append((i is not None, i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), ids))
+    assert got == sorted(want)
+
+
 def test_stages_leave_columns_of_any_name_alone(spark, corpus, tmp_path):
     spark.createDataFrame([(1, [t for _, t in texts(corpus.where("doc_id = 10"))][0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     own = {c: F.lit(f"own {c}") for c in ("id", "h", "gone", "deleted_lines", "n", "component_id", "kept", "key", "items", "score", "lang_pred", "n_tokens", "__id", "__h")}
