@@ -14,7 +14,7 @@ def test_forecast_calibrate_verify(spark, tmp_path):
     f = f"{tmp_path}/forecast"
     run("calibrate-sigma", "--forecast", f, "--series", series, "--origins", "1990", "1995")
     assert {"q05", "q50", "q95", "alpha"} <= set(read("calibrate-sigma").columns)
-    for command in ("verify", "calibration", "crps", "evaluate", "significance", "alpha", "bias"):
+    for command in ("verify", "calibration", "reliability", "crps", "evaluate", "significance", "alpha", "bias"):
         run(command, "--forecast", f, "--series", series, "--origin", "1995", "--indicators", "alpha")
         assert {r.indicator for r in read(command).select("indicator").collect()} - {"ALL"} <= {"alpha", "beta"}
     run("calibrate-mean", "--forecast", f, "--series", series, "--origins", "1995")

@@ -55,6 +55,7 @@ def _parser() -> argparse.ArgumentParser:
     add("rescale", "forecast", "indicator", "alpha", indicator={"default": None}, alpha={"type": float})
     for name in ("verify", "calibration", "crps", "evaluate", "significance"):
         add(name, "forecast", "series", "origin", "indicators", origin={"type": int}, indicators=many)
+    add("reliability", "forecast", "series", "origin", "bins", "indicators", origin={"type": int}, bins={"type": int, "default": 10}, indicators=many)
     add("ensemble", "list")
     add("overlap", "forecast")
     add("proxy", "forecast", "proxy", "origin", origin={"type": int})
@@ -136,6 +137,8 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             return score.coverage_summary(covered)
         case "calibration":
             return score.coverage_rollup(points).join(score.ks_uniform(score.pit(points)).select("indicator", "ks"), "indicator", "left")
+        case "reliability":
+            return score.reliability(score.pit(points), a.bins)
         case "crps":
             return score.crps(points).select("indicator", "origin", "horizon", "y", "mu", "sigma", "crps")
         case "evaluate":

@@ -75,10 +75,10 @@ def difference_stats(obs: DataFrame) -> DataFrame:
 
 
 def zscore(obs: DataFrame, origin: int) -> DataFrame:
-    """Values standardised by mean and sample deviation of the training window."""
-    w = Window.partitionBy(KEY)
+    """Values standardised by mean and sample deviation of the training window; rows are not gathered by indicator."""
     inside = F.when(F.col("t") <= origin, F.col("value"))
-    return obs.withColumn("z", F.try_divide(F.col("value") - F.avg(inside).over(w), F.stddev_samp(inside).over(w)))
+    known = obs.groupBy(KEY).agg(F.avg(inside).alias("_m"), F.stddev_samp(inside).alias("_s"))
+    return obs.join(known, KEY).withColumn("z", F.try_divide(F.col("value") - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def winsorize(obs: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecast import sources
-from tidecast.functions import Z75, Z95, Z975, between_sql, crps_sql, num, phi_sql
+from tidecast.functions import Z75, Z90, Z95, Z975, between_sql, boolean_text, crps_sql, horizon_key, num, phi_sql
 from tidecast.operators import calibrate, combine, forecast, govern, score, series, stats
 from tidecast.operators import survey as sv
 from tidecast.plans import testbed as tb
@@ -616,6 +616,34 @@ def reliability_curve(spark, d):
     return score.reliability_curve(points(spark, d), _catalogue(spark))
 
 
+@query(f"{BASE}, {_COVP}, c3 AS (SELECT * FROM cp UNION ALL SELECT indicator, t, horizon, 8e-1, CAST({between_sql('y', f'q50 - {num(Z90)} * {SU}', f'q50 + {num(Z90)} * {SU}')} AS BIGINT) FROM pts) SELECT indicator, R(level) AS level, CAST(sum(covered) AS BIGINT) AS covered, count(*) AS total, R(sum(covered) / CAST(count(*) AS DOUBLE)) AS coverage_rate FROM c3 GROUP BY ALL", 6)
+def coverage_inner80(spark, d):
+    return score.coverage_summary(score.coverage_points(points(spark, d), inner80=True))
+
+
+_GATE = f"""{BASE}, {_EVP}, f2 AS (SELECT indicator, CAST(h AS BIGINT) AS horizon, last + h * drift AS mu, sqrt(h * sd_state * sd_state * 1.8e0 + sd_obs * sd_obs) AS s FROM mom, range(1, {H + 1}) r(h)),
+p2 AS (SELECT indicator, horizon, pts.y, mu - {num(Z95)} * s AS q05, mu AS q50, mu + {num(Z95)} * s AS q95 FROM f2 JOIN pts USING (indicator, horizon)),
+e2 AS (SELECT p2.*, CASE WHEN above THEN 1 - {phi_sql(f'((threshold - q50) / {SM})')} ELSE {phi_sql(f'((threshold - q50) / {SM})')} END AS p, CASE WHEN above = (y >= threshold) THEN 1e0 ELSE 0e0 END AS o FROM p2 JOIN ev USING (indicator)),
+m1 AS (SELECT indicator, avg((p - o) * (p - o)) FILTER (WHERE horizon IN (1, 3, 5, 10, 15)) AS brier, avg({crps_sql('y', 'q50', SM)}) AS crps, abs(avg({between_sql('y', 'q05', 'q95')}) - 9e-1) AS loss FROM ep GROUP BY indicator),
+m2 AS (SELECT indicator, avg((p - o) * (p - o)) FILTER (WHERE horizon IN (1, 3, 5, 10, 15)) AS brier, avg({crps_sql('y', 'q50', SM)}) AS crps, abs(avg({between_sql('y', 'q05', 'q95')}) - 9e-1) AS loss FROM e2 GROUP BY indicator),
+v AS (SELECT m1.indicator, CAST(m1.crps < m2.crps AS BIGINT) + CAST(m1.brier < m2.brier AS BIGINT) + CAST(m1.loss < m2.loss AS BIGINT) AS votes, m1.loss AS coverage_error, 1 - m1.crps / m2.crps AS skill FROM m1 JOIN m2 USING (indicator))"""
+
+
+@query(f"{_GATE} SELECT indicator, votes, R(coverage_error) AS coverage_error, R(skill) AS skill, votes >= 2 AND coverage_error <= 5e-2 AND skill >= 0 AS accepted FROM v", 6)
+def acceptance_gate(spark, d):
+    o = obs_orders(spark, d)
+
+    def measured(fcst, name):
+        p = calibrate.join_truth(fcst, o, ORIGIN)
+        events = score.event_catalogue(p, _catalogue(spark)).groupBy(KEY).agg((F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias(f"brier_{name}"))
+        cover = p.groupBy(KEY).agg(F.abs(F.avg(F.expr(between_sql("y", "q05", "q95"))) - 0.9).alias(f"loss_{name}"))
+        return score.crps(p).groupBy(KEY).agg(F.avg("crps").alias(f"crps_{name}")).join(events, KEY).join(cover, KEY)
+
+    both = measured(tb.fcst(spark, d), "model").join(measured(forecast.shock_moments(o, ORIGIN, H), "base"), KEY)
+    both = both.withColumn("coverage_error", F.col("loss_model")).withColumn("skill", 1 - F.col("crps_model") / F.col("crps_base"))
+    return govern.acceptance(both).select(KEY, "votes", "coverage_error", "skill", "accepted")
+
+
 @query(f"{BASE}, {_SUM} SELECT indicator, R(level) AS level, R(coverage_rate) AS coverage_rate, abs(coverage_rate - level) <= 1.00000000001e-1 AS within FROM cs", 6)
 def coverage_gate(spark, d):
     return score.coverage_gate(score.coverage_summary(score.coverage_points(points(spark, d)))).select(KEY, "level", "coverage_rate", "within")
@@ -671,6 +699,63 @@ def fdr(spark, d):
     return stats.benjamini_hochberg(stats.z_test(o.withColumn("half", F.lit(0.5)), p0="half"), by=("n",)).drop("half")
 
 
+# -- sources --------------------------------------------------------------
+
+_FC = f"WITH {OBS}, {mom()}, {fc()} SELECT indicator, horizon, R(q05) AS q05, R(q50) AS q50, R(q95) AS q95 FROM fc"
+
+
+@query(_FC)
+def nested_quantiles(spark, d):
+    """Quantiles nested by horizon and name, as a document has them, and flattened again."""
+    cell = F.create_map(F.lit("q5"), F.col("q05"), F.lit("median"), F.col("q50"), F.lit("q95"), F.col("q95"))
+    nested = tb.fcst(spark, d).groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("h"), F.col("horizon").cast("string")).alias("k"), cell.alias("v")))).alias("q"))
+    return sources.flatten_quantiles(nested)
+
+
+@query(_FC)
+def alias_columns(spark, d):
+    other = {KEY: "Series", "horizon": "Lead", "q05": "P05", "q50": "Median", "q95": "quantile_95"}
+    return sources.normalize_quantiles(tb.fcst(spark, d).withColumnsRenamed(other)).select(KEY, "horizon", "q05", "q50", "q95")
+
+
+@query(_FC)
+def csv_round_trip(spark, d):
+    """The forecast written to one CSV file and read again."""
+    import uuid
+
+    path = f"{sources.shared_folder(spark)}/forecast-{uuid.uuid4().hex}"
+    sources.write_csv(tb.fcst(spark, d), path)
+    return sources.normalize_quantiles(sources.read_csv(spark, path))
+
+
+@query(f"WITH {OBS} SELECT indicator, t, R(value) AS value FROM obs", 4)
+def series_directory(spark, d):
+    """Series written to a folder, a file for each, and read from all files at once."""
+    import uuid
+
+    folder = f"{sources.shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    year = lambda t: F.concat(F.lpad((t + 1000).cast("string"), 4, "0"), F.lit("-01-01"))
+    rows = obs_orders(spark, d).select(KEY, F.col("value"), year(F.col("t")).alias("date"))
+    for p in PRIORITIES:
+        sources.write_csv(rows.where(F.col(KEY) == p).drop(KEY), f"{folder}/{p[0]}")
+    got = sources.read_series_dir(spark, f"{folder}/*/*.csv")
+    files = sources.headed_lines(spark, f"{folder}/*/*.csv").select("path").distinct()
+    which = F.element_at(F.array(*[F.lit(p) for p in PRIORITIES]), F.regexp_extract("path", r"/(\d)/[^/]+$", 1).cast("int"))
+    names = files.select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("file"), which.alias("name"))
+    return got.join(F.broadcast(names), got[KEY] == names.file).select(F.col("name").alias(KEY), (F.col("t") - 1000).alias("t"), "value")  # a row for each file
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS flag, CAST(CASE WHEN o_orderkey % 5 <> 4 THEN o_orderkey % 40 END AS BIGINT) AS horizon FROM orders")
+def text_keys(spark, d):
+    """Mixed truth values and horizon keys, as tables of runs spell them."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    said = F.element_at(F.array(F.lit(" Yes"), F.lit("no"), F.lit("0"), F.lit("2.5 ")), (k % 4 + 1).cast("int"))
+    h = (k % 40).cast("string")
+    key = F.when(k % 5 == 0, h).when(k % 5 == 1, F.concat(F.lit("h"), h)).when(k % 5 == 2, F.concat(F.lit(" H"), h)).when(k % 5 == 3, F.concat(h, F.lit(" "))).otherwise(F.concat(F.lit("x"), h))
+    return o.select("o_orderkey", boolean_text(said).cast("long").alias("flag"), horizon_key(key).cast("long").alias("horizon"))
+
+
 # -- combination ----------------------------------------------------------
 
 
