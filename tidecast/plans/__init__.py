@@ -811,15 +811,54 @@ def subgroup_errors(spark, d):
     return govern.subgroup_errors(points(spark, d).withColumnRenamed(KEY, "subgroup"), "subgroup")
 
 
-_CONFIG = [("turnout", "unit"), ("turnout", "transform"), ("trust", "unit"), ("gini", "unit"), ("gini", "transform")]
+_CONFIG = """# indicators
+indicators:
+  - name: turnout
+    unit: percent
+    transform: z
+  - name: trust
+    unit: percent
+  - name: gini
+    unit: index
+    transform: "log # not a comment"
+"""
+_BASELINES = """persistence:
+  type: naive_last
+  description: "y_{t+h} = y_t for all h"
+walk:
+  type: rw_drift
+  params:
+    seasonal: none
+mix:
+  type: simple_average
+  inputs:
+    - persistence
+    - walk
+"""
 _V = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+_AUDIT = f"""WITH e(name, key) AS (VALUES {_V([('turnout', 'unit'), ('turnout', 'transform'), ('trust', 'unit'), ('gini', 'unit'), ('gini', 'transform')])}), k(key) AS (VALUES ('unit'), ('transform')), n(name) AS (VALUES ('trust'), ('turnout'), ('growth'))
+SELECT x.name, x.key, 'missing key' AS problem FROM (SELECT DISTINCT e.name, k.key FROM e, k) x ANTI JOIN e ON e.name = x.name AND e.key = x.key UNION ALL SELECT name, NULL, 'missing entry' FROM n WHERE name NOT IN (SELECT name FROM e)"""
 
 
-@query(f"""WITH e(name, key) AS (VALUES {_V(_CONFIG)}), k(key) AS (VALUES ('unit'), ('transform')), n(name) AS (VALUES ('trust'), ('turnout'), ('growth'))
-SELECT x.name, x.key, 'missing key' AS problem FROM (SELECT DISTINCT e.name, k.key FROM e, k) x ANTI JOIN e ON e.name = x.name AND e.key = x.key UNION ALL SELECT name, NULL, 'missing entry' FROM n WHERE name NOT IN (SELECT name FROM e)""")
-def config_audit(spark, d):
+def _audited(spark, entries, keys, names):
+    rows = [(x["name"], k) for x in entries for k in x if k != "name"]
     one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
-    return govern.config_audit(spark.createDataFrame(_CONFIG, "name string, key string"), one(["unit", "transform"], "key"), one(["trust", "turnout", "growth"], "name"))
+    return govern.config_audit(spark.createDataFrame(rows, "name string, key string"), one(keys, "key"), one(names, "name"))
+
+
+@query(_AUDIT)
+def config_audit(spark, d):
+    return _audited(spark, sources.read_config(_CONFIG, "indicators"), ["unit", "transform"], ["trust", "turnout", "growth"])
+
+
+@query(_AUDIT)
+def config_audit_by_patterns(spark, d):
+    return _audited(spark, sources.config_blocks(_CONFIG), ["unit", "transform"], ["trust", "turnout", "growth"])
+
+
+@query("SELECT * FROM (VALUES ('walk', 'description', 'missing key'), ('mix', 'description', 'missing key'), ('trend', NULL, 'missing entry')) v(name, key, problem)")
+def baselines_audit(spark, d):
+    return _audited(spark, sources.read_config(_BASELINES, "baselines"), ["type", "description"], ["persistence", "walk", "trend", "mix"])
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS file, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages")
