@@ -238,7 +238,7 @@ def bpe(docs: DataFrame, text: str = "text", vocabulary: str | None = None, with
 
     A null text counts as empty: no tokens and the digests of nothing. All
     other columns pass through; input columns named like an output are
-    replaced. Rows are independent of each other, so ties, repeated rows and
+    replaced. Texts of any length are taken whole. Rows are independent of each other, so ties, repeated rows and
     empty tables need no rule of their own. ``vocabulary`` is the path of the
     tokenizer file on every machine.
     """

@@ -370,7 +370,8 @@ def _round(rows: DataFrame, model: WindowModel, k: int) -> np.ndarray:
 def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
     """Add ``n_tokens``, ``log_likelihood`` and ``perplexity`` (a token) for every whole text.
 
-    A text that is null or has no tokens scores 0 and has no perplexity. Equal
+    Texts of any length are scored whole. A text that is null or has no tokens
+    scores 0 and has no perplexity. Equal
     texts score alike to within rounding. Input columns named like an output
     are replaced, all others pass through.
     """

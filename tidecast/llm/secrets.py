@@ -413,7 +413,7 @@ def _points(data: bytes, spans):
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add ``secrets``, an array of (kind, start, end, base) in code points, by start and then rule order.
 
-    A null or empty text has none. Rows are scanned whole and apart from each
+    A null or empty text has none. Rows of any length are scanned whole and apart from each
     other, so ties, repeated rows and empty tables need no rule of their own;
     an input column named ``secrets`` is replaced, all others pass through.
     """
