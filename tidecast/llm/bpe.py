@@ -267,12 +267,15 @@ def bpe(docs: DataFrame, text: str = "text", vocabulary: str | None = None, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for block in _blocks(batches):
-            pairs = codec.encode_batch([t or "" for batch in block for t in batch.column(keep.index(text)).to_pylist()])
-            at = 0
-            for batch in block:
-                yield coded(batch, pairs[at : at + batch.num_rows])
-                at += batch.num_rows
+        try:
+            for block in _blocks(batches):
+                pairs = codec.encode_batch([t or "" for batch in block for t in batch.column(keep.index(text)).to_pylist()])
+                at = 0
+                for batch in block:
+                    yield coded(batch, pairs[at : at + batch.num_rows])
+                    at += batch.num_rows
+        finally:
+            _LOADED.pop(path, None)  # the worker outlives the task
 
     return map_arrow(base, run, schema)
 

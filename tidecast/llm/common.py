@@ -106,7 +106,15 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` over small parts of the batches, so that a Python worker's memory is bounded, during the task and after it."""
+    """``df.mapInArrow`` over small parts of the batches, so that a Python worker's memory is bounded, during the task and after it.
+
+    Lowers the session's Arrow batch limits where they are larger: Spark holds
+    a batch outside its heap, and Python all of it, before it can be cut.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= PART_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PART_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", PART_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -98,6 +98,12 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(id, n, d1, d2, bands): set size, 128-bit digest of the set, and band keys, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from sketched(batches)
+        finally:
+            _TABLE.clear()  # the worker outlives the task
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             n = np.zeros(len(texts), np.int64)
