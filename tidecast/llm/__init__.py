@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines. Nothing else in the library imports this."""
 
-from tidecast.llm import bpe, decontaminate, embeddings, html, langid, linededup, lmscore, neardup, secrets, toxicity
+from tidecast.llm import bpe, decontaminate, embeddings, html, interaction, langid, linededup, lmscore, neardup, secrets, toxicity
 
 _QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -13,6 +13,7 @@ _QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_lmscore": lmscore.op10_lmscore,
+    "op11_filter_audit": interaction.op11_filter_audit,
 }
 
 _ORACLES: dict[str, str] = {
@@ -20,6 +21,7 @@ _ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op6_neardup": neardup.ORACLE,
     "op9_embeddings": embeddings.ORACLE,
+    "op11_filter_audit": interaction.ORACLE,
 }
 
 
