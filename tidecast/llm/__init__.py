@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines. Nothing else in the library imports this."""
 
-from tidecast.llm import adaptive_scan, bpe, decontaminate, embeddings, html, interaction, langid, linededup, lmscore, neardup, secrets, toxicity
+from tidecast.llm import adaptive_scan, bpe, decontaminate, embeddings, html, interaction, langid, lexical, linededup, lmscore, neardup, secrets, toxicity
 
 _QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -14,6 +14,7 @@ _QUERIES = {
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_lmscore": lmscore.op10_lmscore,
     "op11_filter_audit": interaction.op11_filter_audit,
+    "op12_lexical": lexical.op12_lexical,
     "op13_nearest": adaptive_scan.op13_nearest,
 }
 
@@ -23,6 +24,7 @@ _ORACLES: dict[str, str] = {
     "op6_neardup": neardup.ORACLE,
     "op9_embeddings": embeddings.ORACLE,
     "op11_filter_audit": interaction.ORACLE,
+    "op12_lexical": lexical.ORACLE,
     "op13_nearest": adaptive_scan.ORACLE,
 }
 
