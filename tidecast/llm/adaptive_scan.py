@@ -326,15 +326,20 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
                 probes[dim] = int(np.quantile(at, recall, method="inverted_cdf")) + 1
     queries = scratch.keep(map_arrow(asked, _probing(centres, probes), "id long, dim int, d1 long, d2 long, vec binary, probes array<int>"))
     queries = queries.withColumnsRenamed({"id": "qid", "d1": "q1", "d2": "q2"})
-    # the first list gives the score that candidates of the others must reach
-    first = _search(queries.withColumn("list", F.get("probes", F.lit(0))).withColumn("least", F.lit(float("-inf"))), candidates, k)
-    first = scratch.keep(ranked(first, k))
-    own = ["qid", "q1", "q2"]
-    reached = first.groupBy(*own).agg(F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf")).alias("least"))
-    rest = queries.where(F.size("probes") > 1).join(reached, own, "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    rest = rest.select("*", F.posexplode("probes").alias("at", "list")).where("at > 0")
-    found = first.drop("rank").union(_search(rest, candidates, k))
-    return scratch.result(ranked(found, k).select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"))
+    # twice as many lists a round: what was found gives the score that candidates of the next lists must reach
+    own, most, lo, hi = ["qid", "q1", "q2"], max(probes.values(), default=1), 0, 1
+    found = None
+    while lo < most:
+        asking = queries.where(F.size("probes") > lo)
+        if found is None:
+            asking = asking.withColumn("least", F.lit(float("-inf")))
+        else:
+            reached = found.groupBy(*own).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+            asking = asking.join(reached, own, "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        got = _search(asking.withColumn("list", F.explode(F.slice("probes", lo + 1, hi - lo))), candidates, k)
+        found = scratch.keep(ranked(got if found is None else found.drop("rank").union(got), k))
+        lo, hi = hi, 2 * hi
+    return scratch.result(found.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"))
 
 
 def op13_nearest(spark, sf_dir: str) -> DataFrame:
