@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import Z95, num
+from tidecast.operators import scan
 from tidecast.operators.series import KEY
 
 
@@ -105,10 +106,9 @@ def penalty_grid(obs: DataFrame, origins, h: int, penalties=(0.05, 0.1, 0.2)) ->
 
 
 def smoothing(obs: DataFrame, origin: int, h: int, gain: float = 0.3) -> DataFrame:
-    """Simple exponential smoothing with a fixed gain."""
-    series = train(obs, origin).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("y"))
-    level = F.aggregate(F.slice("y", F.lit(2), F.size("y")), F.get("y", F.lit(0)), lambda a, y: a + gain * (y - a))
-    return _horizons(series.select(KEY, level.alias("q50")), h)
+    """Simple exponential smoothing with a fixed gain; a series is worked on by chunks of its steps."""
+    level = scan.smoothed_level(train(obs, origin), gain)
+    return _horizons(level.select(KEY, F.col("level").alias("q50")), h)
 
 
 def local_level(obs: DataFrame, origin: int, h: int, noise: int = 1, points: int = 61, least: int = 5) -> DataFrame:
@@ -118,22 +118,21 @@ def local_level(obs: DataFrame, origin: int, h: int, noise: int = 1, points: int
     the observation variance enters the predictive variance (once by default).
     Indicators with fewer than ``least`` observed steps are left out.
     """
-    series = train(obs, origin, least).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("y"))
+    each = scan.chunks(train(obs, origin, least))
 
-    def fitted(df: DataFrame) -> DataFrame:
+    def fitted(grid: DataFrame) -> DataFrame:
         """Filter every (series, q); keep the likeliest, the smallest q among equals."""
-        start = "named_struct('a', get(y, 0), 'p', 1e0 + q, 's', 0e0, 'l', 0e0)"
-        step = "named_struct('a', f.a + f.p / (f.p + 1e0) * (v - f.a), 'p', f.p * (1e0 - f.p / (f.p + 1e0)) + q, 's', f.s + (v - f.a) * (v - f.a) / (f.p + 1e0), 'l', f.l + ln(f.p + 1e0))"
-        run = df.withColumn("k", F.expr(f"aggregate(slice(y, 2, size(y)), {start}, (f, v) -> {step})")).withColumn("m", F.size("y") - 1)
-        run = run.withColumn("s2", F.greatest(F.col("k.s") / F.col("m"), F.lit(1e-300)))
-        run = run.withColumn("fit", -(F.col("m") * F.log("s2") + F.col("k.l")))
-        best = run.groupBy(KEY).agg(F.max_by(F.struct("y", "q", "s2", F.col("k.a").alias("a"), F.col("k.p").alias("p")), F.struct("fit", -F.col("q"))).alias("b"))
+        run = scan.level_filter(grid, [KEY, "q"]).withColumn("m", F.col("n") - 1)
+        run = run.withColumn("s2", F.greatest(F.col("s") / F.col("m"), F.lit(1e-300)))
+        run = run.withColumn("fit", -(F.col("m") * F.log("s2") + F.col("l")))
+        best = run.groupBy(KEY).agg(F.max_by(F.struct("q", "s2", F.col("mean").alias("a"), F.col("variance").alias("p")), F.struct("fit", -F.col("q"))).alias("b"))
         return best.select(KEY, "b.*")
 
     at = lambda lo, width: F.expr(f"transform(sequence(0, {points - 1}), i -> pow(1e1, {lo} + i * {num(width / (points - 1))}))")
-    coarse = fitted(series.withColumn("q", F.explode(at("-6e0", 12.0))))
+    coarse = fitted(each.withColumn("q", F.explode(at("-6e0", 12.0))))
     width = 24.0 / (points - 1)
-    fine = fitted(coarse.select(KEY, "y", F.log10("q").alias("c")).withColumn("q", F.explode(at(f"c - {num(width / 2)}", width))))
+    near = each.join(coarse.select(KEY, F.log10("q").alias("c")), KEY)
+    fine = fitted(near.withColumn("q", F.explode(at(f"c - {num(width / 2)}", width))))
     f = _horizons(fine, h)
     return quantiles(f, F.col("a"), F.sqrt(F.col("s2") * (F.col("p") + (F.col("horizon") - 1) * F.col("q") + noise)))
 
@@ -207,19 +206,13 @@ def local_trend(obs: DataFrame, origin: int, h: int, level_var: float = 0.1, tre
     """Level and trend by a Kalman filter over standardised values without observation noise; bands widen with the root of the horizon.
 
     The filter starts from the first two values; indicators need three. The
-    level is the last value, so the filter carries the trend and its variance.
+    level is the last value, so the filter carries the trend and its variance,
+    and its gains are the same for values that are not standardised.
     """
     rows = train(obs, origin)
-    every = Window.partitionBy(KEY)
-    rows = rows.withColumn("mean", F.avg("value").over(every)).withColumn("sd", F.stddev_samp("value").over(every))
-    z = F.coalesce(F.try_divide(F.col("value") - F.col("mean"), F.col("sd")), F.lit(0.0))
-    series = rows.groupBy(KEY).agg(F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.transform(F.array_sort(F.collect_list(F.struct("t", z.alias("z")))), lambda s: s["z"]).alias("y"))
-    ql, qb = num(level_var), num(trend_var)
-    start = f"named_struct('l', get(y, 1), 'b', get(y, 1) - get(y, 0), 'p', {ql} + {qb})"
-    step = f"named_struct('l', v, 'b', f.b + f.p / (f.p + {ql}) * (v - f.l - f.b), 'p', f.p + {qb} - f.p * f.p / (f.p + {ql}))"
-    run = _horizons(series.withColumn("k", F.expr(f"aggregate(slice(y, 3, size(y)), {start}, (f, v) -> {step})")), h)
-    mu = F.col("mean") + F.col("sd") * (F.col("k.l") + F.col("horizon") * F.col("k.b"))
-    return quantiles(run, mu, F.col("sd") * F.sqrt("horizon"))
+    spread = rows.groupBy(KEY).agg(F.stddev_samp("value").alias("sd"))
+    run = _horizons(scan.trend_filter(rows, level_var, trend_var).join(spread, KEY), h)
+    return quantiles(run, F.col("last") + F.col("horizon") * F.col("trend"), F.col("sd") * F.sqrt("horizon"))
 
 
 def poisson_sql(u: str, rate: float) -> str:
