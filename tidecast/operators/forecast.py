@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import Z95, num
-from tidecast.operators import scan
+from tidecast.operators import ordered, scan
 from tidecast.operators.series import KEY
 
 
@@ -149,14 +149,19 @@ def uniform_sql(key: str, dialect: str = "spark") -> str:
     return f"(({fold(x, 15)}) + 5e-1) / 4294967296e0"
 
 
+def _each_path(params: DataFrame, n_paths: int, h: int) -> DataFrame:
+    """A row for each path and horizon. Paths are dealt out before their steps are drawn, so that one indicator's are drawn by many tasks."""
+    rows = params.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_paths - 1).cast("long"))))
+    return _horizons(rows.repartition(int(params.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY, "path"), h)
+
+
 def paths(params: DataFrame, n_paths: int, h: int, seed: int = 12345, rate: float = 0.0, scale: float = 2.0) -> DataFrame:
     """Monte-Carlo paths ``(indicator, path, horizon, y)`` by counter-based draws, so the partitioning changes nothing.
 
     ``params`` adds an integer ``no`` to the moments. Shocks: a Poisson number,
     by its inverse distribution function, sums to one normal draw.
     """
-    rows = params.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_paths - 1).cast("long"))))
-    rows = _horizons(rows, h)
+    rows = _each_path(params, n_paths, h)
     u = lambda s: uniform_sql(f"({seed} + no * 7368787 + path * 7919 + horizon * 104729 + {s} * 15485863)")
     normal = lambda s: f"sqrt(-2e0 * ln({u(s)})) * cos(2e0 * pi() * {u(s + 1)})"
     rows = rows.withColumn("eta", F.expr(f"drift + sd_state * {normal(1)}")).withColumn("eps", F.expr(f"sd_obs * {normal(3)}"))
@@ -194,7 +199,7 @@ def jump_paths(params: DataFrame, n_paths: int, h: int, seed: int = 12345, rate:
     """
     if df < 1:
         raise ValueError("df must be 1 or more")
-    rows = _horizons(params.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_paths - 1).cast("long")))), h)
+    rows = _each_path(params, n_paths, h)
     u = lambda s: uniform_sql(f"({seed} + no * 7368787 + path * 7919 + horizon * 104729 + {s} * 15485863)")
     noise = f"sqrt(-2e0 * ln({u(1)})) * cos(2e0 * pi() * {u(2)})"
     eta = F.expr(f"drift + step * ({noise} + CASE WHEN {poisson_sql(u(5), rate)} > 0 THEN {jump_sql(u, df)} ELSE 0e0 END)")
@@ -230,10 +235,20 @@ def poisson_sql(u: str, rate: float) -> str:
     return f"(CASE {' '.join(cases)} ELSE {k} END)"
 
 
-def path_quantiles(sim: DataFrame) -> DataFrame:
-    """Exact linear-interpolated 5, 50 and 95 per cent points by indicator and horizon."""
-    q = sim.groupBy(KEY, "horizon").agg(F.percentile("y", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return q.select(KEY, "horizon", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
+def _midpoints(sim: DataFrame, probs: dict[str, float], many: bool) -> DataFrame:
+    if many:
+        return ordered.quantiles(sim, [KEY, "horizon"], "y", probs)
+    q = sim.groupBy(KEY, "horizon").agg(F.percentile("y", F.array(*[F.lit(p) for p in probs.values()])).alias("q"))
+    return q.select(KEY, "horizon", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+
+
+def path_quantiles(sim: DataFrame, many: bool = False) -> DataFrame:
+    """Exact linear-interpolated 5, 50 and 95 per cent points by indicator and horizon.
+
+    A task holds the values of one horizon's paths, whose number is a parameter
+    of the simulation; with ``many`` they are counted in ordered cells instead.
+    """
+    return _midpoints(sim, {"q05": 0.05, "q50": 0.5, "q95": 0.95}, many)
 
 
 def scored_and_scenario(sim: DataFrame, scored: int = 15) -> DataFrame:
@@ -252,6 +267,11 @@ def ecc_reorder(sim: DataFrame, template: DataFrame) -> DataFrame:
     return values.join(places, [KEY, "horizon", "r"]).select(KEY, "path", "horizon", "y")
 
 
-def event_rates(sim: DataFrame, threshold: str = "threshold") -> DataFrame:
-    """Share of paths below each indicator's threshold, and whether the median is."""
-    return sim.groupBy(KEY, "horizon").agg(F.avg((F.col("y") < F.col(threshold)).cast("int")).alias("rate"), (F.percentile("y", F.lit(0.5)) < F.max(threshold)).alias("flag"))
+def event_rates(sim: DataFrame, threshold: str = "threshold", many: bool = False) -> DataFrame:
+    """Share of paths below each indicator's threshold, and whether the median is; ``many`` as in :func:`path_quantiles`."""
+    rate = F.avg((F.col("y") < F.col(threshold)).cast("int")).alias("rate")
+    if not many:
+        return sim.groupBy(KEY, "horizon").agg(rate, (F.percentile("y", F.lit(0.5)) < F.max(threshold)).alias("flag"))
+    rates = sim.groupBy(KEY, "horizon").agg(rate, F.max(threshold).alias("_top"))
+    both = rates.join(_midpoints(sim, {"_mid": 0.5}, True), [KEY, "horizon"], "left")
+    return both.select(KEY, "horizon", "rate", (F.col("_mid") < F.col("_top")).alias("flag"))

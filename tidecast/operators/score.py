@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import Z75, Z90, Z95, between_sql, crps_sql, num, phi_sql
+from tidecast.operators import ordered
 from tidecast.operators.series import KEY
-from tidecast.operators.stats import running_counts, same
 
 SIGMA = f"greatest((q95 - q05) / (2e0 * {num(Z95)}), 1e-6)"
 SIGMA_UPPER = f"greatest((q95 - q50) / {num(Z95)}, 1e-8)"
@@ -45,8 +45,8 @@ def coverage_rollup(points: DataFrame) -> DataFrame:
 def ks_uniform(pits: DataFrame) -> DataFrame:
     """Largest distance of the PIT's distribution function from the uniform one, by indicator."""
     known = pits.where("pit IS NOT NULL").select(KEY, "pit")
-    rows = same(running_counts(known, [KEY], "pit"), known.groupBy(KEY).agg(F.count("*").alias("n")), [KEY])
-    return rows.groupBy(KEY).agg(F.max("n").alias("n"), F.max(F.greatest(F.col("_k") / F.col("n") - F.col("pit"), F.col("pit") - (F.col("_k") - F.col("_c")) / F.col("n"))).alias("ks"))
+    rows = ordered.rank_counts(ordered.cells(known, [KEY], "pit", shares=True), [KEY], "pit")
+    return rows.groupBy(KEY).agg(F.max("_m").alias("n"), F.max(F.greatest(F.col("_k") / F.col("_m") - F.col("pit"), F.col("pit") - (F.col("_k") - F.col("_c")) / F.col("_m"))).alias("ks"))
 
 
 def reliability(pits: DataFrame, bins: int = 10) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.operators import ordered
+
 KEY = "indicator"
 
 
@@ -82,8 +84,9 @@ def zscore(obs: DataFrame, origin: int) -> DataFrame:
 
 
 def winsorize(obs: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    edges = obs.groupBy(KEY).agg(F.percentile("value", F.lit(low)).alias("lo"), F.percentile("value", F.lit(high)).alias("hi"))
-    return obs.join(edges, KEY).select(KEY, "t", F.least(F.greatest("value", "lo"), "hi").alias("value"))
+    """Values within two exact quantiles of their indicator, what lies outside them set to the nearer one."""
+    edges = ordered.quantiles(obs, [KEY], "value", {"lo": low, "hi": high})
+    return obs.join(edges, KEY, "left").select(KEY, "t", F.least(F.greatest("value", "lo"), "hi").alias("value"))
 
 
 def transform(c: Column, kind: str) -> Column:
@@ -104,7 +107,8 @@ def break_flags(obs: DataFrame, factor: float = 3.0) -> DataFrame:
     observations or fewer, or no scale, nothing is flagged.
     """
     d = with_difference(obs)
-    stats = d.groupBy(KEY).agg(F.percentile(F.abs("diff"), F.lit(0.5)).alias("med"), F.stddev_pop("diff").alias("sd"), F.count("value").alias("n"))
+    stats = d.groupBy(KEY).agg(F.stddev_pop("diff").alias("sd"), F.count("value").alias("n"))
+    stats = stats.join(ordered.quantiles(d.select(KEY, F.abs("diff").alias("move")), [KEY], "move", {"med": 0.5}), KEY, "left")
     scale = F.when(F.col("med") > 0, F.col("med")).otherwise(F.col("sd"))
     hit = (F.col("n") > 2) & (scale > 0) & (F.abs("diff") > factor * scale)
     return d.join(stats, KEY).select(KEY, "t", "diff", F.coalesce(hit, F.lit(False)).alias("is_break"))

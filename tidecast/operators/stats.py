@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.functions import Z975, num, phi_sql
+from tidecast.functions import Z975, phi_sql
+from tidecast.operators import ordered
 
 
 def wilson(df: DataFrame, x: str = "x", n: str = "n") -> DataFrame:
@@ -23,31 +24,6 @@ def z_test(df: DataFrame, x: str = "x", n: str = "n", p0: str = "level") -> Data
     return df.withColumn("p_value", F.expr(f"2e0 * (1e0 - {phi_sql(z)})"))
 
 
-#: Bins of values that are counted side by side.
-BINS = 4096
-
-
-def running_counts(known: DataFrame, names: list[str], value: str, top: float = 1.0) -> DataFrame:
-    """(names, value, _c, _k): how many rows of a family have each distinct value of 0..``top``, and how many have it or less.
-
-    Equal values are counted first, then bins of them side by side, so no
-    family is sorted in one task. Null is a family too.
-    """
-    values = known.groupBy(*names, value).agg(F.count("*").alias("_c")).withColumn("_b", F.floor(F.col(value) / top * BINS).cast("int"))
-    bins = values.groupBy(*names, "_b").agg(F.sum("_c").alias("_s"))  # BINS + 1 rows a family at most
-    before = bins.withColumn("_before", F.sum("_s").over(Window.partitionBy(*names).orderBy("_b")) - F.col("_s")).drop("_s")
-    within = values.withColumn("_k", F.sum("_c").over(Window.partitionBy(*names, "_b").orderBy(value)))
-    return same(within, before, [*names, "_b"]).withColumn("_k", F.col("_k") + F.col("_before")).drop("_b", "_before")
-
-
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    """Join on columns that may be null; on none, ``right`` is one row."""
-    if not names:
-        return left.crossJoin(F.broadcast(right))
-    right = right.withColumnsRenamed({n: f"{n}r" for n in names})
-    return left.join(right, [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names]).drop(*[f"{n}r" for n in names])
-
-
 def benjamini_hochberg(df: DataFrame, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Mark the hypotheses that step-up control rejects; null p-values are never rejected nor counted.
 
@@ -57,9 +33,8 @@ def benjamini_hochberg(df: DataFrame, alpha: float = 0.05, by: tuple[str, ...] =
     """
     names = [f"_{i}" for i in range(len(by))]
     known = df.where("p_value IS NOT NULL").select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("p_value").alias("_p"))
-    sizes = known.groupBy(*names).agg(F.count("*").alias("_m"))
-    met = same(running_counts(known.where(F.col("_p") <= alpha), names, "_p", alpha), sizes, names).where(F.col("_p") <= alpha * F.col("_k") / F.col("_m"))
-    cut = met.groupBy(*names).agg(F.max("_p").alias("_cut"))
+    ranks = ordered.rank_counts(ordered.cells(known, names, "_p", shares=True), names, "_p")
+    cut = ranks.where(F.col("_p") <= alpha * F.col("_k") / F.col("_m")).groupBy(*names).agg(F.max("_p").alias("_cut"))
     if not by:
         return df.crossJoin(F.broadcast(cut)).withColumn("bh_reject", F.coalesce(F.col("p_value") <= F.col("_cut"), F.lit(False))).drop("_cut")  # one row
     both = df.join(cut, [F.col(c).eqNullSafe(cut[n]) for c, n in zip(by, names)], "left")
