@@ -877,3 +877,6 @@ def queries():
 
 def oracle_sql():
     return dict(_ORACLES)
+
+
+from tidecast.plans import joint as _joint  # noqa: E402,F401  registers its queries
