@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,66 @@ def digests(df: DataFrame, name: str, content: str) -> DataFrame:
     return df.select(F.col(name).cast("string").alias("file"), F.length(data).cast("long").alias("bytes"), F.sha2(data, 256).alias("sha256"))
 
 
+#: Bytes of a file that are held at a time.
+PIECE = 1 << 20
+
+
+def _opener(scheme: str):
+    """A function that opens a path of this scheme on any machine, in pieces; None where only Spark can read it."""
+    from pyarrow import fs
+
+    if scheme in ("", "file"):
+        return lambda path: fs.LocalFileSystem().open_input_stream(path.removeprefix("file://").removeprefix("file:"), buffer_size=0)
+
+    def stream(path: str):
+        store, inside = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        return store.open_input_stream(inside, buffer_size=0)
+
+    return stream if scheme in ("hdfs", "s3", "gs", "gcs", "abfs") else None
+
+
+def _digested(piece: int, stream):
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                digest, seen = hashlib.sha256(), 0
+                with stream(path) as f:
+                    while data := f.read(piece):
+                        digest.update(data)
+                        seen += len(data)
+                if seen != size:
+                    raise OSError(f"{path} changed: {seen} bytes for {size}")
+                out.append((path.rsplit("/", 1)[-1], seen, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["file", "bytes", "sha256"])
+
+    return run
+
+
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of every file under ``path``. Each file is hashed whole in one task; Spark refuses files over 2 GB."""
+    """(file, bytes, sha256) of every file under ``path``, of any size.
+
+    Spark lists the files and deals them out over tasks; a task reads a file in
+    pieces, since a digest has no parts, and holds one piece. Stores that only
+    Spark can read give a file as one value, which Spark refuses over 2 GB. A
+    file that changes while it is read is an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return digests(files.withColumn("name", F.element_at(F.split("path", "/"), -1)), "name", "content")
+    scheme = path.split(":", 1)[0] if ":" in path.split("/", 1)[0] else spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file").split(":", 1)[0]
+    stream = _opener(scheme)
+    if stream is None:
+        return digests(files.withColumn("name", F.element_at(F.split("path", "/"), -1)), "name", "content")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    listed = files.select(plain("path").alias("path"), "length")
+    # Spark's scans pass over empty files; its listing has them
+    every = spark.createDataFrame([(unquote(x),) for x in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    empty = every.join(listed, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
+    dealt = listed.union(empty).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(_digested(PIECE, stream), "file string, bytes long, sha256 string")
 
 
 def full_manifest(spark: SparkSession, path: str, tag: str, commands: list[str] | None = None) -> str:

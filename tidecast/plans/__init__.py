@@ -500,17 +500,19 @@ def crps(spark, d):
 
 
 _ORIGINS = (36, 48, 60)
+#: Of the batch: eight, as far as the tables reach.
+_BATCH_ORIGINS = (24, 30, 36, 42, 48, 54, 60, 66)
 
 
-def _rolled(select: str) -> str:
+def _rolled(select: str, origins=_ORIGINS) -> str:
     """``select`` over ``ro``: the drift forecast fitted apart at every origin, with the truth ``y``; one fit for each in SQL."""
-    parts = ", ".join(f"r{o} AS (WITH {mom(o)}, {fc()} SELECT fc.*, CAST({o} AS BIGINT) AS origin, {o} + horizon AS t, obs.value AS y FROM fc JOIN obs ON obs.indicator = fc.indicator AND obs.t = {o} + horizon WHERE obs.value IS NOT NULL)" for o in _ORIGINS)
-    return f"WITH RECURSIVE {OBS}, {parts}, ro AS ({' UNION ALL '.join(f'SELECT * FROM r{o}' for o in _ORIGINS)}){select}"
+    parts = ", ".join(f"r{o} AS (WITH {mom(o)}, {fc()} SELECT fc.*, CAST({o} AS BIGINT) AS origin, {o} + horizon AS t, obs.value AS y FROM fc JOIN obs ON obs.indicator = fc.indicator AND obs.t = {o} + horizon WHERE obs.value IS NOT NULL)" for o in origins)
+    return f"WITH RECURSIVE {OBS}, {parts}, ro AS ({' UNION ALL '.join(f'SELECT * FROM r{o}' for o in origins)}){select}"
 
 
-def rolled(spark, d):
+def rolled(spark, d, origins=_ORIGINS):
     o = obs_orders(spark, d)
-    return calibrate.join_rolling(forecast.rolling(o, _ORIGINS, forecast.drift_forecast, H), o)
+    return calibrate.join_rolling(forecast.rolling(o, origins, forecast.drift_forecast, H), o)
 
 
 @query(_rolled(f" SELECT indicator, origin, count(*) AS n, R(avg({crps_sql('y', 'q50', SM)})) AS crps FROM ro GROUP BY ALL"), 2)
@@ -528,10 +530,10 @@ u AS (SELECT indicator, origin, 5e-1 AS level, {between_sql('y', f'q50 - {num(Z7
 SELECT indicator, origin, R(level) AS level, CAST(sum(c) AS BIGINT) AS covered, count(*) AS total, R(sum(c) / CAST(count(*) AS DOUBLE)) AS coverage_rate FROM u GROUP BY ALL"""
 
 
-@query(_rolled(_BATCH.format(crit=_CRIT, cov1=_COV("1e0"), covm=_COV("(lo + hi) / 2e0"))), 6)
+@query(_rolled(_BATCH.format(crit=_CRIT, cov1=_COV("1e0"), covm=_COV("(lo + hi) / 2e0")), _BATCH_ORIGINS), 6)
 def batch_origins(spark, d):
     """Forecast, spread calibration and verification at every origin, in one plan."""
-    p = rolled(spark, d)
+    p = rolled(spark, d, _BATCH_ORIGINS)
     scaled = p.join(calibrate.by_origin(p, calibrate.spread_search).select(KEY, "origin", "alpha"), [KEY, "origin"])
     move = lambda c: (F.col("q50") + F.col("alpha") * (F.col(c) - F.col("q50"))).alias(c)
     scaled = scaled.select(KEY, "origin", "horizon", "t", "y", move("q05"), "q50", move("q95"))
@@ -811,54 +813,51 @@ def subgroup_errors(spark, d):
     return govern.subgroup_errors(points(spark, d).withColumnRenamed(KEY, "subgroup"), "subgroup")
 
 
-_CONFIG = """# indicators
-indicators:
-  - name: turnout
-    unit: percent
-    transform: z
-  - name: trust
-    unit: percent
-  - name: gini
-    unit: index
-    transform: "log # not a comment"
-"""
-_BASELINES = """persistence:
-  type: naive_last
-  description: "y_{t+h} = y_t for all h"
-walk:
-  type: rw_drift
-  params:
-    seasonal: none
-mix:
-  type: simple_average
-  inputs:
-    - persistence
-    - walk
-"""
-_V = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
-_AUDIT = f"""WITH e(name, key) AS (VALUES {_V([('turnout', 'unit'), ('turnout', 'transform'), ('trust', 'unit'), ('gini', 'unit'), ('gini', 'transform')])}), k(key) AS (VALUES ('unit'), ('transform')), n(name) AS (VALUES ('trust'), ('turnout'), ('growth'))
+_NATIONS = "e AS (SELECT CAST(o_custkey AS VARCHAR) AS name, o_orderpriority AS key FROM orders GROUP BY ALL)"
+_AUDIT = f"""WITH {_NATIONS}, k AS (SELECT DISTINCT key FROM e), n AS (SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer)
 SELECT x.name, x.key, 'missing key' AS problem FROM (SELECT DISTINCT e.name, k.key FROM e, k) x ANTI JOIN e ON e.name = x.name AND e.key = x.key UNION ALL SELECT name, NULL, 'missing entry' FROM n WHERE name NOT IN (SELECT name FROM e)"""
 
 
-def _audited(spark, entries, keys, names):
+@query(_AUDIT)
+def config_audit(spark, d):
+    """Customers as entries whose keys are the priorities that they ordered with."""
+    o = table(spark, d, "orders")
+    entries = o.select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderpriority").alias("key")).distinct()
+    return govern.config_audit(entries, entries.select("key").distinct(), table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("name")))
+
+
+def _audited(entries, spark, keys, names):
     rows = [(x["name"], k) for x in entries for k in x if k != "name"]
-    one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
-    return govern.config_audit(spark.createDataFrame(rows, "name string, key string"), one(keys, "key"), one(names, "name"))
+    return govern.config_audit(spark.createDataFrame(rows, "name string, key string"), spark.createDataFrame([(k,) for k in keys], "key string"), names)
 
 
-@query(_AUDIT)
-def config_audit(spark, d):
-    return _audited(spark, sources.read_config(_CONFIG, "indicators"), ["unit", "transform"], ["trust", "turnout", "growth"])
+def _written(spark, d, line):
+    """A configuration with a block for each nation, as text; those with an odd key have no region."""
+    rows = table(spark, d, "nation").select("n_nationkey", line.alias("line")).orderBy("n_nationkey").collect()  # a row for each nation
+    return "\n".join(r.line for r in rows) + "\n"
 
 
-@query(_AUDIT)
+_REGIONLESS = """WITH n AS (SELECT n_name FROM nation WHERE n_nationkey < 20) SELECT n_name AS name, 'region' AS key, 'missing key' AS problem FROM n JOIN nation USING (n_name) WHERE n_nationkey % 2 = 1
+UNION ALL SELECT n_name, NULL, 'missing entry' FROM nation WHERE n_nationkey >= 20"""
+
+
+def _nations(spark, d):
+    return table(spark, d, "nation").select(F.col("n_name").alias("name"))
+
+
+@query(_REGIONLESS)
 def config_audit_by_patterns(spark, d):
-    return _audited(spark, sources.config_blocks(_CONFIG), ["unit", "transform"], ["trust", "turnout", "growth"])
+    region = F.when(F.expr("n_nationkey % 2 = 0"), F.format_string("\n    region: %d", "n_regionkey")).otherwise("")
+    block = F.when(F.col("n_nationkey") < 20, F.concat(F.format_string("  - name: '%s'  # nation\n    number: %d", "n_name", "n_nationkey"), region)).otherwise("")
+    return _audited(sources.config_blocks("nations:\n" + _written(spark, d, block)), spark, ["number", "region"], _nations(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('walk', 'description', 'missing key'), ('mix', 'description', 'missing key'), ('trend', NULL, 'missing entry')) v(name, key, problem)")
+@query(_REGIONLESS)
 def baselines_audit(spark, d):
-    return _audited(spark, sources.read_config(_BASELINES, "baselines"), ["type", "description"], ["persistence", "walk", "trend", "mix"])
+    """The same from mappings by name, by the reader of nested documents."""
+    region = F.when(F.expr("n_nationkey % 2 = 0"), F.format_string("\n  region: {number: %d, near: [a, b]}", "n_regionkey")).otherwise("")
+    block = F.when(F.col("n_nationkey") < 20, F.concat(F.format_string('"%s":\n  number: %d', "n_name", "n_nationkey"), region)).otherwise("")
+    return _audited(sources.read_config(_written(spark, d, block), "nations"), spark, ["number", "region"], _nations(spark, d))
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS file, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages")
@@ -866,7 +865,7 @@ def sha_manifest(spark, d):
     return govern.digests(table(spark, d, "pages"), "page_id", "html")
 
 
-@query()
+@query("SELECT parse_filename(filename) AS file, size AS bytes, sha256(content) AS sha256 FROM read_blob('/root/testdata/sf0.01/*')")
 def file_manifest(spark, d):
     return govern.manifest(spark, d)
 

@@ -85,8 +85,12 @@ def probe_csv(spark: SparkSession, path, separators=(",", ";", "\t", "|"), rows:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where a query may write tables that all machines read: the checkpoint folder, else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """Where a query may write tables that all machines read: the checkpoint folder; a session of one machine may do with the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not path and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return (path or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def newest(paths: list[str]) -> str | None:
