@@ -35,7 +35,8 @@ def rolling(obs: DataFrame, origins, model, h: int, **options) -> DataFrame:
     """
     table = origins if isinstance(origins, DataFrame) else obs.sparkSession.createDataFrame([(o,) for o in origins], "origin long")
     table = table.select(F.col("origin").cast("long")).where("origin IS NOT NULL").distinct()
-    each = obs.join(F.broadcast(table), F.col("t") <= F.col("origin"))  # origins are few
+    given = table if isinstance(origins, DataFrame) else F.broadcast(table)  # a list is as small as the driver's
+    each = obs.join(given, F.col("t") <= F.col("origin"))
     name = F.to_json(F.struct(F.col(KEY).alias("i"), F.col("origin").alias("o")))
     out = model(each.select(name.alias(KEY), (F.col("t") - F.col("origin")).alias("t"), "value"), 0, h, **options)
     was = F.from_json(KEY, "i string, o long")

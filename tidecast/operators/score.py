@@ -76,7 +76,7 @@ def event_catalogue(points: DataFrame, events: DataFrame, horizons=(1, 3, 5, 10,
     the value reaches the threshold and false for those that it stays below it.
     Every event is judged by its own indicator.
     """
-    rows = points.where(F.col("horizon").isin(*horizons)).join(F.broadcast(events), KEY)  # a catalogue is small
+    rows = points.where(F.col("horizon").isin(*horizons)).join(events, KEY)
     below = F.expr(phi_sql(f"((threshold - q50) / {SIGMA})"))
     rows = rows.withColumn("p", F.when(F.col("above"), 1 - below).otherwise(below)).withColumn("o", (F.col("above") == (F.col("y") >= F.col("threshold"))).cast("double"))
     return rows.groupBy("event", KEY, "horizon").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("o").alias("rate"), F.avg((F.col("p") - F.col("o")) ** 2).alias("brier"))
@@ -84,7 +84,7 @@ def event_catalogue(points: DataFrame, events: DataFrame, horizons=(1, 3, 5, 10,
 
 def reliability_curve(points: DataFrame, events: DataFrame, bins: int = 10, gate: float = 0.1) -> DataFrame:
     """(bin, n, p, rate, ok): mean probability and observed rate of events by bin of probability; ``ok`` if they differ by ``gate`` at most."""
-    rows = points.join(F.broadcast(events), KEY)
+    rows = points.join(events, KEY)
     below = F.expr(phi_sql(f"((threshold - q50) / {SIGMA})"))
     rows = rows.select(F.when(F.col("above"), 1 - below).otherwise(below).alias("p"), (F.col("above") == (F.col("y") >= F.col("threshold"))).cast("double").alias("o"))
     b = F.greatest(F.lit(0), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))).cast("long")

@@ -141,7 +141,7 @@ def with_metadata(obs: DataFrame, metadata: DataFrame) -> DataFrame:
     ``metadata``: indicator, ``breaks`` (an array of steps, null for none) and
     whatever else is known. Indicators without metadata keep their rows.
     """
-    both = obs.join(F.broadcast(metadata), KEY, "left")  # a row for each indicator
+    both = obs.join(metadata, KEY, "left")
     regime = F.size(F.filter(F.coalesce("breaks", F.array().cast("array<long>")), lambda b: b <= F.col("t")))
     return both.withColumn("regime", regime.cast("long")).drop("breaks")
 

@@ -628,11 +628,14 @@ p2 AS (SELECT indicator, horizon, pts.y, mu - {num(Z95)} * s AS q05, mu AS q50,
 e2 AS (SELECT p2.*, CASE WHEN above THEN 1 - {phi_sql(f'((threshold - q50) / {SM})')} ELSE {phi_sql(f'((threshold - q50) / {SM})')} END AS p, CASE WHEN above = (y >= threshold) THEN 1e0 ELSE 0e0 END AS o FROM p2 JOIN ev USING (indicator)),
 m1 AS (SELECT indicator, avg((p - o) * (p - o)) FILTER (WHERE horizon IN (1, 3, 5, 10, 15)) AS brier, avg({crps_sql('y', 'q50', SM)}) AS crps, abs(avg({between_sql('y', 'q05', 'q95')}) - 9e-1) AS loss FROM ep GROUP BY indicator),
 m2 AS (SELECT indicator, avg((p - o) * (p - o)) FILTER (WHERE horizon IN (1, 3, 5, 10, 15)) AS brier, avg({crps_sql('y', 'q50', SM)}) AS crps, abs(avg({between_sql('y', 'q05', 'q95')}) - 9e-1) AS loss FROM e2 GROUP BY indicator),
-v AS (SELECT m1.indicator, CAST(m1.crps < m2.crps AS BIGINT) + CAST(m1.brier < m2.brier AS BIGINT) + CAST(m1.loss < m2.loss AS BIGINT) AS votes, m1.loss AS coverage_error, 1 - m1.crps / m2.crps AS skill FROM m1 JOIN m2 USING (indicator))"""
+p3 AS (SELECT pts.indicator, pts.y, (pts.q05 + p2.q05) / 2 AS q05, (pts.q50 + p2.q50) / 2 AS q50, (pts.q95 + p2.q95) / 2 AS q95 FROM pts JOIN p2 USING (indicator, horizon)),
+m3 AS (SELECT indicator, avg({crps_sql('y', 'q50', SM)}) AS crps FROM p3 GROUP BY indicator),
+v AS (SELECT m1.indicator, CAST(m1.crps < m2.crps AS BIGINT) + CAST(m1.brier < m2.brier AS BIGINT) + CAST(m1.loss < m2.loss AS BIGINT) AS votes, m1.loss AS coverage_error, 1 - m1.crps / m3.crps AS skill FROM m1 JOIN m2 USING (indicator) JOIN m3 USING (indicator))"""
 
 
 @query(f"{_GATE} SELECT indicator, votes, R(coverage_error) AS coverage_error, R(skill) AS skill, votes >= 2 AND coverage_error <= 5e-2 AND skill >= 0 AS accepted FROM v", 6)
 def acceptance_gate(spark, d):
+    """Votes against the shock model, skill against the equal-weight mean of both."""
     o = obs_orders(spark, d)
 
     def measured(fcst, name):
@@ -641,8 +644,11 @@ def acceptance_gate(spark, d):
         cover = p.groupBy(KEY).agg(F.abs(F.avg(F.expr(between_sql("y", "q05", "q95"))) - 0.9).alias(f"loss_{name}"))
         return score.crps(p).groupBy(KEY).agg(F.avg("crps").alias(f"crps_{name}")).join(events, KEY).join(cover, KEY)
 
-    both = measured(tb.fcst(spark, d), "model").join(measured(forecast.shock_moments(o, ORIGIN, H), "base"), KEY)
-    both = both.withColumn("coverage_error", F.col("loss_model")).withColumn("skill", 1 - F.col("crps_model") / F.col("crps_base"))
+    model, base = tb.fcst(spark, d), forecast.shock_moments(o, ORIGIN, H)
+    mean = combine.ensemble_equal({"model": model, "base": base}, ("q05", "q50", "q95"))
+    equal = score.crps(calibrate.join_truth(mean, o, ORIGIN)).groupBy(KEY).agg(F.avg("crps").alias("crps_equal"))
+    both = measured(model, "model").join(measured(base, "base"), KEY).join(equal, KEY)
+    both = both.withColumn("coverage_error", F.col("loss_model")).withColumn("skill", 1 - F.col("crps_model") / F.col("crps_equal"))
     return govern.acceptance(both).select(KEY, "votes", "coverage_error", "skill", "accepted")
 
 
