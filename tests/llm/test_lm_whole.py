@@ -49,3 +49,57 @@ def test_every_document_trains(pairs):
         rows = part.select(F.col("text").cast("binary").alias("b"))
         model = lmscore.WindowModel({}, np.zeros((256, 256)), lmscore.initial(np.ones(lmscore.CLASSES)))
         assert part.count() and any(not np.array_equal(lmscore._round(rows, model, r), model.flat) for r in range(lmscore.ROUNDS)), k
+
+
+def test_partitioning_does_not_matter(pairs, monkeypatch):
+    """Several shards a round, copies among the texts, null and empty ones: one task or sixteen, the same parameters and scores."""
+    monkeypatch.setattr(lmscore, "SHARD_TOKENS", 4000)
+    docs = pairs.union(pairs.where("doc_id < 40")).union(pairs.where("doc_id < 20")).union(pairs.limit(2).select("doc_id", F.lit(None).cast("string").alias("text")))
+    one, many = lmscore.train(docs.repartition(1)), lmscore.train(docs.repartition(16))
+    assert np.allclose(one.flat, many.flat, rtol=1e-6, atol=1e-7)
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    assert np.allclose(one.score(texts)[1], many.score(texts)[1], rtol=1e-6)
+
+
+def test_a_round_by_hand(pairs, monkeypatch):
+    """Texts by shard and hash, copies as weights, the mean of the shards by tokens."""
+    monkeypatch.setattr(lmscore, "ROUNDS", 1)
+    docs = pairs.where("doc_id < 60").union(pairs.where("doc_id < 5")).select(F.col("text").cast("binary").alias("b"))
+    model = lmscore.WindowModel({w.encode(): i for i, w in enumerate(LEFT)}, np.zeros((256, 256)), lmscore.initial(np.ones(lmscore.SHAPES + 130)))
+    shards: dict[int, list] = {}
+    for r in docs.select("b", F.expr("pmod(xxhash64(b, 1), 3)").alias("shard"), F.xxhash64("b").alias("h")).collect():
+        shards.setdefault(r.shard, []).append((r.h, bytes(r.b)))
+    total, seen = 0, 0
+    for rows in shards.values():
+        texts = [b for _, b in sorted(set(rows))]
+        copies = [sum(b == other for _, other in rows) for b in texts]
+        classes, _, starts, lengths = model.laid_out(texts)
+        weight = np.concatenate([[c] * n for c, n in zip(copies, lengths)])
+        total = total + lmscore.fit_steps(model.flat, lmscore.neighbours(classes, starts, lengths), classes, weight=weight).astype(float) * weight.sum()
+        seen += weight.sum()
+    assert len(shards) == 3 and np.allclose(lmscore._round(docs, model, 0, 3), total / seen, atol=1e-6)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 32])
+def test_held_out_text_is_better_predicted_than_by_frequency(pairs, parts):
+    model = lmscore.train(pairs.where("doc_id % 5 <> 0").repartition(parts))
+    held = [r.text.encode() for r in pairs.where("doc_id % 5 = 0").collect()]
+    got = model.score(held)[1].sum()
+    counts = np.zeros(lmscore.SHAPES + len(model.frequent))
+    for r in pairs.where("doc_id % 5 <> 0").collect():
+        for t in lmscore.tokens(r.text.encode()):
+            counts[lmscore.SHAPES + model.frequent[t]] += 1
+    model.flat = lmscore.initial(counts)
+    w = lmscore._unpack(model.flat)
+    w[3][:], w[5][:] = 0, 0
+    assert got > model.score(held)[1].sum()
+
+
+def test_weights_are_copies():
+    """A token of weight two counts as the token twice."""
+    flat = lmscore.initial(np.ones(lmscore.CLASSES))
+    rng = np.random.default_rng(3)
+    near, target = rng.integers(0, lmscore.RARE, (50, 4)), rng.integers(0, lmscore.RARE, 50)
+    twice = np.repeat(np.arange(50), np.arange(50) % 2 + 1)
+    a = lmscore.fit_steps(flat, near, target, weight=np.arange(50) % 2 + 1)
+    assert np.allclose(a, lmscore.fit_steps(flat, near[twice], target[twice]), atol=1e-4)

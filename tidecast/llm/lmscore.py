@@ -6,9 +6,12 @@ tokens and shapes, and a softmax over the words of the group. Every token at or
 above a share of the corpus is a word of its own; other tokens belong to the
 class of their shape and are spelled out by the corpus's byte-pair counts. As
 neighbours they are told apart by a hash. Token and byte counts cover all documents. The network is
-trained in numpy by rounds, each on a part of the documents and together on all:
-every partition takes steps on its share of the part, and the parameters are
-averaged by the tokens seen.
+trained in numpy by rounds, each on a part of the documents and together on all.
+A round's documents are dealt to shards by a hash of their text; each shard takes
+steps from the same parameters on its texts in the order of their hashes, and the
+results are averaged by the tokens seen. Shards and order follow from the texts
+alone, so another partitioning gives the same scores. Equal texts are folded and
+weigh as often as they occur.
 A document's score is the sum of the conditional log-probabilities of all its
 tokens.
 """
@@ -20,11 +23,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,6 +46,10 @@ EMBED, HIDDEN = 16, 24
 SIDES = (-2, -1, 1, 2)
 #: Each round trains on its own part of the documents, by a hash of their text; together the rounds cover all.
 ROUNDS = 2
+#: Tokens of a shard, on the average. Shards of a round grow with the corpus; tasks hold as many of them as keeps their number below MOST_TASKS.
+SHARD_TOKENS, MOST_TASKS = 1 << 19, 20_000
+#: Tasks of which the parameters are summed first, before the sums are.
+SALTS = 64
 #: Distinct tokens that a task counts before it passes them on.
 HELD_TOKENS = 200_000
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]").findall
@@ -131,9 +139,13 @@ def neighbours(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return out
 
 
-def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int = 8192, rate: float = 0.02, seed: int = 5, chunk: int = 1024) -> np.ndarray:
-    """One pass of Adam over the given tokens, from ``flat``; gradients are summed over chunks that fit the processor's cache."""
+def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int = 8192, rate: float = 0.02, seed: int = 5, chunk: int = 1024, weight: np.ndarray | None = None) -> np.ndarray:
+    """One pass of Adam over the given tokens, from ``flat``; gradients are summed over chunks that fit the processor's cache.
+
+    A step follows the mean loss of its tokens, weighed by ``weight`` where it is given.
+    """
     flat = flat.copy()
+    weight = np.ones(len(target), np.float32) if weight is None else weight.astype(np.float32)
     p = _unpack(flat)
     m, v, g, spare = (np.zeros_like(flat) for _ in range(4))
     q = _unpack(g)
@@ -144,6 +156,8 @@ def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int
     for t, first in enumerate(range(0, len(order), batch), 1):
         rows = order[first : first + batch]
         n = len(rows)
+        share = weight[rows, None]
+        share /= share.sum()
         x = near[rows] % names
         head, place, runs = _aims(target[rows], p[6].shape[1])
         g[:] = 0
@@ -157,7 +171,7 @@ def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int
             own = h[at : at + chunk]
             z = own @ p[3]
             z += p[4]
-            z = _error(z, head[at : at + chunk], n)
+            z = _error(z, head[at : at + chunk], share[at : at + chunk])
             np.matmul(z, p[3].T, out=dh[at : at + chunk])
             q[3][:] += own.T @ z
             q[4][:] += z.sum(0)
@@ -165,7 +179,7 @@ def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int
             near_h = h[at]
             z = near_h @ p[5][k]
             z += p[6][k]
-            z = _error(z, place[at], n)
+            z = _error(z, place[at], share[at])
             dh[at] += z @ p[5][k].T
             q[5][k], q[6][k] = near_h.T @ z, z.sum(0)
         dh *= 1 - h * h
@@ -191,13 +205,13 @@ def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int
     return flat
 
 
-def _error(z: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The logits' gradient of the mean loss over ``n`` tokens, in their place."""
+def _error(z: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The logits' gradient of the loss, of which every token has its ``share``, in their place."""
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(y)), y] -= 1
-    z /= n
+    z *= share
     return z
 
 
@@ -333,37 +347,71 @@ def train(docs: DataFrame, text: str = "text") -> WindowModel:
     freq[SHAPES : SHAPES + len(top)] = [r["n"] for r in top]
     freq[:SHAPES] = (total - freq.sum()) / SHAPES
     model = WindowModel(frequent, spelling, initial(freq))
+    shards = -(-total // (ROUNDS * SHARD_TOKENS))
     for k in range(ROUNDS):
-        model = WindowModel(frequent, spelling, _round(rows, model, k))
+        model = WindowModel(frequent, spelling, _round(rows, model, k, max(1, shards)))
     return model
 
 
-def _round(rows: DataFrame, model: WindowModel, k: int) -> np.ndarray:
-    """Every partition trains from the same parameters on its own documents; the mean, weighed by tokens, comes back."""
+def _shard_groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """Shard, texts and copies of about ``size`` bytes at a time; the cuts depend on the sorted rows alone, not on the batches."""
+    shard, texts, copies, held = -1, [], [], 0
+    for batch in batches:
+        for own, data, n in zip(*[c.to_pylist() for c in batch.columns]):
+            if texts and (own != shard or held >= size):
+                yield shard, texts, copies
+                texts, copies, held = [], [], 0
+            shard, held = own, held + len(data)
+            texts.append(data)
+            copies.append(n)
+    if texts:
+        yield shard, texts, copies
+
+
+def _add_up(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sum the rows of each block as they come, so that a task holds the parameters once; ``last`` divides by the tokens."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for i, s, x, w in zip(*[c.to_pylist() for c in batch.columns]):
+            got = sums.setdefault(i, [s, 0.0, 0])
+            got[1], got[2] = got[1] + np.frombuffer(x), got[2] + w
+    for i, (s, x, w) in sums.items():
+        yield pa.RecordBatch.from_pydict({"i": [i], "s": [s], "x": [(x / w if last else x).tobytes()], "w": [w]}, pa.schema([("i", pa.int32()), ("s", pa.int32()), ("x", pa.binary()), ("w", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, seen = model.flat, 0
-        for batch in batches:
-            for group in _chunks(batch.column(0).to_pylist()):
-                classes, _, starts, lengths = model.laid_out(group)
-                if len(classes):
-                    flat = fit_steps(flat, neighbours(classes, starts, lengths), classes)
-                    seen += len(classes)
-        if seen:
-            blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary()), pa.array([seen] * len(blocks), pa.int64())], ["i", "x", "w"])
 
-    def mean(rows: pa.Table) -> pa.Table:
-        total, weight = 0.0, 0
-        for x, w in zip(rows["x"], rows["w"].to_pylist()):
-            total, weight = total + np.frombuffer(x.as_py(), np.float32).astype(float) * w, weight + w
-        return pa.table({"i": rows["i"][:1], "x": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+def _round(rows: DataFrame, model: WindowModel, k: int, shards: int = 1) -> np.ndarray:
+    """Every shard trains from the same parameters on its own texts; the mean, weighed by tokens, comes back."""
 
-    share = rows.where(F.pmod(F.xxhash64("b"), F.lit(ROUNDS)) == k)
-    means = map_arrow(share, run, "i int, x binary, w long").groupBy("i").applyInArrow(mean, "i int, x binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(model.flat)), 0
+        at, flat, own = -1, model.flat, 0
+        for shard, texts, copies in _shard_groups(batches):
+            if shard != at:
+                total += flat.astype(float) * own
+                at, flat, own = shard, model.flat, 0
+            classes, _, starts, lengths = model.laid_out(texts)
+            if len(classes):
+                flat = fit_steps(flat, neighbours(classes, starts, lengths), classes, weight=np.repeat(np.array(copies), lengths))
+                n = int((lengths * copies).sum())
+                own, seen = own + n, seen + n
+        total += flat.astype(float) * own
+        if seen:
+            salt = TaskContext.get().partitionId() % SALTS
+            blocks = [total[at : at + BLOCK].tobytes() for at in range(0, len(total), BLOCK)]
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(blocks, pa.binary()), pa.array([seen] * n, pa.int64())], ["i", "s", "x", "w"])
+
+    # copies of a text meet as counts, added up before the shuffle, so no shard holds the copies of a frequent one
+    share = rows.where(F.pmod(F.xxhash64("b"), F.lit(ROUNDS)) == k).groupBy("b").agg(F.count("*").alias("n"))
+    dealt = share.withColumn("shard", F.pmod(F.xxhash64("b", F.lit(1)), F.lit(shards)).cast("int"))
+    tasks = min(shards, MOST_TASKS)
+    dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", F.xxhash64("b"), "b").select("shard", "b", "n")
+    ddl = "i int, s int, x binary, w long"
+    sums = map_arrow(map_arrow(dealt, run, ddl).repartition("i", "s"), _add_up, ddl)
+    means = map_arrow(sums.repartition("i"), partial(_add_up, last=True), ddl)
     flat = model.flat.copy()
     for r in means.collect():  # the parameters in blocks
-        flat[r["i"] * BLOCK :][:BLOCK] = np.frombuffer(r["x"], np.float32)
+        flat[r["i"] * BLOCK :][:BLOCK] = np.frombuffer(r["x"])
     return flat
 
 
