@@ -46,8 +46,8 @@ EMBED, HIDDEN = 16, 24
 SIDES = (-2, -1, 1, 2)
 #: Each round trains on its own part of the documents, by a hash of their text; together the rounds cover all.
 ROUNDS = 2
-#: Tokens of a shard, on the average. Shards of a round grow with the corpus; tasks hold as many of them as keeps their number below MOST_TASKS.
-SHARD_TOKENS, MOST_TASKS = 1 << 19, 20_000
+#: Tokens of a shard, on the average. Shards of a round grow with the corpus; a task trains so many of them in turn and passes on their sum, and more where tasks would be over MOST_TASKS.
+SHARD_TOKENS, SHARDS_A_TASK, MOST_TASKS = 1 << 19, 4, 20_000
 #: Tasks of which the parameters are summed first, before the sums are.
 SALTS = 64
 #: Distinct tokens that a task counts before it passes them on.
@@ -404,7 +404,7 @@ def _round(rows: DataFrame, model: WindowModel, k: int, shards: int = 1) -> np.n
     # copies of a text meet as counts, added up before the shuffle, so no shard holds the copies of a frequent one
     share = rows.where(F.pmod(F.xxhash64("b"), F.lit(ROUNDS)) == k).groupBy("b").agg(F.count("*").alias("n"))
     dealt = share.withColumn("shard", F.pmod(F.xxhash64("b", F.lit(1)), F.lit(shards)).cast("int"))
-    tasks = min(shards, MOST_TASKS)
+    tasks = min(-(-shards // SHARDS_A_TASK), MOST_TASKS)
     dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", F.xxhash64("b"), "b").select("shard", "b", "n")
     ddl = "i int, s int, x binary, w long"
     sums = map_arrow(map_arrow(dealt, run, ddl).repartition("i", "s"), _add_up, ddl)
