@@ -884,4 +884,4 @@ def oracle_sql():
     return dict(_ORACLES)
 
 
-from tidecast.plans import joint as _joint  # noqa: E402,F401  registers its queries
+from tidecast.plans import joint as _joint, tuned as _tuned  # noqa: E402,F401  register their queries
