@@ -206,6 +206,19 @@ def test_language_stage_rejects_what_is_no_language(spark):
     assert sum(i >= 10**6 for i in got) <= 6 and sum(i < 10**6 for i in got) >= 0.995 * docs.count()
 
 
+def test_language_stage_keeps_short_texts(spark):
+    """Sentences of under 60 characters from every language's texts, and those of other languages, stay; letterless ones go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cut = docs.where("lang IS NOT NULL AND length(text) > 300").withColumn("text", F.substring("text", 1, 12 + F.pmod("doc_id", F.lit(47)).cast("int")))
+    cut = cut.withColumn("doc_id", F.col("doc_id") + 10**7)
+    plain = ["Hello world", "Guten Tag", "Bonjour le monde", "La casa es grande", "The shor.", "Onhaha sh.", "ok"]
+    own = spark.createDataFrame([(10**6 + i, t, None, "short", len(t)) for i, t in enumerate([*plain, "12 34", " ", ""])], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known_language(spark, docs.union(own).union(cut.select(*docs.columns)), "").collect()}
+    assert {i for i in kept if 10**6 <= i < 10**7} == {10**6 + i for i in range(len(plain))}
+    want = {r.doc_id for r in cut.collect() if langid.has_letter(r.text.encode())}
+    assert len(want) > 300 and {i for i in kept if i >= 10**7} == want
+
+
 def test_equal_scores_go_to_the_first_language(spark):
     model = langid.ByteCnn(["aa", "bb"], [np.zeros((w, 256, langid.FILTERS), "f4") for w in langid.WIDTHS], np.zeros(36, "f4"), np.zeros((36, 2), "f4"), np.zeros(2, "f4"))
     (r,) = langid.predict(spark.createDataFrame([(1, "word " * 50000)], "doc_id long, text string"), model).collect()
@@ -650,22 +663,46 @@ def test_operators_take_columns_of_any_name(spark, corpus):
     assert [r.n_links for r in embeddings.near_duplicate_vectors(rows).collect()] == [1, 1]
 
 
-def test_large_labels_are_compared_by_buckets(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "EXACT_BLOCKS", 1)
-    monkeypatch.setattr(embeddings, "BLOCK", 64)
-    monkeypatch.setattr(embeddings, "BUCKET", 16)
+def large_label(spark):
+    """A label with some hundred links, and which they are."""
     rng = np.random.default_rng(4)
     base = rng.normal(size=(400, 64))
     x = np.concatenate([base, base[:200] + rng.normal(size=(200, 64)) * 0.35, base[:60] + rng.normal(size=(60, 64)) * 0.1])
-    assert embeddings.cuts(len(x), 0.93)[1] > 1
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     links = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert links.sum() > 200
+    return spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), links
+
+
+def test_large_labels_are_compared_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "EXACT_BLOCKS", 1)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "BUCKET", 16)
+    rows, links = large_label(spark)
+    assert embeddings.cuts(len(links), 0.93)[1] > 1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(rows, exact=False).collect()}
     found = sum(n for n, _ in got.values())
-    assert found <= links.sum() and found >= 0.98 * links.sum() and links.sum() > 200
+    assert found <= links.sum() and found >= 0.98 * links.sum()
     assert all(n <= links[k].sum() for k, (n, _) in got.items())
 
 
+def test_large_labels_lose_no_link(spark, monkeypatch):
+    """Beyond the size from which buckets were possible, in wide blocks and few pairs at a time."""
+    monkeypatch.setattr(embeddings, "EXACT_BLOCKS", 1)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "WIDE", 64 * 150)
+    monkeypatch.setattr(embeddings, "AT_ONCE", 4096)
+    rows, links = large_label(spark)
+    root = np.arange(len(links))
+    for _ in range(len(links)):
+        least = np.minimum(root, np.where(links, root, len(links)).min(1))
+        if (least == root).all():
+            break
+        root = least
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicate_vectors(rows).collect()}
+    assert got == {k: (links[k].sum(), root[k], root[k] == k) for k in range(len(links))}
+
+
 def test_a_chain_of_weak_links_keeps_all_of_them(spark):
     rnd = random.Random(12)
     rows, words = [], [f"c{k}" for k in range(120)]

@@ -9,7 +9,8 @@ windows' log-probabilities, each weighed by the bytes that it adds.
 Where texts are to be rejected, the network has one class more, for what is no
 language: the training windows with their characters shuffled, and random
 letters, digits and signs. The probability from which a text counts as that is
-set on labelled texts that the training left out.
+set on labelled texts that the training left out. Short texts, which those
+hardly hold, have too few bytes to prove that, and get the likeliest language.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ WINDOWS_PER_TEXT = 4
 UNKNOWN = "und"
 #: Labelled texts left out of the training to set the bound of rejection, on average as a share of those in it.
 LEFT_OUT = 0.5
+#: Texts of fewer characters than this are too little evidence of no language and are never rejected.
+REJECT_FROM = 60
 _ASCII_LETTER = re.compile(rb"[A-Za-z]").search
 
 
@@ -225,7 +228,8 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
 
     A text that is null or has no letters, or any text where there is no model,
     gets ``und`` with score 0; a text of no language, where the model has such a
-    class, ``und`` with that class's probability. Among equal scores the language first in order
+    class and the text at least ``REJECT_FROM`` characters, ``und`` with that
+    class's probability. Among equal scores the language first in order
     wins. Rows are apart from each other; input columns named like an output
     are replaced, all others pass through.
     """
@@ -254,7 +258,8 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
                 known = len(model.langs) - (model.langs[-1] == UNKNOWN)
                 best = p[:, :known].argmax(1)
                 if known < len(model.langs):
-                    best[p[:, known] >= model.bound] = known
+                    none = np.flatnonzero(p[:, known] >= model.bound).tolist()
+                    best[[k for k in none if len(texts[owners[k][0]].decode("utf-8", "replace")) >= REJECT_FROM]] = known
                 for (i, _), k, row in zip(owners, best.tolist(), p):
                     langs[i], scores[i] = model.langs[k], float(row[k])
                 cut.clear(), new.clear(), owners.clear()
@@ -285,7 +290,10 @@ def op3_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents in a language; null and letterless texts go, and those that the network takes for none. All columns stay as they are."""
+    """Stage: documents in a language; null and letterless texts go, and those of ``REJECT_FROM`` characters or more that the network takes for none.
+
+    Texts of any length are judged whole, equal texts alike; all columns stay as they are. Without a labelled text no document is kept.
+    """
     model = train(docs, reject=True)
     if model is None:
         return docs.where(F.lit(False))
