@@ -8,12 +8,16 @@ of the cosine. The estimate's confidence bound and an outright bound decide
 which pairs are computed again exactly, in double precision: a pair is passed
 over only if both lie below the threshold, so no link is lost to the codes.
 
-Labels are cut into blocks and pairs of blocks are tasks of bounded size; each
-returns counts and a spanning forest of its links, never all pairs. A label of
-more than ``EXACT_BLOCKS`` blocks is not compared as a whole: runs of bits of
-further rotated codes, as long as its size asks for, cut it into buckets, many
-times over, and pairs that share a bucket are compared as before. The number of
-cuts follows from the chance that a pair at the threshold shares no bucket.
+Labels of any size are compared whole: they are cut into blocks and pairs of
+blocks are tasks of bounded size; each returns counts and a spanning forest of
+its links, never all pairs. Blocks of large labels are wider, so that a vector
+goes to fewer pairs of them.
+
+Only on request (``exact=False``) a label of more than ``EXACT_BLOCKS`` blocks
+is not compared as a whole: runs of bits of further rotated codes, as long as
+its size asks for, cut it into buckets, many times over, and pairs that share a
+bucket are compared as before. The number of cuts follows from the chance that
+a pair at the threshold shares no bucket.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import Scratch, connected_components, map_arrow, table
 
 BLOCK = 2048
-#: Labels of up to so many blocks are compared whole, block by block; larger ones by buckets of BUCKET vectors on average.
+#: Labels of more blocks than these have wider ones, of WIDE components; on request they are compared by buckets of BUCKET vectors on average.
 EXACT_BLOCKS, BUCKET = 16, 512
+#: Components in a wide block, and pairs that are estimated at a time.
+WIDE, AT_ONCE = 1 << 20, 1 << 21
 #: Chance that a pair at the threshold shares no bucket; closer pairs miss less often.
 MISS = 1e-3
 #: Standard errors to each side of an estimate.
@@ -77,9 +83,9 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["id", "label", "dim", "d1", "d2", "unit", "code", "factor"])
 
 
-def cuts(n: int, threshold: float) -> tuple[int, int]:
+def cuts(n: int, threshold: float, exact: bool = False) -> tuple[int, int]:
     """(bits, buckets a vector) for a label of ``n`` vectors; (0, 1) for one that is compared whole."""
-    if n <= EXACT_BLOCKS * BLOCK:
+    if exact or n <= EXACT_BLOCKS * BLOCK:
         return 0, 1
     bits = math.ceil(math.log2(n / BUCKET))
     same = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
@@ -95,7 +101,7 @@ def bucket_keys(unit: np.ndarray, bits: int, number: int) -> np.ndarray:
     return signs.reshape(len(unit), number, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _bucketed(threshold: float):
+def _bucketed(threshold: float, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, dim = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("total", "dim"))
@@ -103,7 +109,7 @@ def _bucketed(threshold: float):
             keys: list[list[int]] = [[]] * len(n)
             for t, d in set(zip(n.tolist(), dim.tolist())):
                 rows = np.flatnonzero((n == t) & (dim == d))
-                got = bucket_keys(np.frombuffer(b"".join([unit[i] for i in rows]), float).reshape(-1, d), *cuts(t, threshold))
+                got = bucket_keys(np.frombuffer(b"".join([unit[i] for i in rows]), float).reshape(-1, d), *cuts(t, threshold, exact))
                 for i, k in zip(rows.tolist(), got.tolist()):
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
@@ -145,8 +151,9 @@ def _links(threshold: float):
         lo = 0 if same else half
         count = np.zeros(n, np.int64)
         root = np.arange(n)
-        for at in range(0, half, 512):
-            to = min(at + 512, half)
+        step = min(512, max(32, AT_ONCE // n))
+        for at in range(0, half, step):
+            to = min(at + step, half)
             maybe = candidates(turned[at:to], codes[lo:], factors[lo:], threshold)
             if same:
                 maybe &= np.arange(lo, n)[None] > np.arange(at, to)[:, None]
@@ -171,7 +178,7 @@ def _links(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, exact: bool = True) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``.
 
     Vectors are linked when their labels are equal and not null, they have the
@@ -182,9 +189,11 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     smallest id reachable. Vectors of any length are taken whole; columns other
     than the three named are not read. An empty table gives an empty result.
 
-    Labels of up to ``EXACT_BLOCKS * BLOCK`` different vectors are compared
-    whole; in larger ones a pair at the threshold is missed with probability
-    ``MISS``, a closer one less often.
+    Every pair of a label is compared, by codes and where they leave it open
+    exactly, so the work grows with the square of its different vectors. With
+    ``exact=False``, in labels of more than ``EXACT_BLOCKS * BLOCK`` different
+    vectors a pair at the threshold is missed with probability ``MISS``, a
+    closer one less often.
     """
     scratch = Scratch(vectors.sparkSession)
     keep = scratch.keep
@@ -199,10 +208,11 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     # the same id may stand for several vectors: a node is an id with its vector
     kind = "label string, dim int, d1 long, id long, weight long, unit binary, code binary, factor double, total long, keys array<long>"
     bare = folded.join(totals, ["label", "dim"]).select("label", "dim", "d1", F.col("rep").alias("id"), "weight", "unit", "code", "factor", "total")
-    keyed = keep(map_arrow(bare, _bucketed(threshold), kind))
+    keyed = keep(map_arrow(bare, _bucketed(threshold, exact), kind))
     cell = ["label", "dim", "band", "key"]
     each = keyed.select("*", F.posexplode("keys").alias("band", "key"))
-    sizes = each.groupBy(*cell).agg(F.count("*").alias("members")).where("members > 1").select(*cell, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    width = F.when(F.col("members") > EXACT_BLOCKS * BLOCK, F.greatest(F.lit(BLOCK), F.floor(F.lit(WIDE) / F.col("dim")))).otherwise(F.lit(BLOCK))
+    sizes = each.groupBy(*cell).agg(F.count("*").alias("members")).where("members > 1").select(*cell, F.ceil(F.col("members") / width).cast("int").alias("blocks"))
     blocks = each.join(keep(sizes), cell).withColumn("block", F.pmod(F.xxhash64("id", "d1"), "blocks").cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         *cell, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "weight", "block", "unit", "code", "factor", F.when(F.col("band") > 0, F.slice("keys", F.lit(1), F.col("band") + 1)).alias("keys")
