@@ -291,6 +291,25 @@ def test_style_tree_equals_brute_force(spark):
             assert np.isclose(r.importance, 0.2 * r.presentation + 0.8 * r.content)
 
 
+@pytest.mark.parametrize("n", [4, 20, 200])
+def test_every_shingle_is_in_a_feature(n):
+    """One word changed, wherever it stands, changes a feature; what stays shares most of them."""
+    words = prose(random.Random(n), "en", n).split()
+    whole = set(html.features(" ".join(words)))
+    for i in range(len(words)):
+        assert set(html.features(" ".join([*words[:i], "changed", *words[i + 1 :]]))) != whole, i
+    assert len(whole & set(html.features(" ".join(["some", "more", *words])))) >= len(whole) - 1
+
+
+def test_no_feature_of_a_branch_is_left_out(spark):
+    """A list of 40 different links in a branch: all of them are counted, for it and what is above it."""
+    page = "<ul>" + "".join(f"<li>link {i}</li>" for i in range(40)) + "</ul>"
+    rows = [(k, f"http://h{k % 2}/", page + f"<p>page {k}</p>") for k in range(6)]
+    counts = html.branch_counts(spark.createDataFrame(rows, "page_id long, url string, html string")).where("kind = 1")
+    per_branch = sorted(r["count"] for r in counts.where("n = 3").groupBy("host", "branch").count().collect())
+    assert per_branch == [40] * 6
+
+
 @pytest.mark.parametrize("names", ["declared", "renamed", "bare"])
 def test_the_tree_decides_without_declared_roles(spark, names):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

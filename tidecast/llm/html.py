@@ -13,14 +13,14 @@ Three roles are settled by what is declared: a declared article is kept, whateve
 its copies on the host, and reader comments and forms, which differ from page to
 page as articles do, are removed.
 
-Only counts by (host, branch, feature) are shuffled, summed before and after,
-so a host with a third of all pages is spread over all tasks. Equal pages of a
-host count as one.
+All words of a branch count: every shingle of a short text is a feature, and of a
+long one every run of shingles, cut where the words say so. Only counts by (host, branches, feature) are
+shuffled, once and by feature, so a host with a third of all pages is spread over
+all tasks. Equal pages of a host count as one.
 """
 
 from __future__ import annotations
 
-import heapq
 import html as entities
 import re
 from collections import Counter, defaultdict
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,10 +44,12 @@ ALL_HOSTS, DECLARED = 20.0, 4.0
 ROLES = {"main": 0.9, "open": 0.75, "outside": 0.4, "noise": 0.2}
 #: A text counts for the element that holds it and for so many elements above; what lies higher is judged by what is below it.
 REACH = 2
-#: Features of a branch on a page: the shingles of so many words with the smallest hashes, so many of them.
-WORDS, FEATURES = 3, 8
+#: Features of a branch on a page: all its shingles of so many words; those of a text of more than LONG in runs that begin at words of RUN letters.
+WORDS, LONG, RUN = 3, 24, 7
 #: Counts that a task sums up before it passes them on.
 HELD_COUNTS = 100_000
+#: Pages of which a task counts the features.
+PART_PAGES = 4096
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template iframe svg".split())
@@ -107,11 +109,11 @@ class Node:
         if self.hard and parent is not None and _in_comments(parent):
             self.main = False
         if name == tag and tag in PLACED and parent is not None:
-            parent.places[tag] += 1
+            parent.places[tag] = parent.places.get(tag, 0) + 1
             name = f"{tag}:{parent.places[tag]}"
         self.path = xxhash.xxh3_64_intdigest(name, parent.path if parent else 0) >> 1
         self.kids: list[str] = []
-        self.places: Counter = Counter()
+        self.places: dict[str, int] = {}
         self.state = "comment" if comment or parent is not None and _in_comments(parent) else ""
 
 
@@ -205,7 +207,10 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
             continue
         closing = page[lt + 1 : lt + 2] == "/"
         m = _NAME.match(page, lt + 1 + closing)
-        to = ends.after(m.end()) if m else -1
+        if m and page.startswith(">", m.end()):
+            to = m.end() + 1
+        else:
+            to = ends.after(m.end()) if m else -1
         if to < 0:  # no tag: the sign itself
             say("<")
             at = lt + 1
@@ -311,97 +316,159 @@ def main_text(page: str, tree: dict[int, tuple[float, float, float]] | None = No
 
 
 def features(text: str) -> list[int]:
-    """A few hashes of the text's shingles, the same ones wherever a shingle stands: those with the smallest hashes.
+    """Hashes of all the text's shingles: one by one, or of a long text in runs, so that each shingle is in one of them.
 
-    Of a text of many words that has some of seven letters, only shingles that begin with one are hashed.
+    A run begins at a word of a certain length, wherever the words stand, so what two long texts share they share in runs too.
     """
     words = text.split()
     if len(words) <= WORDS:
         return [xxhash.xxh32_intdigest(text)]
-    last = len(words) - WORDS
-    starts = [i for i, w in enumerate(words) if len(w) == 7 and i <= last] if last > 40 else ()
-    starts = starts or range(last + 1)
-    return heapq.nsmallest(FEATURES, {xxhash.xxh32_intdigest(" ".join(words[i : i + WORDS])) for i in starts})
+    last = len(words) - WORDS + 1
+    if last <= LONG:
+        return [xxhash.xxh32_intdigest(" ".join(words[i : i + WORDS])) for i in range(last)]
+    starts = [0, *[i for i in range(1, last) if len(words[i]) == RUN], last]
+    return [xxhash.xxh32_intdigest(" ".join(words[i : j + WORDS - 1])) for i, j in zip(starts, starts[1:])]
 
 
-def page_counts(page: str) -> set[tuple[int, int, int]]:
-    """(branch, kind, feature) of a page: kind 0 the sequence of children, 1 what it says, 2 that it is there."""
+def page_features(page: str) -> Iterator[tuple[int, tuple[int, ...], list[int]]]:
+    """(kind, branches, features) of a page: each of the features is one of every branch. Kind 0 the sequence of children, 1 what it says, 2 that it is there.
+
+    Features of kinds 0 and 2 differ from branch to branch.
+    """
     blocks, nodes = parse(page)
-    said: dict[int, set[int]] = {}
+    where: dict[int, tuple[int, ...]] = {}
     spoken: set[int] = set()
     for text, node in blocks:
-        got = features(text)
+        chain = []
         for _ in range(REACH + 1):
             spoken.add(id(node))
-            said.setdefault(node.path, set()).update(got)
+            chain.append(node.path)
             node = node.parent
             if node is None:
                 break
-    seen = {(path, 1, f) for path, some in said.items() for f in (some if len(some) <= FEATURES else heapq.nsmallest(FEATURES, some))}
+        own = tuple(chain)
+        for f in features(text):
+            if where.setdefault(f, own) != own:
+                where[f] = tuple(sorted({*where[f], *own}))
+    said: dict[tuple[int, ...], list[int]] = {}
+    for f, branches in where.items():
+        said.setdefault(branches, []).append(f)
+    for branches, some in said.items():
+        yield 1, branches, some
+    laid: dict[int, set[int]] = {}
     for node in nodes:
         if id(node) in spoken:
-            seen.add((node.path, 2, 0))
-            seen.add((node.path, 0, xxhash.xxh32_intdigest(",".join(node.kids))))
-    return seen
+            laid.setdefault(node.path, set()).add(xxhash.xxh3_64_intdigest(",".join(node.kids), node.path) >> 1)
+    for path, some in laid.items():
+        yield 0, (path,), list(some)
+        yield 2, (path,), [path]
+
+
+def page_counts(page: str) -> set[tuple[int, int, int]]:
+    """(branch, kind, feature) of a page, one by one."""
+    return {(branch, kind, f) for kind, branches, some in page_features(page) for branch in branches for f in some}
 
 
 def _host(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def branch_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, branch, kind, feature, n): on how many different pages of the host a branch has a feature."""
+def branch_features(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, kind, branches, feature, n): pages of the host with a feature in just these branches, summed by task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: defaultdict = defaultdict(float)
+        counts: defaultdict = defaultdict(Counter)
 
         def summed() -> pa.RecordBatch:
-            keys = list(counts)
-            cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))]
-            out = pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), pa.float64())], ["host", "branch", "kind", "feature", "n"])
+            hosts, kinds, branches = zip(*counts) if counts else ((), (), ())
+            long = pa.list_(pa.int64())
+            cols = [pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(branches, long), pa.array([list(c) for c in counts.values()], long)]
+            cols.append(pa.array([[float(n) for n in c.values()] for c in counts.values()], pa.list_(pa.float64())))
             counts.clear()
-            return out
+            return pa.RecordBatch.from_arrays(cols, ["host", "kind", "branches", "feature", "n"])
 
+        held = 0
         for batch in batches:
             for host, page, share in zip(*[c.to_pylist() for c in batch.columns]):
-                for x in page_counts(page or ""):
-                    counts[host, *x] += share
-                if len(counts) > HELD_COUNTS:
+                for kind, branches, some in page_features(page or ""):
+                    own = counts[host, kind, branches]
+                    held -= len(own)
+                    if share == 1:
+                        own.update(some)
+                    else:
+                        for f in some:
+                            own[f] += share
+                    held += len(own)
+                if held > HELD_COUNTS:
                     yield summed()
+                    held = 0
         yield summed()
 
     rows = pages.select(_host(url).alias("host"), F.col(html).alias("html"))
     key = F.xxhash64("html", F.length("html"))
     copies = rows.groupBy("host", key.alias("key")).agg(F.count("*").alias("copies")).where("copies > 1").toDF("h", "key", "copies")
     shared = rows.join(small(copies, "h"), (rows.host == F.col("h")) & (key == F.col("key")), "left")
-    got = map_arrow(shared.select("host", "html", (1.0 / F.coalesce("copies", F.lit(1))).alias("share")), run, "host string, branch long, kind int, feature long, n double")
+    got = map_arrow(shared.select("host", "html", (1.0 / F.coalesce("copies", F.lit(1))).alias("share")), run, "host string, kind int, branches array<long>, feature array<long>, n array<double>")
+    return got.select("host", "kind", "branches", F.inline(F.arrays_zip("feature", "n")))
+
+
+def branch_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, branch, kind, feature, n): on how many different pages of the host a branch has a feature."""
+    got = branch_features(pages, url, html).select("host", F.explode("branches").alias("branch"), "kind", "feature", "n")
     return got.groupBy("host", "branch", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def style_tree(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pages, presentation, content, importance) of every branch that holds text: by host and branch, or by branch for all hosts merged."""
-    if "host" not in keys:
-        counts = counts.groupBy(*keys, "kind", "feature").agg(F.sum("n").alias("n"))
-    x = F.when(F.col("n") > 1, F.col("n") * F.log("n")).otherwise(0.0)
+def branch_sums(rows: DataFrame, parts: int) -> DataFrame:
+    """What both trees need of (host, kind, branches, feature, n): by host and branch the sums of n and of n times the log of the feature's count, on the host and (``all_x``) on all hosts.
+
+    Rows meet by feature, once, in ``parts`` partitions. Those alone with their
+    feature, most of them, go on as they are, and only others by single branches.
+    """
+    met = rows.repartition(parts, "feature").withColumn("met", F.count("*").over(Window.partitionBy("feature")))
+    one = met.select("host", "kind", "feature", "n", F.explode(F.when(F.col("met") == 1, F.array("branches")).otherwise(F.transform("branches", lambda b: F.array(b)))).alias("branches"))
+    everywhere = Window.partitionBy("feature", "kind", "branches").orderBy("host")
+    host, every = everywhere.rangeBetween(Window.currentRow, Window.currentRow), everywhere.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = one.withColumns({"own": F.sum("n").over(host), "all": F.sum("n").over(every)})
     of = lambda kind, what: F.sum(F.when(F.col("kind") == kind, what))
-    tree = counts.groupBy(*keys).agg(of(2, F.col("n")).alias("pages"), of(0, F.col("n")).alias("styles"), of(0, x).alias("style_x"), of(1, F.col("n")).alias("texts"), of(1, x).alias("text_x"))
+    x = lambda c: F.when(F.col(c) > 1, F.col("n") * F.log(c)).otherwise(0.0)
+    sums = {"pages": of(2, F.col("n"))}
+    for kind, name in ((0, "style"), (1, "text")):
+        sums |= {f"{name}s": of(kind, F.col("n")), f"{name}_x": of(kind, x("own")), f"{name}_all_x": of(kind, x("all"))}
+    by_set = one.groupBy("host", "branches").agg(*[c.alias(k) for k, c in sums.items()])
+    return by_set.select("host", F.explode("branches").alias("branch"), *sums).groupBy("host", "branch").agg(*[F.sum(k).alias(k) for k in sums])
+
+
+def _importance(sums: DataFrame, keys: list[str], of: str = "") -> DataFrame:
     scale = F.log(F.greatest("pages", F.lit(2.0)))
-    presentation = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log("styles") - F.col("style_x") / F.col("styles")) / scale))
-    content = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("text_x") / F.col("texts") / scale))
-    tree = tree.select(*keys, "pages", presentation.alias("presentation"), content.alias("content"))
+    presentation = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log("styles") - F.col(f"style{of}_x") / F.col("styles")) / scale))
+    content = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col(f"text{of}_x") / F.col("texts") / scale))
+    tree = sums.select(*keys, "pages", presentation.alias("presentation"), content.alias("content"))
     return tree.withColumn("importance", (1 - CONTENT_SHARE) * F.col("presentation") + CONTENT_SHARE * F.col("content"))
 
 
+def tree_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pages, presentation, content, importance) of every branch that holds text: by host and branch, or by branch for all hosts merged."""
+    if "host" in keys:
+        return _importance(sums, keys)
+    return _importance(sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("host", *keys)]), keys, "_all")
+
+
+def style_tree(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``tree_of_sums`` for the result of ``branch_counts``."""
+    rows = counts.withColumn("branches", F.array("branch"))
+    return tree_of_sums(branch_sums(rows, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), keys)
+
+
 def evidence(pages: DataFrame, url: str = "url", html: str = "html", scratch: Scratch | None = None) -> DataFrame:
     """(host, branch, pages, importance, content): a host's own figures joined with those of all hosts merged, and how many pages both are worth.
 
     One page tells nothing of what repeats, so a tree counts for its pages less one.
     """
     keep = (scratch or Scratch(pages.sparkSession)).keep
-    counts = keep(branch_counts(pages, url, html))
-    everywhere = style_tree(counts, ["branch"])
+    sums = keep(branch_sums(branch_features(pages, url, html), pages.count() // PART_PAGES + 1))
+    everywhere = tree_of_sums(sums, ["branch"])
     everywhere = keep(everywhere.select("branch", F.least(F.greatest(F.col("pages") - 1.0, F.lit(0.0)), F.lit(ALL_HOSTS)).alias("m"), F.col("importance").alias("all_importance"), F.col("content").alias("all_content")))
-    both = style_tree(counts, ["host", "branch"]).withColumn("w", F.greatest(F.col("pages") - 1.0, F.lit(0.0))).join(everywhere, "branch")
+    both = tree_of_sums(sums, ["host", "branch"]).withColumn("w", F.greatest(F.col("pages") - 1.0, F.lit(0.0))).join(everywhere, "branch")
     mean = lambda c: F.try_divide(F.col("w") * F.col(c) + F.col("m") * F.col(f"all_{c}"), F.col("w") + F.col("m")).alias(c)
     return keep(both.select("host", "branch", (F.col("w") + F.col("m")).alias("pages"), mean("importance"), mean("content")).where("pages > 1e-6"))
 
