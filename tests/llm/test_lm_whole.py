@@ -1,6 +1,7 @@
 """The scoring network predicts tokens beyond the most frequent ones, and learns from all documents."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,33 @@ def test_weights_are_copies():
     twice = np.repeat(np.arange(50), np.arange(50) % 2 + 1)
     a = lmscore.fit_steps(flat, near, target, weight=np.arange(50) % 2 + 1)
     assert np.allclose(a, lmscore.fit_steps(flat, near[twice], target[twice]), atol=1e-4)
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_errors_with_and_without_a_common_shift(scale):
+    """Of logits in a narrow range one bound is subtracted, of others each row's maximum; the gradient is the softmax's."""
+    rng = np.random.default_rng(2)
+    w, b = rng.normal(0, scale, (lmscore.HIDDEN, 30)), rng.normal(0, scale, 30)
+    h, y, share = np.tanh(rng.normal(0, 1, (50, lmscore.HIDDEN))), rng.integers(0, 30, 50), rng.random(50)
+    bias, narrow = lmscore._shifted(w / 30, b / 30)
+    assert narrow == (scale == 1)
+    z = (h @ (w / 30) + bias).astype(np.float32)
+    lmscore._error(z, y, share.astype(np.float32), narrow)
+    want = h @ (w / 30) + b / 30
+    want = np.exp(want - want.max(1, keepdims=True))
+    want /= want.sum(1, keepdims=True)
+    want[np.arange(50), y] -= 1
+    assert np.isfinite(z).all() and np.allclose(z, want * share[:, None], atol=1e-5)
+
+
+def test_tokens_end_with_their_text():
+    """Texts are counted together, but no token or pair of bytes reaches from one into the next."""
+    texts = [b"one two", b"", b"three", b" ", b"!x"]
+    (out,) = lmscore._count(iter([pa.record_batch([pa.array(texts, pa.binary())], ["b"])]))
+    got = {(r["kind"], r["key"]): r["n"] for r in out.to_pylist()}
+    want = {(0, w): 1 for w in (b"one", b"two", b"three", b"!", b"x")}
+    for t in texts:
+        line = b" " + b" ".join(lmscore.tokens(t)) + b" " if lmscore.tokens(t) else b""
+        for i in range(len(line) - 1):
+            want[1, line[i : i + 2]] = want.get((1, line[i : i + 2]), 0) + 1
+    assert got == want

@@ -116,14 +116,27 @@ def initial(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def _aims(target: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
-    """Class in the first softmax and place in the group of every token, and the rows of each group of words."""
+def _aims(target: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Class in the first softmax of every token; the rows of words by groups, their places in these, and where each group begins and ends."""
     word = np.maximum(target - RARE, 0)
     group = np.where(target < RARE, -1, word // size)
     order = np.argsort(group.astype(np.int16 if size < 30000 else np.int32), kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-2))
-    runs = ((int(group[rows[0]]), rows) for rows in np.split(order, cuts[1:]) if len(rows) and group[rows[0]] >= 0)
-    return np.where(group < 0, target // HASHED, SHAPES + group), word % size, runs
+    order = order[np.searchsorted(group, 0, sorter=order) :]
+    own = group.take(order)
+    cuts = np.flatnonzero(np.diff(own, prepend=-2)).tolist()
+    runs = [(int(own[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+    return np.where(group < 0, target // HASHED, SHAPES + group), (word % size).take(order), order, runs
+
+
+def _shifted(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Biases less a bound of the logits, where one shift serves all rows, and where it does.
+
+    The hidden layer lies in -1..1, which bounds the logits; where their range is narrow, no row needs its own maximum.
+    """
+    reach = np.abs(w).sum(-2)
+    shift = (b + reach).max(-1, keepdims=True)
+    narrow = shift - (b - reach).max(-1, keepdims=True) < 60
+    return np.where(narrow, b - shift, b), narrow[..., 0]
 
 
 def neighbours(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -153,47 +166,52 @@ def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int
     # like neighbours side by side, so that their gradients are sums of runs
     small = np.int16 if names < 1 << 15 else np.int32
     order = np.random.default_rng(seed).permutation(len(target))
+    logits, ones = np.empty((chunk, len(p[4])), np.float32), np.ones(chunk, np.float32)
     for t, first in enumerate(range(0, len(order), batch), 1):
         rows = order[first : first + batch]
         n = len(rows)
-        share = weight[rows, None]
+        share = weight.take(rows)
         share /= share.sum()
-        x = near[rows] % names
-        head, place, runs = _aims(target[rows], p[6].shape[1])
+        x = near.take(rows, axis=0) % names
+        head, place, words, runs = _aims(target.take(rows), p[6].shape[1])
+        head_bias, head_narrow = _shifted(p[3], p[4])
+        bias, narrow = _shifted(p[5], p[6])
         g[:] = 0
         h, dh = np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
         de = np.empty((n, len(SIDES) * EMBED), np.float32)
         for at in range(0, n, chunk):
-            e = p[0][x[at : at + chunk]].reshape(-1, len(SIDES) * EMBED)
+            e = p[0].take(x[at : at + chunk], axis=0).reshape(-1, len(SIDES) * EMBED)
             own = e @ p[1]
             own += p[2]
-            np.tanh(own, out=h[at : at + chunk])
-            own = h[at : at + chunk]
-            z = own @ p[3]
-            z += p[4]
-            z = _error(z, head[at : at + chunk], share[at : at + chunk])
+            own = np.tanh(own, out=h[at : at + chunk])
+            z = np.matmul(own, p[3], out=logits[: len(own)])
+            z += head_bias
+            _error(z, head[at : at + chunk], share[at : at + chunk], head_narrow)
             np.matmul(z, p[3].T, out=dh[at : at + chunk])
             q[3][:] += own.T @ z
-            q[4][:] += z.sum(0)
-        for k, at in runs:
-            near_h = h[at]
-            z = near_h @ p[5][k]
-            z += p[6][k]
-            z = _error(z, place[at], share[at])
-            dh[at] += z @ p[5][k].T
-            q[5][k], q[6][k] = near_h.T @ z, z.sum(0)
+            q[4][:] += ones[: len(z)] @ z
+        word_h, word_share = h.take(words, axis=0), share.take(words)
+        word_dh = np.empty_like(word_h)
+        for k, a, b in runs:
+            z = word_h[a:b] @ p[5][k]
+            z += bias[k]
+            _error(z, place[a:b], word_share[a:b], narrow[k])
+            np.matmul(z, p[5][k].T, out=word_dh[a:b])
+            np.matmul(word_h[a:b].T, z, out=q[5][k])
+            z.sum(0, out=q[6][k])
+        dh[words] += word_dh
         dh *= 1 - h * h
         for at in range(0, n, chunk):
-            e = p[0][x[at : at + chunk]].reshape(-1, len(SIDES) * EMBED)
+            e = p[0].take(x[at : at + chunk], axis=0).reshape(-1, len(SIDES) * EMBED)
             own = dh[at : at + chunk]
             np.matmul(own, p[1].T, out=de[at : at + chunk])
             q[1][:] += e.T @ own
         q[2][:] = dh.sum(0)
         flat_x = x.ravel()
         by = np.argsort(flat_x.astype(small), kind="stable")
-        named = flat_x[by]
+        named = flat_x.take(by)
         starts = np.flatnonzero(np.diff(named, prepend=-1))
-        q[0][named[starts]] = np.add.reduceat(de.reshape(-1, EMBED)[by], starts, axis=0)
+        q[0][named.take(starts)] = np.add.reduceat(de.reshape(-1, EMBED).take(by, axis=0), starts, axis=0)
         m *= 0.9
         m += np.multiply(g, 0.1, out=spare)
         v *= 0.999
@@ -205,22 +223,17 @@ def fit_steps(flat: np.ndarray, near: np.ndarray, target: np.ndarray, batch: int
     return flat
 
 
-def _error(z: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The logits' gradient of the loss, of which every token has its ``share``, in their place."""
-    z -= z.max(1, keepdims=True)
+def _error(z: np.ndarray, y: np.ndarray, share: np.ndarray, narrow: bool) -> None:
+    """Put the logits' gradient of the loss, of which every token has its ``share``, in their place. ``narrow`` logits are shifted already."""
+    if not narrow:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(y)), y] -= 1
-    z *= share
-    return z
+    z *= (share / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z[np.arange(len(y)), y] -= share
 
 
 def _softmax_logs(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
-    # the hidden layer lies in -1..1, which bounds the logits: where their range is narrow, one shift serves all rows
-    reach = np.abs(w).sum(0)
-    shift = (b + reach).max()
-    narrow = shift - (b - reach).max() < 60
-    bias = b - shift if narrow else b
+    bias, narrow = _shifted(w, b)
     out = np.empty(len(y), np.float32)
     ones = np.ones(len(b), np.float32)
     for at in range(0, len(y), step):
@@ -243,14 +256,18 @@ def class_log_probabilities(flat: np.ndarray, near: np.ndarray, target: np.ndarr
     h = np.empty((len(target), HIDDEN), np.float32)
     for at in range(0, len(target), step):
         x = near[at : at + step]
-        own = side[0][x[:, 0]] + p[2]
+        own = side[0].take(x[:, 0], axis=0)
+        own += p[2]
         for i in range(1, len(SIDES)):
-            own += side[i][x[:, i]]
+            own += side[i].take(x[:, i], axis=0)
         np.tanh(own, out=h[at : at + step])
-    head, place, runs = _aims(target, p[6].shape[1])
+    head, place, words, runs = _aims(target, p[6].shape[1])
     out = _softmax_logs(h, p[3], p[4], head, step)
-    for k, at in runs:
-        out[at] += _softmax_logs(h[at], p[5][k], p[6][k], place[at], step)
+    h = h.take(words, axis=0)
+    of_word = np.empty(len(words), np.float32)
+    for k, a, b in runs:
+        of_word[a:b] = _softmax_logs(h[a:b], p[5][k], p[6][k], place[a:b], step)
+    out[words] += of_word
     return out
 
 
@@ -277,7 +294,7 @@ class WindowModel:
             costs[len(self.frequent) :] = np.add.reduceat(steps, np.concatenate([[0], np.cumsum(size)[:-1]]))
         at = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-        return kinds[at], costs[at], starts, lengths
+        return kinds.take(at), costs.take(at), starts, lengths
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens and summed log-probability of each text."""
@@ -316,8 +333,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for data in batch.column(0).to_pylist():
-            got = tokens(data)
+        for texts in _chunks(batch.column(0).to_pylist()):
+            got = tokens(b"\n".join(texts))  # no token reaches over the end of a text
             counts.update(got)
             if got:
                 b = np.frombuffer(b" " + b" ".join(got) + b" ", np.uint8).astype(np.int32)
