@@ -134,3 +134,67 @@ def test_tokens_end_with_their_text():
         for i in range(len(line) - 1):
             want[1, line[i : i + 2]] = want.get((1, line[i : i + 2]), 0) + 1
     assert got == want
+
+
+def test_coded_texts_are_counted_and_scored_alike(spark, pairs):
+    """Texts kept as numbers give the counts and scores of the texts, one row each, null and empty ones too, with the columns kept."""
+    odd = [(900, None), (901, ""), (902, " \n"), (903, "Caf\u00e9 7 x7 !! bazda"), (904, "\u6587\u5b57 a  b\tc\x00d"), (905, "solo")]
+    docs = pairs.limit(30).union(spark.createDataFrame(odd, "doc_id long, text string")).repartition(3)
+    rows = lmscore.coded(docs, "text", "doc_id")
+    model = lmscore.train(docs)
+    model.flat = model.flat + np.random.default_rng(1).normal(0, 0.1, len(model.flat)).astype(np.float32)
+    got = {r.doc_id: r for r in lmscore.score_coded(rows, model).collect()}
+    want = lmscore.score(docs, model).collect()
+    assert len(want) == len(got) == 36
+    for r in want:
+        assert got[r.doc_id].n_tokens == r.n_tokens and np.isclose(got[r.doc_id].log_likelihood, r.log_likelihood, rtol=1e-5)
+        assert (got[r.doc_id].perplexity is None) == (r.perplexity is None)
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    count = lambda batch: {(r["kind"], r["key"]): r["n"] for b in lmscore._count(iter([batch])) for r in b.to_pylist()}
+    whole = count(pa.record_batch([pa.array(texts, pa.binary())], ["b"]))
+    sums: dict = {}
+    for b in rows.select("types", "shaped", "places", "lengths").toArrow().to_batches():
+        for k, n in count(b).items():
+            sums[k] = sums.get(k, 0) + n
+    assert sums == whole
+
+
+@pytest.mark.parametrize("kinds", [200, 300, 70_000])
+def test_numbers_of_tokens_of_any_width(spark, kinds):
+    """A text with few, many and very many different tokens; every token comes back."""
+    text = " ".join(f"w{i * i % kinds}x{i % kinds}" for i in range(kinds))
+    (row,) = lmscore.coded(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("types", "shaped", "places", "lengths").toArrow().to_batches()
+    ((types, shaped, at, lengths),) = lmscore._read(iter([row]))
+    assert [types[i] for i in at] == lmscore.tokens(text.encode()) and lengths.tolist() == [kinds]
+    assert shaped.tolist() == lmscore._shaped(types).tolist()
+
+
+@pytest.mark.parametrize("scale", [0.3, 40])
+def test_gradients_of_all_groups_by_hand(scale):
+    """Groups cut into blocks of rows, with and without a common shift, against softmaxes in double precision."""
+    rng = np.random.default_rng(4)
+    h = np.concatenate([np.tanh(rng.normal(0, 1, (70, lmscore.HIDDEN))), np.ones((70, 1))], 1).astype(np.float32)
+    w, b = rng.normal(0, scale, (3, lmscore.HIDDEN, 9)).astype(np.float32), rng.normal(0, scale, (3, 9)).astype(np.float32)
+    y, share = rng.integers(0, 9, 70), rng.random(70).astype(np.float32)
+    runs = [(0, 0, 40), (2, 40, 70)]
+    start = rng.normal(0, 1, (70, lmscore.HIDDEN)).astype(np.float32)
+    dh, dw, db = start.copy(), np.full_like(w, 7), np.full_like(b, 7)
+    lmscore._softmax_errors(h, w, b, y, share, runs, dh, dw, db, 16)
+    for k, i, j in [*runs, (1, 70, 70)]:
+        own = h[i:j, :-1].astype(float)
+        z = own @ w[k] + b[k]
+        z = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
+        z *= (share[i:j] / z.sum(1))[:, None]
+        z[np.arange(j - i), y[i:j]] -= share[i:j]
+        assert np.allclose(dh[i:j], start[i:j] + z @ w[k].T, atol=1e-3) and np.allclose(dw[k], own.T @ z, atol=1e-4) and np.allclose(db[k], z.sum(0), atol=1e-4)
+
+
+def test_steps_are_of_like_size(monkeypatch):
+    """A few tokens beyond a whole number of batches make no step of their own."""
+    steps = []
+    adam = lmscore._adam
+    monkeypatch.setattr(lmscore, "_adam", lambda *a: (steps.append(a[4]), adam(*a)))
+    flat = lmscore.initial(np.ones(lmscore.CLASSES))
+    rng = np.random.default_rng(3)
+    lmscore.fit_steps(flat, rng.integers(0, lmscore.RARE, (203, 4)), rng.integers(0, lmscore.RARE, 203), batch=100)
+    assert steps == [1, 2]
